@@ -143,13 +143,13 @@ class Bpe:
 
         The last token of a prefix is the one whose bytes are in the vocabulary and which stays apart from the last token
         of the prefix before it; exactly one fits, so each prefix costs at most ``longest`` lookups and no re-encoding.
-        Stems of 8 and 4 bytes keep their rows of the table for the next piece that starts with them.
+        Stems of 12, 8 and 4 bytes keep their rows of the table for the next piece that starts with them.
         """
         get, pairs, longest, n, stems = self.rank.get, self.pair_cache, self.longest, len(piece), self.stems
         start, stem = 1, None
         if n > 4:
             if n > 8:
-                stem = stems.get(piece[:8])
+                stem = (n > 12 and stems.get(piece[:12])) or stems.get(piece[:8])
             stem = stem or stems.get(piece[:4])
         if stem:
             start = len(stem[0])
@@ -172,7 +172,7 @@ class Bpe:
                         break
             last[i] = t
             count[i] = count[j] + 1
-        for k in (4, 8):
+        for k in (4, 8, 12):
             if start <= k < n:
                 if len(stems) > 1 << 17:
                     stems.clear()
@@ -244,7 +244,7 @@ def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, 1 << 19)
+        bpe = loaded(path, 1 << 20)
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.prefix_deltas(t).tobytes() for t in strings(b, "text")], pa.binary())], ["id", "deltas"])
 
@@ -298,7 +298,7 @@ def token_counts(docs: DataFrame, *, limit: int = 512, id_col: str = "doc_id", t
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, 1 << 19)
+        bpe = loaded(path, 1 << 20)
         for b in slices(batches):
             size, total, fits = [], [], []
             for t in strings(b, "text"):
