@@ -95,3 +95,8 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = cur.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(roots.hint("merge"), nodes.node == roots.u, "left").select("node", F.coalesce("m", "node").alias("component"))
+
+
+def lookup(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", *, most: int = 200_000) -> DataFrame:
+    """Join with a table that is usually small: broadcast if it is counted to have at most ``most`` rows, else sort-merge."""
+    return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small.hint("merge"), on, how)

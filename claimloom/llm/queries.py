@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontam, packing, pii, secrets, tokens
+from claimloom.llm import decontam, embeddings, packing, pii, secrets, tokens, warc
 from claimloom.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=512)
 
@@ -35,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
+    "op7_near_vectors": op7_near_vectors,
+    "op8_warc": op8_warc,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -51,4 +61,27 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_near_vectors": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding, embedding) > 0),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+cnt AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.x = vec_id LEFT JOIN cnt ON cnt.x = vec_id""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+k AS (SELECT sha, n, max(page_id) AS keeper FROM p GROUP BY sha, n),
+d AS (SELECT sha, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+        ((((strpos('0123456789abcdef', substr(sha || '00', CAST((i * 5) // 4 + 1 AS BIGINT), 1)) - 1) * 256
+         + (strpos('0123456789abcdef', substr(sha || '00', CAST((i * 5) // 4 + 2 AS BIGINT), 1)) - 1) * 16
+         + (strpos('0123456789abcdef', substr(sha || '00', CAST((i * 5) // 4 + 3 AS BIGINT), 1)) - 1)) >> CAST(7 - (i * 5) % 4 AS INTEGER)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS digest
+      FROM (SELECT DISTINCT sha FROM p) t)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN k USING (sha, n) JOIN d USING (sha)""",
 }
