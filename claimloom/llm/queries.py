@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontam, embeddings, packing, pii, secrets, tokens, warc
+from claimloom.llm import decontam, embeddings, minhash, packing, pii, secrets, tokens, warc
 from claimloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
+def op9_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_texts(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=512)
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_near_vectors": op7_near_vectors,
     "op8_warc": op8_warc,
+    "op9_near_texts": op9_near_texts,
     "op10_token_counts": op10_token_counts,
 }
 
