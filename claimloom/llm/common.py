@@ -100,3 +100,13 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
 def lookup(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", *, most: int = 200_000) -> DataFrame:
     """Join with a table that is usually small: broadcast if it is counted to have at most ``most`` rows, else sort-merge."""
     return df.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small.hint("merge"), on, how)
+
+
+def with_texts(batch: pa.RecordBatch, names: list[str], text_col: str, length_col: str | None, texts: list[str | None]) -> pa.RecordBatch:
+    """``batch`` with new texts, and new lengths where a text changes."""
+    if length_col in names:
+        old, field = batch.column(text_col).to_pylist(), batch.schema.field(length_col)
+        lengths = [n if a == b else len(b) for n, a, b in zip(batch.column(length_col).to_pylist(), old, texts)]
+        batch = batch.set_column(names.index(length_col), field, pa.array(lengths, field.type))
+    field = batch.schema.field(text_col)
+    return batch.set_column(names.index(text_col), field, pa.array(texts, field.type))

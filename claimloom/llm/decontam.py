@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import raw_bytes, words, WORD_BYTES
+from claimloom.llm.common import WORD_BYTES, raw_bytes, with_texts, words
 
 _WORD = re.compile(rb"[^ ]+")
 
@@ -250,8 +250,9 @@ def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` with the removal spans cut out of their texts; other columns as they are. Null texts stay null.
+def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """``docs`` with the removal spans cut out of their texts; other columns as they are, but for ``length_col``
+    (if given), which gets the new number of characters of a text that changes. Null texts stay null.
 
     One pass per block of the benchmark, each over what the pass before left.
     """
@@ -272,7 +273,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text
                             parts.append(t[at:a])
                             at = e
                         column[k] = (b"".join(parts) + t[at:]).decode()
-                yield b.set_column(names.index(text_col), b.schema.field(text_col), pa.array(column, b.schema.field(text_col).type))
+                yield with_texts(b, names, text_col, length_col, column)
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -306,9 +306,10 @@ def near_texts(
     all bands with a chance of 2e-4, at 0.9 of 7e-8. Large buckets and groups are cut into tiles and pairs of tiles, and
     send back spanning forests, never pairs.
 
-    Texts without words, null ones included, link with nothing. Rows that repeat an id share a class. Ids are integers.
+    Texts without words, null ones included, link with nothing. Rows that repeat an id share a class. Ids are integers;
+    rows with a null id are left out.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     idf = inverse_frequencies(source, buckets=buckets)
     k = bands * rows
 

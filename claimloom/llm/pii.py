@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import slices, strings
+from claimloom.llm.common import slices, strings, with_texts
 
 #: In the order in which kinds at one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -371,8 +371,9 @@ def digest(spans: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return spans.select(id_col, *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
-def masked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in angle brackets; other columns as they are.
+def masked(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, crf: Crf | None = None) -> DataFrame:
+    """``docs`` with every span of personal data replaced by its kind in angle brackets; other columns as they are,
+    but for ``length_col`` (if given), which gets the new number of characters of a text that changes.
 
     Overlapping spans are replaced once, by the kind that starts first. Null texts stay null.
     """
@@ -392,6 +393,6 @@ def masked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                         at = max(at, e)
                     t = "".join(parts) + t[at:]
                 out.append(t)
-            yield b.set_column(names.index(text_col), b.schema.field(text_col), pa.array(out, b.schema.field(text_col).type))
+            yield with_texts(b, names, text_col, length_col, out)
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontam, embeddings, minhash, packing, pii, secrets, tokens, toxicity, warc
+from claimloom.llm import decontam, embeddings, minhash, packing, pii, secrets, tokens, toxicity, urlgraph, warc
 from claimloom.llm.common import table
 
 
@@ -22,6 +22,20 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
 
 
+#: Fixed values of the query.
+URL_RULES = [
+    urlgraph.Rule("allow", "org", "/"),
+    urlgraph.Rule("block", "example.org", "/es/"),
+    urlgraph.Rule("block", "example.org", "/en/1"),
+    urlgraph.Rule("allow", "com", "/fr/"),
+    urlgraph.Rule("block", "com", "/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
@@ -53,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
+    "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,

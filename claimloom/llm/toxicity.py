@@ -143,7 +143,7 @@ class Model:
 
 
 #: Lengths of the word beginnings that may be learned as stems.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def _names(text: str) -> set[str]:
