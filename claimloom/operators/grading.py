@@ -46,8 +46,13 @@ def topic_terms(*columns: str) -> Column:
     return F.array_distinct(F.concat(terms, F.flatten(F.transform(terms, grams))))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def has_term(text: Column, terms: Column) -> Column:
-    return F.exists(terms, lambda x: F.lower(text).contains(F.lower(x)))
+    return let(F.lower(text), lambda low: F.exists(terms, lambda x: low.contains(F.lower(x))))
 
 
 def source_type(kind: Column, host: Column, title: Column, terms: Column) -> Column:
@@ -66,30 +71,36 @@ def seeded(url: Column, seed: Column) -> Column:
 
 
 def relevance(kind: Column, text: Column, terms: Column, is_seed: Column, commerce: list[str] = COMMERCE_WORDS) -> Column:
-    topic, trade = has_term(text, terms), any_of(text, commerce)
-    return (
-        F.when(kind.isin("robots", "sitemap"), "medium").when(topic & trade, "high").when(topic, "medium").when(is_seed & (trade | (F.length(text) >= 800)), "medium").otherwise("low")
-    )
+    def graded(low: Column) -> Column:
+        topic, trade = F.exists(terms, lambda x: low.contains(F.lower(x))), reduce(lambda a, b: a | b, (low.contains(w.lower()) for w in commerce), F.lit(False))
+        return F.when(topic & trade, "high").when(topic, "medium").when(is_seed & (trade | (F.length(low) >= 800)), "medium").otherwise("low")
 
+    return F.when(kind.isin("robots", "sitemap"), "medium").otherwise(let(F.lower(text), graded))
 
-def shell_ratio(text: Column) -> tuple[Column, Column]:
-    """(lines, share of characters in short lines without sentence marks and digits)."""
+
+def shell_ratio(text: Column) -> Column:
+    """(lines, ratio): the share of characters in short lines without sentence marks and digits."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
-    short = F.filter(lines, lambda x: (F.length(x) <= SHORT_LINE) & ~x.rlike(SENTENCE_MARK) & ~x.rlike(r"\d"))
-    chars = F.aggregate(short, F.lit(0), lambda a, x: a + F.length(x) + 1)
-    n = F.size(lines)
-    return n, F.when(n == 0, 1.0).otherwise(chars / F.greatest(F.lit(1), F.length(text)))
+
+    def counted(own: Column) -> Column:
+        short = F.filter(own, lambda x: (F.length(x) <= SHORT_LINE) & ~x.rlike(SENTENCE_MARK) & ~x.rlike(r"\d"))
+        chars = F.aggregate(short, F.lit(0), lambda a, x: a + F.length(x) + 1)
+        return F.struct(F.size(own).alias("lines"), F.when(F.size(own) == 0, 1.0).otherwise(chars / F.greatest(F.lit(1), F.length(text))).alias("ratio"))
+
+    return let(lines, counted)
 
 
 def navigation_shell(url: Column, text: Column) -> Column:
-    n, ratio = shell_ratio(text)
-    return ((F.length(text) >= SHELL_CHARS) & (n >= SHELL_LINES) & (ratio >= SHELL_RATIO)) | (U.path(url).rlike(U.SHELL_PATH) & ((F.length(text) < 1200) | (ratio >= 0.25)))
+    def judged(r: Column) -> Column:
+        return ((F.length(text) >= SHELL_CHARS) & (r["lines"] >= SHELL_LINES) & (r["ratio"] >= SHELL_RATIO)) | (U.path(url).rlike(U.SHELL_PATH) & ((F.length(text) < 1200) | (r["ratio"] >= 0.25)))
+
+    return let(shell_ratio(text), judged)
 
 
-def confidence(kind: Column, kind_type: Column, url: Column, text: Column) -> Column:
+def confidence(kind: Column, kind_type: Column, shell: Column, url: Column, text: Column) -> Column:
     n = F.length(text)
     return (
-        F.when(navigation_shell(url, text) | (kind_type == "unknown") | (kind == "robots"), "low")
+        F.when(shell | (kind_type == "unknown") | (kind == "robots"), "low")
         .when(kind == "sitemap", F.when(n >= 80, "medium").otherwise("low"))
         .when((kind == "homepage") & url.startswith("https://"), F.when(n >= 400, "high").otherwise("medium"))
         .when(kind.isin("product", "collection", "blog", "rss") & (n >= 300), "high")
@@ -101,9 +112,9 @@ def grade_sources(df: DataFrame, *, commerce: list[str] = COMMERCE_WORDS) -> Dat
     """``df`` (kind, url, host, title, text, terms, is_seed) with source_type, relevance, confidence, accepted and review_reason."""
     c = F.col
     typed = df.withColumn("source_type", source_type(c("kind"), c("host"), c("title"), c("terms"))).withColumn("relevance", relevance(c("kind"), F.concat_ws("\n", "title", "url", "text"), c("terms"), c("is_seed"), commerce))
-    graded = typed.withColumn("confidence", confidence(c("kind"), c("source_type"), c("url"), c("text")))
+    graded = typed.withColumn("shell", navigation_shell(c("url"), c("text"))).withColumn("confidence", confidence(c("kind"), c("source_type"), c("shell"), c("url"), c("text")))
     reason = (
-        F.when(navigation_shell(c("url"), c("text")), "navigation_shell").when(c("source_type").isin("robots", "sitemap", "search_candidate"), F.concat(c("source_type"), F.lit("_only")))
+        F.when(c("shell"), "navigation_shell").when(c("source_type").isin("robots", "sitemap", "search_candidate"), F.concat(c("source_type"), F.lit("_only")))
         .when(c("source_type") == "unknown", "aggregator").when(c("relevance") == "low", "off_topic").when(c("confidence") == "low", "weak").when((c("relevance") == "medium") | (c("confidence") == "medium"), "candidate").otherwise("spot_check")
     )
     return graded.withColumns({"accepted": usable_type() & (c("relevance") != "low") & (c("confidence") != "low"), "review_reason": reason})

@@ -7,6 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.sources.spread import spread
+
+#: Tables of texts, of which a row costs enough to be worth moving where a scan has few tasks.
+TEXTS = {"documents", "pages", "conversations"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,7 +20,11 @@ def query(name: str, sql: str | None = None):
 
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            def load(table: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                return spread(df) if table in TEXTS else df
+
+            return f(load)
 
         QUERIES[name] = run
         if sql is not None:

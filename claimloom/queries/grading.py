@@ -89,7 +89,7 @@ def q4(t):
 
 @query("q5_navigation_shell", f"SELECT doc_id, {_RATIO} AS ratio, {SQL_SHELL} AS shell FROM {SQL_INPUT} i")
 def q5(t):
-    return graded_input(t).select("doc_id", G.shell_ratio(F.col("text"))[1].alias("ratio"), G.navigation_shell(F.col("url"), F.col("text")).alias("shell"))
+    return graded_input(t).select("doc_id", G.shell_ratio(F.col("text"))["ratio"].alias("ratio"), G.navigation_shell(F.col("url"), F.col("text")).alias("shell"))
 
 
 @query("q6_grade_sources", f"SELECT doc_id, source_type, relevance, confidence, accepted, review_reason FROM {SQL_GRADED} g")
