@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import WORD_BYTES, raw_bytes, with_texts, words
+from claimloom.llm.common import WORD_BYTES, raw_bytes, slices, with_texts, words
 
 _WORD = re.compile(rb"[^ ]+")
 
@@ -209,10 +209,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r["item"], r["text"].encode()) for r in part.collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, shard_rows: int = 2048) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans array<struct<start, end, word, past>>) for every row of ``docs``.
 
-    Each Arrow batch of documents is a shard with its own index; no shuffle. The benchmark goes to the tasks in blocks of
+    Each ``shard_rows`` documents of a task are a shard with its own index; no shuffle. The benchmark goes to the tasks in blocks of
     at most ``block_bytes``; only where it has more than one block are the results of the blocks merged by id. Spans are
     the removal spans in code points and the words they hold; those of one block are merged. Null texts have no words; an empty benchmark hits nothing; items with a null
     id are left out; rows that repeat an id each get a row (with more than one block: one row for equal rows).
@@ -225,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_
         phrases = Phrases(block, width)
 
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, shard_rows):
                 texts = raw_bytes(b, "text")
                 sizes, starts, hit, items = shard_hits(texts, phrases)
                 n_hit, spans = [], []
@@ -250,7 +250,7 @@ def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, shard_rows: int = 2048) -> DataFrame:
     """``docs`` with the removal spans cut out of their texts; other columns as they are, but for ``length_col``
     (if given), which gets the new number of characters of a text that changes. Null texts stay null.
 
@@ -261,7 +261,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text
         phrases = Phrases(block, width)
 
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, shard_rows):
                 texts = raw_bytes(b, text_col)
                 _, starts, hit, _ = shard_hits(texts, phrases)
                 column = b.column(text_col).to_pylist()

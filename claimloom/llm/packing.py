@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, *, capacity: int = 1024, end_id: int = 2, id_col: st
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, 1 << 19)
+        bpe = loaded(path, 1 << 18)
         for b in slices(batches):
             rows, number, start, length, crc, kept = [], [], [], [], [], []
             for row, text in enumerate(strings(b, "text")):
