@@ -32,7 +32,7 @@ def p1(t):
 
 
 def current(t):
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 40 = 0")
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     return o.groupBy(F.col("o_orderpriority").alias("plan"), F.col("c_nationkey").alias("row_id")).agg((F.count("*") % 5).alias("sources"), F.countDistinct("c_mktsegment").alias("roles"), F.count_if(F.col("o_totalprice") > 300000).alias("samples"))
 
 
@@ -120,7 +120,7 @@ def p8(t):
 
 def samples(t):
     """Suppliers with the part types and brands they supply."""
-    li = t("lineitem").where("l_orderkey % 200 = 0").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     g = li.groupBy(F.col("l_suppkey").alias("sample")).agg(F.collect_set("p_type").alias("taxonomy"), F.collect_set(F.concat(F.lit("t"), F.col("p_size") % 6)).alias("price_tier"), F.collect_set("p_brand").alias("channel"))
     rel = F.element_at(F.array(*map(F.lit, ("competitor", "channel", "analogy"))), (F.col("sample") % 3 + 1).cast("int"))
     return g.withColumns({"relationship": rel, "sample_type": F.when(F.col("sample") % 7 == 2, "analogy").otherwise(F.when(F.col("sample") % 3 == 2, "analogy").otherwise("actor")), "status": F.when(F.col("sample") % 9 == 0, "draft").otherwise("validated"), "basis": F.when(F.col("sample") % 11 > 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")), "populations": F.when(F.col("sample") % 4 > 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))})
@@ -214,14 +214,14 @@ def p16(t):
 
 @query("p17_next_roles", "SELECT role FROM (SELECT n_name AS role, min(o_orderkey) AS first_ord FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey < 400 GROUP BY n_name) q WHERE role NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) ORDER BY first_ord, role LIMIT 8")
 def p17(t):
-    own = t("orders").where("o_orderkey < 400").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("o_orderkey").alias("ord"), F.array("n_name").alias("roles"))
+    own = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("o_orderkey").alias("ord"), F.array("n_name").alias("roles"))
     return P.next_roles(own, t("nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("role")))
 
 
 @query("p18_final_coverage", f"""WITH m AS (SELECT * FROM {_MATRIX} m), h AS (SELECT i.plan, row_id, count(DISTINCT sample) AS samples FROM (SELECT plan, row_id, unnest(axis_items) AS item FROM m) i JOIN (SELECT DISTINCT o_orderpriority AS plan, l_suppkey AS sample, p_type AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 500 = 0 AND p_size > 40) s ON s.plan = i.plan AND s.item = i.item GROUP BY i.plan, row_id)
 SELECT m.plan, m.row_id, module, coalesce(samples, 0) AS samples, m.row_id % 2 + CASE WHEN coalesce(samples, 0) < min_samples THEN 1 ELSE 0 END AS gaps FROM m LEFT JOIN h ON h.plan = m.plan AND h.row_id = m.row_id""")
 def p18(t):
-    s = t("lineitem").where("l_orderkey % 500 = 0").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part").where("p_size > 40"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_orderpriority").alias("plan"), F.col("l_suppkey").alias("sample"), F.col("p_type").alias("item")).distinct()
+    s = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_orderpriority").alias("plan"), F.col("l_suppkey").alias("sample"), F.col("p_type").alias("item")).distinct()
     return P.final_coverage(matrix(t).withColumn("other_gaps", F.col("row_id") % 2), s, plan="plan")
 
 
@@ -233,7 +233,7 @@ def p19(t):
 
 def supplier_claims(t):
     """A supplier's claims: its region's module, its parts' types as items, its orders as evidence."""
-    li = t("lineitem").where("l_orderkey % 150 = 0").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("claim")).agg(F.collect_set("p_type").alias("items"), F.collect_set("l_orderkey").alias("evidence_ids"))
+    li = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("claim")).agg(F.collect_set("p_type").alias("items"), F.collect_set("l_orderkey").alias("evidence_ids"))
     c = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("claim"), F.col("n_regionkey").alias("module"), (F.col("s_suppkey") % 4).alias("claim_role"))
     return c.join(li, "claim", "left").withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "evidence_ids": F.coalesce("evidence_ids", F.array().cast("array<bigint>"))})
 

@@ -11,8 +11,27 @@ from claimloom.queries import ORACLES, QUERIES
 from tests.test_oracle import TABLES, norm
 
 #: The parts of a query's SQL that cut its main input, and what stands there for the whole input.
+_ORDERS = [(" WHERE o_orderkey % 40 = 0", "")]
+_SAMPLES = [(" WHERE l_orderkey % 200 = 0", "")]
+_CLAIMS = [(" WHERE l_orderkey % 150 = 0", "")]
 CUTS = {
     "t4_hash_embed": [(" WHERE doc_id % 5 = 0", "")],
+    "p2_acquisition_tasks": _ORDERS,
+    "p3_module_task_groups": _ORDERS,
+    "p23_report_coverage": _ORDERS,
+    "p9_validate_samples": _SAMPLES,
+    "p10_coverage_keys": _SAMPLES,
+    "p12_relationship_backfill": _SAMPLES,
+    "p13_axis_coverage": _SAMPLES,
+    "p14_coverage_gate": _SAMPLES,
+    "p17_next_roles": [(" WHERE o_orderkey < 400", "")],
+    "p18_final_coverage": [(" WHERE l_orderkey % 500 = 0 AND p_size > 40", "")],
+    "p20_module_claims": _CLAIMS,
+    "p21_module_coverage": _CLAIMS,
+    "p22_module_status": _CLAIMS,
+    "g1_direct_ledger": _CLAIMS,
+    "g5_chapters": _CLAIMS,
+    "g6_report_lines": _CLAIMS,
 }
 
 
@@ -56,3 +75,11 @@ def test_hash_embed_of_every_document(spark, tmp_path):
         want |= {(k, b): round(v / size, 6) for b, v in sums.items() if v}
     got = {(r.doc_id, r.bucket): r.value for r in QUERIES["t4_hash_embed"](spark, str(tmp_path)).collect()}
     assert got == want and {k for k, _ in got} == {0, 3, 4, 5}
+
+
+def test_next_roles_of_late_orders(spark, tmp_path):
+    for name, rows, schema in [
+        ("orders", [(401, 1), (9000, 2), (2, 3)], "o_orderkey long, o_custkey long"), ("customer", [(1, 1), (2, 2), (3, 3)], "c_custkey long, c_nationkey long"), ("nation", [(1, "a"), (2, "b"), (3, "c")], "n_nationkey long, n_name string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert [r.role for r in QUERIES["p17_next_roles"](spark, str(tmp_path)).collect()] == ["a", "b"]
