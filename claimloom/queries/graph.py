@@ -29,7 +29,7 @@ def g1(t):
 
 
 def derived(t):
-    d = t("lineitem").where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_set("l_suppkey").alias("support"))
+    d = t("lineitem").groupBy(F.col("l_orderkey").alias("claim")).agg(F.collect_set("l_suppkey").alias("support"))
     d = d.withColumns({"kind": F.when(F.col("claim") % 2 == 0, "inference").otherwise("hypothesis"), "has_plan": F.col("claim") % 3 > 0, "support": F.when(F.col("claim") % 35 == 0, F.array().cast("array<bigint>")).otherwise(F.col("support"))})
     direct = ledger(t).join(supplier_claims(t).select("claim", F.col("evidence_ids").alias("evidence")), "claim").where("claim % 40 <> 7")
     return G.derived_ledger(d, direct)
@@ -56,10 +56,10 @@ def g3(t):
 
 
 def edges(t):
-    li = t("lineitem").where("l_orderkey % 10 = 0")
+    li = t("lineitem")
     return G.knowledge_edges([
         (t("nation"), "n_nationkey", "source", "belongs_to", "n_regionkey", "module"), (t("supplier"), "s_suppkey", "document", "from", "s_nationkey", "source"), (li, "l_partkey", "claim", "supported_by", "l_suppkey", "document"),
-        (li, "l_orderkey", "finding", "cites", "l_partkey", "claim"), (t("orders").where("o_orderkey % 10 = 0"), "o_custkey", "report", "contains", "o_orderkey", "finding"),
+        (li, "l_orderkey", "finding", "cites", "l_partkey", "claim"), (t("orders"), "o_custkey", "report", "contains", "o_orderkey", "finding"),
     ])
 
 
@@ -101,7 +101,7 @@ def g6(t):
 )
 def g7(t):
     hop = lambda df, a, b: df.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    return G.trace_lineage([hop(t("nation"), "n_regionkey", "n_nationkey"), hop(t("supplier"), "s_nationkey", "s_suppkey"), hop(t("lineitem").where("l_orderkey % 50 = 0"), "l_suppkey", "l_orderkey"), hop(t("orders"), "o_orderkey", "o_custkey")])
+    return G.trace_lineage([hop(t("nation"), "n_regionkey", "n_nationkey"), hop(t("supplier"), "s_nationkey", "s_suppkey"), hop(t("lineitem"), "l_suppkey", "l_orderkey"), hop(t("orders"), "o_orderkey", "o_custkey")])
 
 
 def reports(t):
@@ -138,7 +138,7 @@ SELECT claim, CAST(place AS INTEGER) AS place, evidence_id, s_nationkey AS sourc
 FROM x LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 9 > 0) s ON s_suppkey = evidence_id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 8 > 0) n ON n_nationkey = s_nationkey""",
 )
 def g10(t):
-    claims = t("lineitem").where("l_orderkey % 60 = 0").groupBy(F.col("l_orderkey").alias("claim")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("evidence_ids"))
+    claims = t("lineitem").groupBy(F.col("l_orderkey").alias("claim")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("evidence_ids"))
     evidence = t("supplier").where("s_suppkey % 9 > 0").select(F.col("s_suppkey").alias("evidence_id"), F.col("s_nationkey").alias("source"))
     return G.evidence_appendix(claims, evidence, t("nation").where("n_nationkey % 8 > 0").select(F.col("n_nationkey").alias("source"), F.col("n_name").alias("role")))
 

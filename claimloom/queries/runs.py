@@ -19,7 +19,7 @@ _NORM = "lower(regexp_replace(key, '\\s+', '', 'g'))"
 
 @query("r1_stable_keys", f"SELECT DISTINCT o_orderkey, dimension, trim(key) AS key FROM {_KEYS} k WHERE o_orderkey % 20 = 0")
 def r1(t):
-    k = order_keys(t).where("o_orderkey % 20 = 0").groupBy("o_orderkey").pivot("dimension", ["A", "N", "R"]).agg(F.collect_list(F.concat(F.lit(" "), "key")))
+    k = order_keys(t).groupBy("o_orderkey").pivot("dimension", ["A", "N", "R"]).agg(F.collect_list(F.concat(F.lit(" "), "key")))
     payload = k.select("o_orderkey", F.to_json(F.struct("A", "N", "R", F.lit(5).alias("other"))).alias("payload"))
     return R.stable_keys(payload, ["A", "N", "R", "other"], run="o_orderkey")
 
@@ -76,7 +76,7 @@ FROM orders i WHERE i.o_orderkey % 10 = 0""",
 )
 def r5(t):
     o = t("orders")
-    inputs = o.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", F.upper("o_orderpriority").alias("o_orderpriority"), F.col("o_orderdate").alias("started"))
+    inputs = o.select("o_orderkey", "o_custkey", F.upper("o_orderpriority").alias("o_orderpriority"), F.col("o_orderdate").alias("started"))
     return R.previous_run(o, inputs, keys=["o_custkey", "o_orderpriority"], at="o_orderdate", run="o_orderkey", started="started")
 
 

@@ -14,6 +14,7 @@ from tests.test_oracle import TABLES, norm
 _ORDERS = [(" WHERE o_orderkey % 40 = 0", "")]
 _SAMPLES = [(" WHERE l_orderkey % 200 = 0", "")]
 _CLAIMS = [(" WHERE l_orderkey % 150 = 0", "")]
+_EDGES = [(" WHERE l_orderkey % 10 = 0", ""), (" WHERE o_orderkey % 10 = 0", "")]
 CUTS = {
     "t4_hash_embed": [(" WHERE doc_id % 5 = 0", "")],
     "p2_acquisition_tasks": _ORDERS,
@@ -32,6 +33,15 @@ CUTS = {
     "g1_direct_ledger": _CLAIMS,
     "g5_chapters": _CLAIMS,
     "g6_report_lines": _CLAIMS,
+    "g2_derived_ledger": [(" WHERE l_orderkey % 5 = 0", ""), *_CLAIMS],
+    "g4_knowledge_edges": _EDGES,
+    "g4_knowledge_nodes": _EDGES,
+    "g7_trace_lineage": [(" WHERE l_orderkey % 50 = 0", "")],
+    "g10_evidence_appendix": [(" WHERE l_orderkey % 60 = 0", "")],
+    "r1_stable_keys": [(" WHERE o_orderkey % 20 = 0", "")],
+    "r5_previous_run": [(" WHERE i.o_orderkey % 10 = 0", "")],
+    "b4_model_cost": [(" WHERE l_orderkey % 20 = 0", "")],
+    "b8_entity_crossing": [(" WHERE l_orderkey % 7 = 0", "")],
 }
 
 
