@@ -10,7 +10,7 @@ from claimloom.queries import query
 
 def category_docs(t):
     d = t("documents").join(t("labels"), "doc_id", "left")
-    noise = F.length(F.regexp_replace(F.substring("text", 1, 400), r"[\p{L}\s.,]", "")) / 400.0
+    noise = F.length(F.regexp_replace("text", r"[\p{L}\s.,]", "")) / F.greatest(F.length("text"), F.lit(1)).cast("double")
     return d.select(F.concat_ws("-", "source", "lang").alias("category"), (F.coalesce("quality", F.lit(0)) == 1).alias("accepted"), F.concat(F.lit("h"), F.col("doc_id") % 5).alias("host"), (F.col("n_chars") > 1500).alias("deep"), noise.alias("noise"), (F.coalesce("toxic", F.lit(0)) == 0).alias("verified"))
 
 

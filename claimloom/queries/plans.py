@@ -191,7 +191,7 @@ def p14(t):
 
 
 def audit(t):
-    p = t("pages").select("page_id", "url", F.substring("html", 1, 3000).alias("text"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), U.hostname(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/]*/([a-z]+)", 1).alias("role"))
+    p = t("pages").select("page_id", "url", F.col("html").alias("text"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), U.hostname(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/]*/([a-z]+)", 1).alias("role"))
     routes = t("pages").where("page_id % 3 > 0").select(U.canonical(F.col("url")).alias("canonical"), F.col("page_id")).groupBy("canonical").agg((F.min("page_id") % 20).alias("task_id"))
     return P.verify_wave(p, routes, url_col="url", topic="tion|keit|ment", conflict="(ung|eau)")
 

@@ -89,7 +89,7 @@ def w6(t):
 
 @query("w7_stream_snapshots", "SELECT min(doc_id) AS doc_id, source AS url FROM documents GROUP BY source, md5(substr(text, 1, 30))")
 def w7(t):
-    c = t("documents").select("doc_id", F.col("source").alias("url"), F.md5(F.substring("text", 1, 30)).alias("content_hash"), F.timestamp_seconds("doc_id").alias("captured_at"))
+    c = t("documents").select("doc_id", F.col("source").alias("url"), F.md5("text").alias("content_hash"), F.timestamp_seconds("doc_id").alias("captured_at"))
     return W.stream_snapshots(c).select("doc_id", "url")
 
 

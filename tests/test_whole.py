@@ -15,6 +15,8 @@ _ORDERS = [(" WHERE o_orderkey % 40 = 0", "")]
 _SAMPLES = [(" WHERE l_orderkey % 200 = 0", "")]
 _CLAIMS = [(" WHERE l_orderkey % 150 = 0", "")]
 _EDGES = [(" WHERE l_orderkey % 10 = 0", ""), (" WHERE o_orderkey % 10 = 0", "")]
+_HTML = [("substr(html, 1, 3000)", "html")]
+_NOISE = [("substr(text, 1, 400)", "text"), ("/ 400.0", "/ CAST(greatest(length(text), 1) AS DOUBLE)")]
 CUTS = {
     "t4_hash_embed": [(" WHERE doc_id % 5 = 0", "")],
     "p2_acquisition_tasks": _ORDERS,
@@ -33,6 +35,13 @@ CUTS = {
     "g1_direct_ledger": _CLAIMS,
     "g5_chapters": _CLAIMS,
     "g6_report_lines": _CLAIMS,
+    "p15_verify_wave": _HTML,
+    "p16_wave_coverage": _HTML,
+    "b1_category_metrics": _NOISE,
+    "b2_score_category": _NOISE,
+    "b7_replay_score": _NOISE,
+    "e8_high_risk_supported": [("substr(c.text, 1, 300)", "c.text")],
+    "w7_stream_snapshots": [("substr(text, 1, 30)", "text")],
     "g2_derived_ledger": [(" WHERE l_orderkey % 5 = 0", ""), *_CLAIMS],
     "g4_knowledge_edges": _EDGES,
     "g4_knowledge_nodes": _EDGES,
