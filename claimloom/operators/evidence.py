@@ -97,6 +97,23 @@ def covered(claim: Column, quotes: Column) -> Column:
     return (n == 0) | (F.size(F.filter(terms, lambda x: text.contains(x))) >= required)
 
 
+def claims_covered(claims: DataFrame, quotes: DataFrame, *, claim_id: str, claim_col: str = "text", quote_col: str = "quote") -> DataFrame:
+    """(claim_id, covered) for each claim that has quotes: ``covered`` over all of them, each tested by itself.
+
+    No term holds white space, so none lies across two quotes. Texts aren't dealt by claim: the claims' terms are
+    broadcast if they are counted to be small, and only the terms found (20 at most a claim) leave the scan of the quotes.
+    """
+    own = claims.select(claim_id, claim_terms(F.col(claim_col)).alias("terms")).distinct()
+    small = own.limit(100_001).count() <= 100_000
+    asked = own.groupBy(claim_id).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("all"))
+    text = quotes.select(claim_id, normalize_text(F.col(quote_col)).alias("q")).join(F.broadcast(asked) if small else asked, claim_id)
+    seen = text.select(claim_id, F.explode_outer(F.filter("all", lambda x: F.col("q").contains(x))).alias("term")).distinct()
+    found = seen.groupBy(claim_id).agg(F.collect_set("term").alias("found"))
+    n = F.size("terms")
+    enough = F.size(F.array_intersect("terms", "found")) >= F.least(F.lit(3), F.greatest(F.lit(1), F.ceil(n * 0.35)))
+    return claims.select(claim_id, claim_terms(F.col(claim_col)).alias("terms")).join(found, claim_id).select(claim_id, ((n == 0) | enough).alias("covered"))
+
+
 def high_risk(c: Column) -> Column:
     return matches_any(c, HIGH_RISK)
 

@@ -83,9 +83,7 @@ _QUOTES = "(SELECT doc_id % 40 AS item_id, string_agg(substr(text, 1, 200), chr(
 FROM (SELECT b.item_id, {sql_terms('b.text')} AS terms, {sql_norm('q.joined')} AS hay FROM benchmark b JOIN {_QUOTES} q ON q.item_id = b.item_id) x""",
 )
 def e6(t):
-    own = t("documents").where("doc_id % 11 = 0").groupBy((F.col("doc_id") % 40).alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 200).alias("s")))).alias("own"))
-    joined = own.select("item_id", F.array_join(F.transform("own", lambda x: x["s"]), "\n").alias("joined"))
-    return t("benchmark").join(joined, "item_id").select("item_id", E.covered(F.col("text"), F.col("joined")).alias("covered"))
+    return E.claims_covered(t("benchmark"), t("documents").select((F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("quote")), claim_id="item_id")
 
 
 @query("e7_high_risk_claim", "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, {sql_text(p)})" for p in E.HIGH_RISK) + " AS high_risk FROM documents")

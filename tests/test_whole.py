@@ -42,6 +42,7 @@ CUTS = {
     "b7_replay_score": _NOISE,
     "e8_high_risk_supported": [("substr(c.text, 1, 300)", "c.text")],
     "w7_stream_snapshots": [("substr(text, 1, 30)", "text")],
+    "e6_claim_covered": [("substr(text, 1, 200)", "text"), (" WHERE doc_id % 11 = 0", "")],
     "g2_derived_ledger": [(" WHERE l_orderkey % 5 = 0", ""), *_CLAIMS],
     "g4_knowledge_edges": _EDGES,
     "g4_knowledge_nodes": _EDGES,
@@ -102,3 +103,12 @@ def test_next_roles_of_late_orders(spark, tmp_path):
     ]:
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert [r.role for r in QUERIES["p17_next_roles"](spark, str(tmp_path)).collect()] == ["a", "b"]
+
+
+def test_claims_covered_by_all_quotes(spark, tmp_path):
+    benchmark = [(1, "alpha beta1 gamma delta zeta"), (2, "alpha beta1"), (3, "a b"), (4, "alpha"), (5, "omega"), (5, "omega alpha")]
+    docs = [(1, "x " * 200 + "ALPHA"), (41, "gam"), (81, "ma beta1"), (2, "none"), (3, None), (5, "omega")]
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["e6_claim_covered"](spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.covered) for r in got) == [(1, True), (2, False), (3, True), (5, True), (5, True)]
