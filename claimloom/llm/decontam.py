@@ -209,41 +209,63 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r["item"], r["text"].encode()) for r in part.collect()]
 
 
+#: Columns that go with a row through the passes: a bit for each word, and the items found.
+HITS, ITEMS = "_hits", "_items"
+
+
+def _hits(packed: bytes | None, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
+
+
+def _marked(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width: int, text_col: str, shard_rows: int) -> DataFrame:
+    """``docs`` with HITS and ITEMS of all blocks, each searched in the texts as they are; rows keep their place."""
+    names = docs.columns
+    out = docs.withColumns({HITS: F.lit(None).cast("binary"), ITEMS: F.lit(None).cast("array<string>")})
+    schema = out.schema
+    for block in blocks:
+        phrases = Phrases(block, width)
+
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, shard_rows):
+                _, starts, hit, items = shard_hits(raw_bytes(b, text_col), phrases)
+                packed, found = b.column(HITS).to_pylist(), b.column(ITEMS).to_pylist()
+                for k in range(b.num_rows):
+                    own = hit[starts[k] : starts[k + 1]]
+                    if own.any():
+                        packed[k] = np.packbits(own | _hits(packed[k], len(own))).tobytes()
+                        found[k] = [*(found[k] or []), *map(str, items[k])]
+                columns = [*(b.column(c) for c in names), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, HITS, ITEMS])
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, shard_rows: int = 2048) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans array<struct<start, end, word, past>>) for every row of ``docs``.
 
-    Each ``shard_rows`` documents of a task are a shard with its own index; no shuffle. The benchmark goes to the tasks in blocks of
-    at most ``block_bytes``; only where it has more than one block are the results of the blocks merged by id. Spans are
-    the removal spans in code points and the words they hold; those of one block are merged. Null texts have no words; an empty benchmark hits nothing; items with a null
-    id are left out; rows that repeat an id each get a row (with more than one block: one row for equal rows).
+    Each ``shard_rows`` documents of a task are a shard with its own index; no shuffle. The benchmark goes to the tasks in
+    blocks of at most ``block_bytes``, a pass for each; hits go along with the row, so the number of blocks changes no result.
+    Spans are the removal spans in code points and the words they hold, neighbours merged. Null texts have no words; an empty benchmark hits nothing; items with a null
+    id are left out; rows that repeat an id each get a row.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(source.dtypes)['id']}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long,word:long,past:long>>"
     span = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "word", "past")]))
-    out = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        phrases = Phrases(block, width)
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, shard_rows):
-                texts = raw_bytes(b, "text")
-                sizes, starts, hit, items = shard_hits(texts, phrases)
-                n_hit, spans = [], []
-                for k, t in enumerate(texts):
-                    own = hit[starts[k] : starts[k + 1]]
-                    n_hit.append(int(own.sum()))
-                    spans.append([{"start": len(t[:a].decode()), "end": len(t[:e].decode()), "word": w, "past": p} for a, e, w, p in removal_spans(t, own)] if n_hit[-1] else [])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), pa.array(spans, span)], ["id", "n_words", "n_hit", "items", "spans"])
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, shard_rows):
+            sizes, n_hit, spans = [], [], []
+            for t, packed in zip(raw_bytes(b, "text"), b.column(HITS).to_pylist()):
+                own = _hits(packed, n := len(words(t)))
+                sizes.append(n)
+                n_hit.append(int(own.sum()))
+                spans.append([{"start": len(t[:a].decode()), "end": len(t[:e].decode()), "word": w, "past": p} for a, e, w, p in removal_spans(t, own)] if n_hit[-1] else [])
+            items = pa.array([sorted(set(x or [])) for x in b.column(ITEMS).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, span)], ["id", "n_words", "n_hit", "items", "spans"])
 
-        out.append(source.mapInArrow(run, schema))
-    if len(out) == 1:
-        return out[0].withColumnRenamed("id", id_col)
-    every = out[0]
-    for part in out[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["word"], s["past"] - 1))))).cast("long")
-    return merged.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "items", "spans")
+    marked = _marked(source, _blocks(benchmark, item_col, item_text_col, block_bytes), width, "text", shard_rows)
+    return marked.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -254,26 +276,20 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text
     """``docs`` with the removal spans cut out of their texts; other columns as they are, but for ``length_col``
     (if given), which gets the new number of characters of a text that changes. Null texts stay null.
 
-    One pass per block of the benchmark, each over what the pass before left.
+    One pass per block of the benchmark over the texts as they are, and then one that cuts.
     """
     names = docs.columns
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        phrases = Phrases(block, width)
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, shard_rows):
-                texts = raw_bytes(b, text_col)
-                _, starts, hit, _ = shard_hits(texts, phrases)
-                column = b.column(text_col).to_pylist()
-                for k, t in enumerate(texts):
-                    own = hit[starts[k] : starts[k + 1]]
-                    if own.any():
-                        parts, at = [], 0
-                        for a, e, _, _ in removal_spans(t, own):
-                            parts.append(t[at:a])
-                            at = e
-                        column[k] = (b"".join(parts) + t[at:]).decode()
-                yield with_texts(b, names, text_col, length_col, column)
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, shard_rows):
+            column = b.column(text_col).to_pylist()
+            for k, (t, packed) in enumerate(zip(raw_bytes(b, text_col), b.column(HITS).to_pylist())):
+                if packed:
+                    parts, at = [], 0
+                    for a, e, _, _ in removal_spans(t, _hits(packed, len(words(t)))):
+                        parts.append(t[at:a])
+                        at = e
+                    column[k] = (b"".join(parts) + t[at:]).decode()
+            yield with_texts(b.select(names), names, text_col, length_col, column)
+
+    return _marked(docs, _blocks(benchmark, item_col, item_text_col, block_bytes), width, text_col, shard_rows).mapInArrow(finish, docs.schema)

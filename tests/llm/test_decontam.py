@@ -66,3 +66,16 @@ def test_frames(spark):
     assert (clean[1], clean[2], clean[4]) == ("zero  é", None, "a . b")
     assert decontam.contamination(docs.limit(0), items).count() == 0
     assert decontam.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcdef") for _ in range(n))
+    items = spark.createDataFrame([(k, text(r.randint(3, 6))) for k in range(8)] + [(8, "one two three four"), (9, "three four five six")], "item_id long, text string")
+    rows = [(r.choice([None, 1, 2]), text(40)) for _ in range(30)] + [(None, "x one two three four five six y"), (None, "x one two three four y y y"), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = lambda n: [tuple(x) for x in decontam.contamination(docs, items, width=3, block_bytes=n).collect()]
+    clean = lambda n: [tuple(x) for x in decontam.without_hits(docs, items, width=3, block_bytes=n).collect()]
+    assert len(list(decontam._blocks(items, "item_id", "text", 20))) > 4
+    assert found(20) == found(1 << 20) and len(found(20)) == len(rows)
+    assert clean(20) == clean(1 << 20) and clean(20)[30][1] == "x  y"
