@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +50,21 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices, so that the Python copies of long texts stay bounded."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Small slices, so that the Python copies of texts stay bounded: at most ``rows`` rows, and at most ``size`` bytes of
+    text unless a single row has more."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                ends += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ends)
+        start = 0
+        while start < batch.num_rows:
+            limit = (ends[start - 1] if start else 0) + size
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, limit, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 #: A-Z to a-z; everything that isn't a word byte to a space. Non-ASCII characters are word characters.
