@@ -14,7 +14,7 @@ def category_docs(t):
     return d.select(F.concat_ws("-", "source", "lang").alias("category"), (F.coalesce("quality", F.lit(0)) == 1).alias("accepted"), F.concat(F.lit("h"), F.col("doc_id") % 5).alias("host"), (F.col("n_chars") > 1500).alias("deep"), noise.alias("noise"), (F.coalesce("toxic", F.lit(0)) == 0).alias("verified"))
 
 
-_DOCS = "(SELECT source || '-' || lang AS category, coalesce(quality, 0) = 1 AS accepted, 'h' || (d.doc_id % 5) AS host, n_chars > 1500 AS deep, length(regexp_replace(substr(text, 1, 400), '[\\p{L}\\s.,]', '', 'g')) / 400.0 AS noise, coalesce(toxic, 0) = 0 AS verified FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+_DOCS = "(SELECT source || '-' || lang AS category, coalesce(quality, 0) = 1 AS accepted, 'h' || (d.doc_id % 5) AS host, n_chars > 1500 AS deep, length(regexp_replace(text, '[\\p{L}\\s.,]', '', 'g')) / CAST(greatest(length(text), 1) AS DOUBLE) AS noise, coalesce(toxic, 0) = 0 AS verified FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 _METRICS = f"(SELECT category, count(*) FILTER (accepted) AS docs, count(DISTINCT host) FILTER (accepted) AS hosts, count(*) FILTER (accepted AND deep) AS deep, coalesce(avg(CAST(verified AS INTEGER)) FILTER (accepted), 0.0) AS verifiable, coalesce(quantile_cont(noise, 0.5) FILTER (accepted), 1.0) AS noise_median, coalesce(max(noise) FILTER (accepted), 1.0) AS noise_max FROM {_DOCS} d GROUP BY category)"
 
 
@@ -55,7 +55,7 @@ def b3(t):
 
 @query(
     "b4_model_cost",
-    "SELECT l_orderkey, CAST(round(1000000 * CAST(sum(l_quantity * 1000 * pi / 1000000 + l_partkey * po / 1000000 + l_linenumber * ps) AS DOUBLE)) AS BIGINT) AS millionths FROM lineitem JOIN (SELECT CAST(n_nationkey AS BIGINT) AS model, CAST(6.5 + n_nationkey AS DOUBLE) AS pi, CAST(27 + n_regionkey AS DOUBLE) AS po, CAST(0.06 AS DOUBLE) AS ps FROM nation) p ON p.model = l_suppkey % 25 WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey",
+    "SELECT l_orderkey, CAST(round(1000000 * CAST(sum(l_quantity * 1000 * pi / 1000000 + l_partkey * po / 1000000 + l_linenumber * ps) AS DOUBLE)) AS BIGINT) AS millionths FROM lineitem JOIN (SELECT CAST(n_nationkey AS BIGINT) AS model, CAST(6.5 + n_nationkey AS DOUBLE) AS pi, CAST(27 + n_regionkey AS DOUBLE) AS po, CAST(0.06 AS DOUBLE) AS ps FROM nation) p ON p.model = l_suppkey % 25 GROUP BY l_orderkey",
 )
 def b4(t):
     usage = t("lineitem").select("l_orderkey", (F.col("l_suppkey") % 25).alias("model"), (F.col("l_quantity") * 1000).cast("long").alias("input_tokens"), F.col("l_partkey").alias("output_tokens"), F.col("l_linenumber").alias("searches"))
@@ -99,11 +99,12 @@ def b7(t):
 
 @query(
     "b8_entity_crossing",
-    """WITH k AS (SELECT DISTINCT l_suppkey % 50 AS competitor, l_partkey % 97 AS part FROM lineitem WHERE l_orderkey % 3 = 0), w AS (SELECT l_orderkey % 500 AS run, l_suppkey % 50 AS competitor, list(DISTINCT l_partkey % 97) AS sources FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY ALL)
+    """WITH k AS (SELECT DISTINCT l_suppkey % 50 AS competitor, l_partkey % 97 AS part FROM lineitem WHERE l_orderkey % 3 = 0), w AS (SELECT l_orderkey % 500 AS run, l_suppkey % 50 AS competitor, list(DISTINCT l_partkey % 97) AS sources FROM lineitem GROUP BY ALL)
 SELECT run, count(*) FILTER (len(list_filter(sources, lambda x: NOT list_contains(coalesce(known, []), x))) > 0) AS crossings FROM w LEFT JOIN (SELECT competitor, list(part) AS known FROM k GROUP BY competitor) q ON q.competitor = w.competitor GROUP BY run""",
 )
 def b8(t):
     li = t("lineitem")
     sites = li.groupBy((F.col("l_orderkey") % 500).alias("run"), (F.col("l_suppkey") % 50).alias("competitor")).agg(F.collect_set(F.col("l_partkey").cast("long") % 97).alias("sources"))
+    # a competitor knows a part of its own parts
     known = li.where("l_orderkey % 3 = 0").groupBy((F.col("l_suppkey") % 50).alias("competitor")).agg(F.collect_set(F.col("l_partkey").cast("long") % 97).alias("known"))
     return B.entity_crossing(sites, sites.select("run", "competitor").join(known, "competitor"), run="run")

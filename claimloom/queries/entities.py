@@ -28,16 +28,16 @@ def m2(t):
 
 @query(
     "m3_union_references",
-    "SELECT arg_max(doc_id, doc_id) AS ord, min(doc_id) AS place, source FROM documents GROUP BY lower(substr(text, 1, 60)), source",
+    "SELECT arg_max(doc_id, doc_id) AS ord, min(doc_id) AS place, source FROM documents GROUP BY lower(text), source",
 )
 def m3(t):
-    rows = t("documents").select(F.col("doc_id").alias("ord"), F.lower(F.substring("text", 1, 60)).alias("quote"), "source")
+    rows = t("documents").select(F.col("doc_id").alias("ord"), F.lower("text").alias("quote"), "source")
     return M.union_references(rows, keys=["quote", "source"]).select("ord", "place", "source")
 
 
 @query(
     "m4_keyword_table",
-    """WITH r AS (SELECT p_type AS keyword, p_partkey AS ord, p_partkey AS e, 'purchase' AS intent, 0 AS place FROM part UNION ALL SELECT lower(o_orderpriority), o_orderkey, o_orderkey, 'pain_point', 1 FROM orders WHERE o_orderkey % 50 = 0
+    """WITH r AS (SELECT p_type AS keyword, p_partkey AS ord, p_partkey AS e, 'purchase' AS intent, 0 AS place FROM part UNION ALL SELECT lower(o_orderpriority), o_orderkey, o_orderkey, 'pain_point', 1 FROM orders
  UNION ALL SELECT ' ' || lower(p_type), p_partkey, p_partkey + 100000, 'research', 2 FROM part WHERE p_size > 45)
 SELECT lower(trim(keyword)) AS key, first(intent ORDER BY place, ord) AS intent, first(keyword ORDER BY place, ord) AS spelling, count(DISTINCT e) AS evidence FROM r GROUP BY ALL""",
 )
@@ -45,7 +45,7 @@ def m4(t):
     part, orders = t("part"), t("orders")
     tables = [
         (part.select(F.col("p_type").alias("keyword"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("evidence_id")), "purchase"),
-        (orders.where("o_orderkey % 50 = 0").select(F.lower("o_orderpriority").alias("keyword"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("evidence_id")), "pain_point"),
+        (orders.select(F.lower("o_orderpriority").alias("keyword"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("evidence_id")), "pain_point"),
         (part.where("p_size > 45").select(F.concat(F.lit(" "), F.lower("p_type")).alias("keyword"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") + 100000).alias("evidence_id")), "research"),
     ]
     return M.keyword_table(tables).withColumn("evidence", F.size("evidence").cast("long"))
@@ -72,12 +72,12 @@ def m6(t):
 
 @query(
     "m7_link_products",
-    """WITH c AS (SELECT s_nationkey AS run, s_suppkey AS competitor, 'brand#' || (s_suppkey % 30) AS name, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier WHERE s_suppkey % 4 = 0),
+    """WITH c AS (SELECT s_nationkey AS run, s_suppkey AS competitor, 'brand#' || (s_suppkey % 30) AS name, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
 p AS (SELECT p_size % 25 AS run, p_partkey AS product, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE lower(p_brand) END AS k FROM part)
 SELECT p.run, product, competitor FROM p JOIN c ON c.run = p.run AND c.name = p.k UNION ALL SELECT p.run, product, competitor FROM p JOIN c ON c.run = p.run AND p.k = '' AND c.n = 1""",
 )
 def m7(t):
-    c = t("supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("run"), F.col("s_suppkey").alias("competitor"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 30).alias("name"))
+    c = t("supplier").select(F.col("s_nationkey").alias("run"), F.col("s_suppkey").alias("competitor"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 30).alias("name"))
     p = t("part").select((F.col("p_size") % 25).alias("run"), F.col("p_partkey").alias("product"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")).alias("competitor_name"))
     return M.link_products(p, c, run="run")
 
@@ -90,6 +90,7 @@ SELECT v, run, key, count(*) AS n FROM (SELECT * FROM n UNION ALL SELECT * FROM
 def m8(t):
     p = t("part")
     old = p.select(F.col("p_size").alias("run"), F.col("p_brand").alias("key"), F.lit("old").alias("v"))
+    # only some runs get new rows, the others keep the old ones
     new = p.where("p_size % 4 = 1").select(F.col("p_size").alias("run"), F.col("p_type").alias("key"), F.lit("new").alias("v"))
     return M.replace_if_any(old, new, run="run").groupBy("v", "run", "key").agg(F.count("*").alias("n"))
 
@@ -101,6 +102,7 @@ FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 > 0) n ON n_
 )
 def m9(t):
     kind = F.element_at(F.array(*map(F.lit, ("rss", "crawler", "url", "csv"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    # some sources have no candidate
     c = t("nation").where("n_nationkey % 5 > 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("method"), F.when(F.col("n_regionkey") == 0, "high").otherwise("low").alias("priority"))
     return M.source_table(t("supplier").withColumn("type", kind), c, on="s_nationkey").select("s_suppkey", "method", "priority", "cadence")
 

@@ -74,7 +74,7 @@ def e5(t):
     return t("benchmark").select("item_id", F.array_join(E.claim_terms(F.col("text")), " ").alias("terms"))
 
 
-_QUOTES = "(SELECT doc_id % 40 AS item_id, string_agg(substr(text, 1, 200), chr(10) ORDER BY doc_id) AS joined FROM documents WHERE doc_id % 11 = 0 GROUP BY ALL)"
+_QUOTES = "(SELECT doc_id % 40 AS item_id, string_agg(text, chr(10) ORDER BY doc_id) AS joined FROM documents GROUP BY ALL)"
 
 
 @query(
@@ -102,7 +102,7 @@ def sql_must(c):
 @query(
     "e8_high_risk_supported",
     f"""SELECT doc_id, coalesce(bool_or(len(list_filter(must, lambda x: NOT contains(quote, x))) = 0 AND quote IS NOT NULL), false) AS supported
-FROM (SELECT c.doc_id, {sql_must("substr(c.text, 1, 300)")} AS must, {sql_norm('q.text')} AS quote FROM documents c LEFT JOIN documents q ON q.source = c.source AND q.doc_id = c.doc_id + 20) x GROUP BY doc_id""",
+FROM (SELECT c.doc_id, {sql_must("c.text")} AS must, {sql_norm('q.text')} AS quote FROM documents c LEFT JOIN documents q ON q.source = c.source AND q.doc_id = c.doc_id + 20) x GROUP BY doc_id""",
 )
 def e8(t):
     d = t("documents")

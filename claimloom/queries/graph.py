@@ -38,7 +38,7 @@ def derived(t):
 _DERIVED = f"""(SELECT claim, kind, evidence, gaps, CASE WHEN len(gaps) = 0 THEN 'eligible' ELSE 'blocked' END AS status FROM (SELECT claim, kind, evidence, list_filter([CASE WHEN named = 0 THEN 'support_required' END, CASE WHEN there < named THEN 'support_missing' END, CASE WHEN bad > 0 THEN 'support_blocked' END,
  CASE WHEN kind = 'inference' AND (there < 2 OR modules < 2) THEN 'two_modules_required' END, CASE WHEN kind = 'hypothesis' AND claim % 3 = 0 THEN 'plan_required' END], lambda x: x IS NOT NULL) AS gaps FROM (
 SELECT d.claim, CASE WHEN d.claim % 2 = 0 THEN 'inference' ELSE 'hypothesis' END AS kind, count(d.s) AS named, count(l.status) AS there, count(*) FILTER (l.status = 'blocked') AS bad, count(DISTINCT l.module) AS modules, len(list_distinct(flatten(list(coalesce(l.ev, []))))) AS evidence
-FROM (SELECT DISTINCT l_orderkey AS claim, CASE WHEN l_orderkey % 35 > 0 THEN l_suppkey END AS s FROM lineitem WHERE l_orderkey % 5 = 0) d LEFT JOIN {_LEDGER} l ON l.claim = d.s AND l.claim % 40 <> 7 GROUP BY d.claim) a) b)"""
+FROM (SELECT DISTINCT l_orderkey AS claim, CASE WHEN l_orderkey % 35 > 0 THEN l_suppkey END AS s FROM lineitem) d LEFT JOIN {_LEDGER} l ON l.claim = d.s AND l.claim % 40 <> 7 GROUP BY d.claim) a) b)"""
 
 
 @query("g2_derived_ledger", f"SELECT claim, kind, status, array_to_string(gaps, ',') AS gaps, evidence FROM {_DERIVED} d")
@@ -63,8 +63,8 @@ def edges(t):
     ])
 
 
-_EDGES = """(SELECT 'source:' || n_nationkey AS src, 'module:' || n_regionkey AS dst, 'belongs_to' AS relation FROM nation UNION SELECT 'document:' || s_suppkey, 'source:' || s_nationkey, 'from' FROM supplier UNION SELECT 'claim:' || l_partkey, 'document:' || l_suppkey, 'supported_by' FROM lineitem WHERE l_orderkey % 10 = 0
-UNION SELECT 'finding:' || l_orderkey, 'claim:' || l_partkey, 'cites' FROM lineitem WHERE l_orderkey % 10 = 0 UNION SELECT 'report:' || o_custkey, 'finding:' || o_orderkey, 'contains' FROM orders WHERE o_orderkey % 10 = 0)"""
+_EDGES = """(SELECT 'source:' || n_nationkey AS src, 'module:' || n_regionkey AS dst, 'belongs_to' AS relation FROM nation UNION SELECT 'document:' || s_suppkey, 'source:' || s_nationkey, 'from' FROM supplier UNION SELECT 'claim:' || l_partkey, 'document:' || l_suppkey, 'supported_by' FROM lineitem
+UNION SELECT 'finding:' || l_orderkey, 'claim:' || l_partkey, 'cites' FROM lineitem UNION SELECT 'report:' || o_custkey, 'finding:' || o_orderkey, 'contains' FROM orders)"""
 
 
 @query("g4_knowledge_edges", f"SELECT * FROM {_EDGES} e")
@@ -97,7 +97,7 @@ def g6(t):
 
 @query(
     "g7_trace_lineage",
-    "SELECT n_regionkey AS n0, n_nationkey AS n1, s_suppkey AS n2, l_orderkey AS n3, o_custkey AS n4 FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey % 50 = 0) l ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey",
+    "SELECT n_regionkey AS n0, n_nationkey AS n1, s_suppkey AS n2, l_orderkey AS n3, o_custkey AS n4 FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) l ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey",
 )
 def g7(t):
     hop = lambda df, a, b: df.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
@@ -133,7 +133,7 @@ def g9(t):
 
 @query(
     "g10_evidence_appendix",
-    """WITH c AS (SELECT l_orderkey AS claim, list_sort(list(DISTINCT l_suppkey)) AS e FROM lineitem WHERE l_orderkey % 60 = 0 GROUP BY ALL), x AS (SELECT claim, k - 1 AS place, e[k] AS evidence_id FROM (SELECT claim, e, unnest(range(1, len(e) + 1)) AS k FROM c) q)
+    """WITH c AS (SELECT l_orderkey AS claim, list_sort(list(DISTINCT l_suppkey)) AS e FROM lineitem GROUP BY ALL), x AS (SELECT claim, k - 1 AS place, e[k] AS evidence_id FROM (SELECT claim, e, unnest(range(1, len(e) + 1)) AS k FROM c) q)
 SELECT claim, CAST(place AS INTEGER) AS place, evidence_id, s_nationkey AS source, n_name AS role, CASE WHEN s_nationkey IS NULL THEN 'evidence_missing' WHEN n_name IS NULL THEN 'source_missing' END AS problem
 FROM x LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 9 > 0) s ON s_suppkey = evidence_id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 8 > 0) n ON n_nationkey = s_nationkey""",
 )

@@ -36,7 +36,7 @@ def current(t):
     return o.groupBy(F.col("o_orderpriority").alias("plan"), F.col("c_nationkey").alias("row_id")).agg((F.count("*") % 5).alias("sources"), F.countDistinct("c_mktsegment").alias("roles"), F.count_if(F.col("o_totalprice") > 300000).alias("samples"))
 
 
-_CURRENT = "(SELECT o_orderpriority AS plan, c_nationkey AS row_id, count(*) % 5 AS sources, count(DISTINCT c_mktsegment) AS roles, count(*) FILTER (o_totalprice > 300000) AS samples FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0 GROUP BY ALL)"
+_CURRENT = "(SELECT o_orderpriority AS plan, c_nationkey AS row_id, count(*) % 5 AS sources, count(DISTINCT c_mktsegment) AS roles, count(*) FILTER (o_totalprice > 300000) AS samples FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 _GAP = "CASE WHEN {0} < min_{0} THEN '{0}:' || {0} || '/' || min_{0} END"
 _TASKS = f"""(SELECT plan, row_id, module, gaps, CASE WHEN len(gaps) = 0 THEN 'none' WHEN module IN (0, 2) THEN 'critical' WHEN len(gaps) > 1 THEN 'high' ELSE 'medium' END AS priority FROM (SELECT *, list_filter([{', '.join(_GAP.format(x) for x in ('sources', 'roles', 'samples'))}], lambda x: x IS NOT NULL) AS gaps
 FROM (SELECT m.*, coalesce(c.sources, 0) AS sources, coalesce(c.roles, 0) AS roles, coalesce(c.samples, 0) AS samples FROM {_MATRIX} m LEFT JOIN {_CURRENT} c ON c.plan = m.plan AND c.row_id = m.row_id) a) b)"""
@@ -127,7 +127,7 @@ def samples(t):
 
 
 _SAMPLES = """(SELECT l_suppkey AS sample, list_extract(['competitor', 'channel', 'analogy'], CAST(l_suppkey % 3 + 1 AS INTEGER)) AS relationship, CASE WHEN l_suppkey % 7 = 2 OR l_suppkey % 3 = 2 THEN 'analogy' ELSE 'actor' END AS sample_type, CASE WHEN l_suppkey % 9 = 0 THEN 'draft' ELSE 'validated' END AS status,
- list(DISTINCT p_type) AS taxonomy, list(DISTINCT 't' || (p_size % 6)) AS price_tier, list(DISTINCT p_brand) AS channel FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 200 = 0 GROUP BY l_suppkey)"""
+ list(DISTINCT p_type) AS taxonomy, list(DISTINCT 't' || (p_size % 6)) AS price_tier, list(DISTINCT p_brand) AS channel FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey)"""
 
 
 @query(
@@ -175,29 +175,30 @@ def p12(t):
     return P.relationship_backfill(s.where("sample % 10 < 2"), s.where("sample % 10 >= 2"), s.groupBy("relationship").agg((F.max("sample") % 7 + 8).alias("least")), sample="sample").select("sample", "relationship")
 
 
-@query("p13_axis_coverage", f"WITH a AS (SELECT DISTINCT p_size % 5 AS axis, p_brand AS item FROM part), k AS (SELECT DISTINCT sample % 5 AS axis, unnest(channel) AS item FROM {_SAMPLES} x WHERE sample % 6 = 0) SELECT a.axis, count(k.item) AS covered, coalesce(string_agg(CASE WHEN k.item IS NULL THEN a.item END, ',' ORDER BY a.item), '') AS uncovered FROM a LEFT JOIN k ON k.axis = a.axis AND k.item = a.item GROUP BY a.axis")
+@query("p13_axis_coverage", f"WITH a AS (SELECT DISTINCT p_size % 5 AS axis, p_brand AS item FROM part), k AS (SELECT DISTINCT sample % 5 AS axis, unnest(channel) AS item FROM {_SAMPLES} x) SELECT a.axis, count(k.item) AS covered, coalesce(string_agg(CASE WHEN k.item IS NULL THEN a.item END, ',' ORDER BY a.item), '') AS uncovered FROM a LEFT JOIN k ON k.axis = a.axis AND k.item = a.item GROUP BY a.axis")
 def p13(t):
     axes = t("part").select((F.col("p_size") % 5).cast("long").alias("axis"), F.col("p_brand").alias("item")).distinct()
-    keys = samples(t).where("sample % 6 = 0").select((F.col("sample") % 5).cast("long").alias("axis"), F.explode("channel").alias("item"))
+    keys = samples(t).select((F.col("sample") % 5).cast("long").alias("axis"), F.explode("channel").alias("item"))
     return P.axis_coverage(axes, keys).withColumn("uncovered", F.array_join("uncovered", ","))
 
 
-@query("p14_coverage_gate", f"WITH k AS (SELECT 'type:' || item AS requirement, count(*) AS found FROM (SELECT sample, unnest(taxonomy) AS item FROM {_SAMPLES} x WHERE sample % 3 = 0) q GROUP BY ALL UNION ALL SELECT 'relationship:' || relationship, count(*) FROM {_SAMPLES} x GROUP BY ALL), r AS (SELECT DISTINCT 'type:' || p_type AS requirement, 20 AS least FROM part UNION ALL SELECT 'relationship:' || relationship, 30 FROM {_SAMPLES} x GROUP BY ALL) SELECT r.requirement, coalesce(found, 0) AS found, least, CASE WHEN coalesce(found, 0) >= least THEN 'pass' ELSE 'gap' END AS status FROM r LEFT JOIN k ON k.requirement = r.requirement")
+@query("p14_coverage_gate", f"WITH k AS (SELECT 'type:' || item AS requirement, count(*) AS found FROM (SELECT sample, unnest(taxonomy) AS item FROM {_SAMPLES} x) q GROUP BY ALL UNION ALL SELECT 'relationship:' || relationship, count(*) FROM {_SAMPLES} x GROUP BY ALL), r AS (SELECT DISTINCT 'type:' || p_type AS requirement, 20 AS least FROM part UNION ALL SELECT 'relationship:' || relationship, 30 FROM {_SAMPLES} x GROUP BY ALL) SELECT r.requirement, coalesce(found, 0) AS found, least, CASE WHEN coalesce(found, 0) >= least THEN 'pass' ELSE 'gap' END AS status FROM r LEFT JOIN k ON k.requirement = r.requirement")
 def p14(t):
     s = samples(t)
-    counts = s.where("sample % 3 = 0").select(F.explode("taxonomy").alias("i")).groupBy(F.concat(F.lit("type:"), "i").alias("requirement")).agg(F.count("*").alias("found")).unionByName(s.groupBy(F.concat(F.lit("relationship:"), "relationship").alias("requirement")).agg(F.count("*").alias("found")))
+    counts = s.select(F.explode("taxonomy").alias("i")).groupBy(F.concat(F.lit("type:"), "i").alias("requirement")).agg(F.count("*").alias("found")).unionByName(s.groupBy(F.concat(F.lit("relationship:"), "relationship").alias("requirement")).agg(F.count("*").alias("found")))
     needs = t("part").select(F.concat(F.lit("type:"), "p_type").alias("requirement")).distinct().withColumn("least", F.lit(20)).unionByName(s.select(F.concat(F.lit("relationship:"), "relationship").alias("requirement")).distinct().withColumn("least", F.lit(30)))
     return P.coverage_gate(counts, needs)
 
 
 def audit(t):
     p = t("pages").select("page_id", "url", F.col("html").alias("text"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), U.hostname(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/]*/([a-z]+)", 1).alias("role"))
+    # some pages have no route
     routes = t("pages").where("page_id % 3 > 0").select(U.canonical(F.col("url")).alias("canonical"), F.col("page_id")).groupBy("canonical").agg((F.min("page_id") % 20).alias("task_id"))
     return P.verify_wave(p, routes, url_col="url", topic="tion|keit|ment", conflict="(ung|eau)")
 
 
 _AUDIT = f"""(SELECT page_id, host, role, task_id, hits, CASE WHEN task_id IS NULL THEN 'unrouted' WHEN regexp_matches(lower(title), '(ung|eau)') THEN 'conflicting' WHEN starts_with(text, '%PDF') THEN 'needs_parser' WHEN hits >= 2 THEN 'relevant' ELSE 'off_topic' END AS status FROM (
-SELECT p.page_id, regexp_replace(lower(regexp_extract(p.url, '^https?://([^/]*)', 1)), '^www\\.', '') AS host, regexp_extract(p.url, '^https?://[^/]*/([a-z]+)', 1) AS role, substr(html, 1, 3000) AS text, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, task_id, len(regexp_extract_all(lower(substr(html, 1, 3000)), '(tion|keit|ment)')) AS hits
+SELECT p.page_id, regexp_replace(lower(regexp_extract(p.url, '^https?://([^/]*)', 1)), '^www\\.', '') AS host, regexp_extract(p.url, '^https?://[^/]*/([a-z]+)', 1) AS role, html AS text, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, task_id, len(regexp_extract_all(lower(html), '(tion|keit|ment)')) AS hits
 FROM pages p LEFT JOIN (SELECT {sql_canonical('url')} AS c, min(page_id) % 20 AS task_id FROM pages WHERE page_id % 3 > 0 GROUP BY c) r ON r.c = {sql_canonical('p.url')}) a)"""
 
 
@@ -212,13 +213,13 @@ def p16(t):
     return P.wave_coverage(audit(t), todo)
 
 
-@query("p17_next_roles", "SELECT role FROM (SELECT n_name AS role, min(o_orderkey) AS first_ord FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey < 400 GROUP BY n_name) q WHERE role NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) ORDER BY first_ord, role LIMIT 8")
+@query("p17_next_roles", "SELECT role FROM (SELECT n_name AS role, min(o_orderkey) AS first_ord FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name) q WHERE role NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) ORDER BY first_ord, role LIMIT 8")
 def p17(t):
     own = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("o_orderkey").alias("ord"), F.array("n_name").alias("roles"))
     return P.next_roles(own, t("nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("role")))
 
 
-@query("p18_final_coverage", f"""WITH m AS (SELECT * FROM {_MATRIX} m), h AS (SELECT i.plan, row_id, count(DISTINCT sample) AS samples FROM (SELECT plan, row_id, unnest(axis_items) AS item FROM m) i JOIN (SELECT DISTINCT o_orderpriority AS plan, l_suppkey AS sample, p_type AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 500 = 0 AND p_size > 40) s ON s.plan = i.plan AND s.item = i.item GROUP BY i.plan, row_id)
+@query("p18_final_coverage", f"""WITH m AS (SELECT * FROM {_MATRIX} m), h AS (SELECT i.plan, row_id, count(DISTINCT sample) AS samples FROM (SELECT plan, row_id, unnest(axis_items) AS item FROM m) i JOIN (SELECT DISTINCT o_orderpriority AS plan, l_suppkey AS sample, p_type AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey) s ON s.plan = i.plan AND s.item = i.item GROUP BY i.plan, row_id)
 SELECT m.plan, m.row_id, module, coalesce(samples, 0) AS samples, m.row_id % 2 + CASE WHEN coalesce(samples, 0) < min_samples THEN 1 ELSE 0 END AS gaps FROM m LEFT JOIN h ON h.plan = m.plan AND h.row_id = m.row_id""")
 def p18(t):
     s = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_orderpriority").alias("plan"), F.col("l_suppkey").alias("sample"), F.col("p_type").alias("item")).distinct()
@@ -244,7 +245,7 @@ def judged(t):
     return P.module_claims(supplier_claims(t), evidence, t("part").where("p_type <> 'PROMO'").select(F.col("p_type").alias("item")).distinct(), policy, claim="claim")
 
 
-_CLAIMS = """(SELECT s_suppkey AS claim, n_regionkey AS module, s_suppkey % 4 AS claim_role, coalesce(items, []) AS items, coalesce(ev, []) AS ev FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, list(DISTINCT p_type) AS items, list(DISTINCT l_orderkey) AS ev FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 150 = 0 GROUP BY l_suppkey) l ON l.l_suppkey = s_suppkey)"""
+_CLAIMS = """(SELECT s_suppkey AS claim, n_regionkey AS module, s_suppkey % 4 AS claim_role, coalesce(items, []) AS items, coalesce(ev, []) AS ev FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, list(DISTINCT p_type) AS items, list(DISTINCT l_orderkey) AS ev FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey) l ON l.l_suppkey = s_suppkey)"""
 _JUDGED = f"""(SELECT claim, module, items, list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = module AND n_nationkey % 3 = claim_role) THEN 'claim_role_not_allowed' END, CASE WHEN len(ev) > 0 AND len(list_filter(ev, lambda x: x % 450 = 0)) > 0 THEN 'evidence_incomplete' END, CASE WHEN len(ev) = 0 THEN 'evidence_missing' END, CASE WHEN list_contains(items, 'PROMO') THEN 'unknown_axis_item' END], lambda x: x IS NOT NULL) AS failures FROM {_CLAIMS} c)"""
 
 

@@ -37,7 +37,7 @@ _BYTE = "CAST('0x' || substr(sha256(w), {0}, 2) AS INTEGER)"
 
 @query(
     "t4_hash_embed",
-    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE doc_id % 5 = 0), b AS (SELECT doc_id, {_BYTE.format(1)} % 64 AS bucket, sum(CASE WHEN {_BYTE.format(3)} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL),
+    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents), b AS (SELECT doc_id, {_BYTE.format(1)} % 64 AS bucket, sum(CASE WHEN {_BYTE.format(3)} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY doc_id)
 SELECT b.doc_id, bucket, round(v / norm, 6) AS value FROM b JOIN n ON n.doc_id = b.doc_id WHERE v <> 0""",
 )

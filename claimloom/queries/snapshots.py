@@ -12,15 +12,15 @@ from claimloom.queries.urls import sql_canonical
 
 def captures(t):
     url = F.concat(F.lit("http://"), F.col("source"), F.lit(".example/p"), F.floor(F.col("doc_id") / 20) % 30)
-    return V.content_address(t("documents").select("doc_id", F.col("doc_id").alias("captured_at"), "source", url.alias("url"), F.substring("text", 1, 40).alias("content"), (F.col("doc_id") % 3).alias("requests"), (F.col("doc_id") % 5).alias("credits"), (F.col("n_chars") % 7 * F.lit(0.25)).alias("cost")))
+    return V.content_address(t("documents").select("doc_id", F.col("doc_id").alias("captured_at"), "source", url.alias("url"), F.col("text").alias("content"), (F.col("doc_id") % 3).alias("requests"), (F.col("doc_id") % 5).alias("credits"), (F.col("n_chars") % 7 * F.lit(0.25)).alias("cost")))
 
 
 def chain(t):
     return V.version_chain(V.dedupe_snapshots(captures(t)))
 
 
-_CAP = """(SELECT *, substr(sha256(url || chr(10) || content_hash), 1, 24) AS snapshot_id, octet_length(encode(content)) AS content_bytes FROM (SELECT doc_id, source, 'http://' || source || '.example/p' || (doc_id // 20 % 30) AS url, substr(text, 1, 40) AS content,
- 'sha256:' || sha256(substr(text, 1, 40)) AS content_hash, doc_id % 3 AS requests, doc_id % 5 AS credits, n_chars % 7 * 0.25 AS cost FROM documents) q)"""
+_CAP = """(SELECT *, substr(sha256(url || chr(10) || content_hash), 1, 24) AS snapshot_id, octet_length(encode(content)) AS content_bytes FROM (SELECT doc_id, source, 'http://' || source || '.example/p' || (doc_id // 20 % 30) AS url, text AS content,
+ 'sha256:' || sha256(text) AS content_hash, doc_id % 3 AS requests, doc_id % 5 AS credits, n_chars % 7 * 0.25 AS cost FROM documents) q)"""
 _DEDUP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, content_hash ORDER BY doc_id) AS k FROM {_CAP} c) d WHERE k = 1)"
 _CHAIN = f"(SELECT *, lag(snapshot_id) OVER (PARTITION BY url ORDER BY doc_id) AS supersedes FROM {_DEDUP} e)"
 
@@ -63,10 +63,11 @@ def v5(t):
     return V.verify_store(bad)
 
 
-@query("v6_merge_waves", "SELECT o_custkey, wave, count(*) AS n FROM (SELECT o_orderkey, o_custkey, 2 AS wave FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, 1 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0) q GROUP BY o_custkey, wave")
+@query("v6_merge_waves", "SELECT o_custkey, wave, count(*) AS n FROM (SELECT o_orderkey, o_custkey, 2 AS wave FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, 1 FROM orders WHERE o_orderkey % 3 <> 0) q GROUP BY o_custkey, wave")
 def v6(t):
     o = t("orders").select("o_orderkey", "o_custkey")
-    merged = V.merge_waves(o.where("o_orderkey % 2 = 0").withColumn("wave", F.lit(1)), o.where("o_orderkey % 3 = 0").withColumn("wave", F.lit(2)), key="o_orderkey")
+    # the second wave replaces a third of the first
+    merged = V.merge_waves(o.withColumn("wave", F.lit(1)), o.where("o_orderkey % 3 = 0").withColumn("wave", F.lit(2)), key="o_orderkey")
     return merged.groupBy("o_custkey", "wave").agg(F.count("*").alias("n"))
 
 

@@ -30,10 +30,10 @@ def s2(t):
     return S.seeds_to_documents(S.parse_seed_lines(t("supplier").select("s_suppkey", line.alias("line"))), key="s_suppkey")
 
 
-@query("s3_parse_search_payload", "SELECT page_id % 10 AS batch, 'v' || page_id AS video, url AS title, 'https://www.youtube.com/watch?v=v' || page_id AS url, url || chr(10) || 'c' || chr(10) || substr(html, 1, 20) AS text FROM pages WHERE page_id % 7 > 0")
+@query("s3_parse_search_payload", "SELECT page_id // 10 AS batch, 'v' || page_id AS video, url AS title, 'https://www.youtube.com/watch?v=v' || page_id AS url, url || chr(10) || 'c' || chr(10) || html AS text FROM pages WHERE page_id % 7 > 0")
 def s3(t):
-    item = F.struct(F.struct(F.when(F.col("page_id") % 7 > 0, F.concat(F.lit("v"), F.col("page_id"))).alias("videoId")).alias("id"), F.struct(F.col("url").alias("title"), F.substring("html", 1, 20).alias("description"), F.lit("c").alias("channelTitle")).alias("snippet"))
-    payloads = t("pages").groupBy((F.col("page_id") % 10).alias("batch")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("payload"))
+    item = F.struct(F.struct(F.when(F.col("page_id") % 7 > 0, F.concat(F.lit("v"), F.col("page_id"))).alias("videoId")).alias("id"), F.struct(F.col("url").alias("title"), F.col("html").alias("description"), F.lit("c").alias("channelTitle")).alias("snippet"))
+    payloads = t("pages").groupBy(F.floor(F.col("page_id") / 10).alias("batch")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("payload"))
     return S.parse_search_payload(payloads, key="batch")
 
 
@@ -106,7 +106,7 @@ def s10(t):
     "s11_backfill_plan",
     """SELECT status, count(*) AS n FROM (SELECT CASE WHEN e.k IS NULL THEN 'insert' WHEN l.v > e.v THEN 'update' ELSE 'skip' END AS status FROM (SELECT o_custkey AS k, max(o_orderdate) AS v FROM orders GROUP BY k) l LEFT JOIN (SELECT o_custkey AS k, max(o_orderdate) AS v FROM orders WHERE o_orderkey % 4 = 0 GROUP BY k) e ON e.k = l.k) q GROUP BY status""",
 )
-def s11(t):
+def s11(t):  # what is there already is a part of the orders
     part = lambda o: o.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("v"))
     return S.backfill_plan(part(t("orders")), part(t("orders").where("o_orderkey % 4 = 0")), key="k", version="v")
 
@@ -117,7 +117,7 @@ def s11(t):
 UNION ALL SELECT l_orderkey, l_linenumber, 'primary_key' FROM l GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT l_orderkey, l_linenumber, 'foreign_key:l_orderkey' FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 13 > 0))
 SELECT violation, count(*) AS n, sum(l_orderkey) AS keys FROM v GROUP BY violation""",
 )
-def s12(t):
+def s12(t):  # some parents are missing
     li = t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 97 > 0, F.col("l_partkey")).alias("p"), "l_quantity")
     v = S.check_constraints(li, key=["l_orderkey", "l_linenumber"], required=["p"], checks={"quantity": F.col("l_quantity") < 50}, parent=(t("orders").where("o_orderkey % 13 > 0"), "l_orderkey", "o_orderkey"))
     return v.groupBy("violation").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))

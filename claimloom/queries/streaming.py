@@ -87,7 +87,7 @@ def w6(t):
     return W.expire_tokens(issued, e.where("event_type = 'click'").select("token", F.col("ts").alias("used_at"), F.col("event_id").alias("use_id")), ttl="20 days")
 
 
-@query("w7_stream_snapshots", "SELECT min(doc_id) AS doc_id, source AS url FROM documents GROUP BY source, md5(substr(text, 1, 30))")
+@query("w7_stream_snapshots", "SELECT min(doc_id) AS doc_id, source AS url FROM documents GROUP BY source, md5(text)")
 def w7(t):
     c = t("documents").select("doc_id", F.col("source").alias("url"), F.md5("text").alias("content_hash"), F.timestamp_seconds("doc_id").alias("captured_at"))
     return W.stream_snapshots(c).select("doc_id", "url")

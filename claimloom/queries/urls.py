@@ -144,6 +144,7 @@ SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.host
 )
 def u9(t):
     rule = F.concat(F.lit("User-agent: x\nDisallow: /"), F.regexp_extract("url", r"^https?://[^/]*/([a-z]+)/", 1), F.lit("/"), F.regexp_extract("url", r"/([0-9])", 1), F.lit("*?q"))
+    # some hosts state rules
     some = lambda name: t(name).where("page_id % 7 = 0")
     rules = O.robots_rules(_bodies(some, rule), key="host")
     pages = t("pages").withColumn("host", U.hostname(F.col("url")))
@@ -214,6 +215,7 @@ SELECT target_id, coalesce((SELECT min(source_id) FROM s WHERE s.candidate_id =
 )
 def u16b(t):
     p = t("pages").withColumn("value", U.hostname(F.col("url")))
+    # some pages are no source
     sources = p.where("page_id % 3 > 0").select(F.col("page_id").alias("source_id"), (F.col("page_id") % 4).alias("candidate_id"), "value")
     return O.targets_to_sources(p.select(F.col("page_id").alias("target_id"), (F.col("page_id") % 5).alias("candidate_id"), "value"), sources)
 
@@ -226,6 +228,7 @@ SELECT p.page_id, m.role FROM pages p LEFT JOIN m ON m.page_id = p.page_id AND k
 )
 def u17(t):
     p = t("pages").select("page_id", U.hostname(F.col("url")).alias("host"))
+    # some hosts have a rule
     rules = p.where("page_id % 9 = 0").groupBy(F.col("host").alias("suffix")).agg(F.concat(F.lit("host_"), F.min("page_id")).alias("role"))
     rules = rules.unionByName(p.select(F.regexp_extract("host", r"(example\.(org|com))$", 1).alias("suffix")).where("suffix <> ''").distinct().withColumn("role", F.when(F.col("suffix") == "example.org", "organisation").otherwise("company")))
     return O.role_for_host(p, rules, id_col="page_id")
