@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]\S*")
 _WORD = re.compile(r"\S+")
+_DIGIT = re.compile(r"[0-9]+")
+_AFTER = re.compile(r"\s*(\S*)\s*(\S*)\s*(\S*)")
 
 
 def luhn(digits: str) -> bool:
@@ -54,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for i in range(0, len(groups) - 3, 4):
             four = groups[i : i + 4]
             end = start + sum(map(len, four)) + 3
-            if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in four):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (g.lstrip("0") for g in four)):
                 out.append((start, 1, end))
             start = end + 1
     for m in _CARD.finditer(text):
@@ -111,12 +115,17 @@ def labelled_table(rounds: int = 12) -> list[tuple[list[str], list[str]]]:
         a, b, c = digits(3), digits(3), digits(4)
         return (f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {a} {b}{c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}")[draw(6)]
 
+    def odd(n: int) -> str:  # as long as a card's number, with a wrong check digit
+        body = digits(n - 1)
+        return body + next(str(d) for d in range(draw(9), 10) if not luhn(body + str(d)))
+
     def number() -> str:
         return (
             digits(1 + draw(4)), digits(1) + ".", f"{digits(1)}.{digits(1)}.", f"{digits(2)}.{digits(2)}", f"{digits(1)},{digits(3)}", "19" + digits(2), f"{digits(2)}%",
             f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"{digits(1)}:{digits(2)}", letters(20, "0123456789abcdef"), letters(40, "0123456789abcdef"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
             f"password={letters(16, '0123456789abcdef')}", digits(6), f"{letters(3)}{digits(2)}", f"v{digits(1)}.{digits(1)}", f"({digits(1)})", f"{digits(2)}-{digits(2)}", "@" + letters(6),
-        )[draw(19)]
+            odd(16), " ".join(re.findall("....", odd(16))), odd(15), digits(20 + draw(5)), digits(10 + draw(3)),
+        )[draw(24)]
 
     make = {"e": (email, "email"), "i": (ip, "ip"), "c": (card, "card"), "p": (phone, "phone"), "n": (number, None)}
     out = []
@@ -160,13 +169,24 @@ def has_trigger(word: str) -> bool:
     return any(c in "0123456789@" for c in word)
 
 
+def valid(words: list[str], i: int) -> str:
+    """Whether the digits of word ``i``, or of it and neighbours of four digits, are as many as a card has and pass Luhn."""
+    four = lambda j: 0 <= j < len(words) and len(words[j]) in (4, 5) and words[j][:4].isdecimal()
+    for first in range(i - 3, i + 1):
+        if all(map(four, range(first, first + 4))):
+            return str(luhn("".join(_DIGIT.findall(" ".join(w[:4] for w in words[first : first + 4])))))
+    digits = "".join(_DIGIT.findall(words[i])) if len(words[i]) < 40 else ""
+    return str(luhn(digits)) if 14 <= len(digits) <= 19 else ""
+
+
 def features(words: list[str], i: int) -> list[str]:
-    """Names of the features of one word: its shape, the lengths of its digit runs, and its neighbours' shapes."""
+    """Names of the features of one word: its shape, the lengths of its digit runs, its check digit, and its neighbours'
+    shapes."""
     w = words[i]
     core = w.strip(".,;:!?()<>[]\"'")
     runs = "-".join(str(min(len(r), 20)) for r in re.findall(r"[0-9]+", core)[:6])
     count = sum(c.isdigit() for c in core)
-    out = ["1", f"s={shape(core)}", f"r={runs}", f"d={min(count, 20)}", f"a={'@' in core}", f"dots={min(core.count('.'), 5)}", f"p={w[0] if not w[0].isalnum() else ''}", f"x={bool(re.search('[A-Za-z]', core))}"]
+    out = ["1", f"s={shape(core)}", f"r={runs}", f"d={min(count, 20)}", f"a={'@' in core}", f"dots={min(core.count('.'), 5)}", f"p={w[0] if not w[0].isalnum() else ''}", f"x={bool(re.search('[A-Za-z]', core))}", f"l={valid(words, i)}"]
     for k in (-2, -1, 1, 2):
         j = i + k
         if 0 <= j < len(words):
@@ -214,6 +234,23 @@ class Crf:
         return out
 
 
+def forward_backward(u: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log sums over the paths to and from each tag of a run (scores: words x tags) between two words at O, and over all."""
+    n = len(u)
+    f, b = np.empty_like(u), np.empty_like(u)
+    f[0], b[-1] = u[0] + pair[0], pair[:, 0]
+    for t in range(1, n):
+        f[t] = _logsum(f[t - 1][:, None] + pair, 0) + u[t]
+    for t in range(n - 2, -1, -1):
+        b[t] = _logsum(pair + (u[t + 1] + b[t + 1])[None], 1)
+    return f, b, float(_logsum(f[-1] + b[-1], 0))
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
 def train(table: list[tuple[list[str], list[str]]], *, epochs: int = 40, rate: float = 0.5, l2: float = 1e-3) -> Crf:
     """Maximum likelihood by AdaGrad over the labelled sentences; the same weights each time."""
     names: dict[str, int] = {}
@@ -240,19 +277,7 @@ def train(table: list[tuple[list[str], list[str]]], *, epochs: int = 40, rate: f
         for ids, tags in data:
             n = len(ids)
             u = np.array([unary[i].sum(0) for i in ids])
-            f, b = np.empty((n, k)), np.empty((n, k))
-            f[0] = u[0] + full[0]
-            for t in range(1, n):
-                x = f[t - 1][:, None] + full
-                m = x.max(0)
-                f[t] = m + np.log(np.exp(x - m).sum(0)) + u[t]
-            b[-1] = full[:, 0]
-            for t in range(n - 2, -1, -1):
-                x = full + (u[t + 1] + b[t + 1])[None]
-                m = x.max(1)
-                b[t] = m + np.log(np.exp(x - m[:, None]).sum(1))
-            z = f[-1] + b[-1]
-            logz = z.max() + np.log(np.exp(z - z.max()).sum())
+            f, b, logz = forward_backward(u, full)
             for t in range(n):
                 p = -np.exp(f[t] + b[t] - logz)
                 p[tags[t]] += 1
@@ -271,6 +296,21 @@ def train(table: list[tuple[list[str], list[str]]], *, epochs: int = 40, rate: f
     return Crf(names, unary, pair + illegal)
 
 
+def words_before(text: str, end: int, n: int) -> list[str]:
+    """The ``n`` whole words before a place."""
+    out = []
+    while end and len(out) < n:
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and not text[start - 1].isspace():
+            start -= 1
+        if start < end:
+            out.append(text[start:end])
+        end = start
+    return out[::-1]
+
+
 def model_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) that the chain tags in each text, decoded together."""
     runs, places = [], []
@@ -289,12 +329,11 @@ def model_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
             run.append((start, end))
             if k + 1 < len(spans) and text[end : spans[k + 1][0]].isspace():
                 continue
-            before = text[max(0, run[0][0] - 200) : run[0][0]].split()[-2:]
-            after = text[end : end + 200].split()[:2]
+            before = words_before(text, run[0][0], 3)
+            after = [x for x in _AFTER.match(text, end).groups() if x]
             words = [*before, *(text[a:b] for a, b in run), *after]
             scores = []
             for i in range(len(run)):
-                near = tuple(words[max(0, len(before) + i - 2) : len(before) + i + 3])
                 feats = features(words, len(before) + i)
                 key = tuple(feats)
                 if key not in known:
@@ -324,12 +363,13 @@ def model_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def all_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
-    """Base spans, and those of the chain that overlap none of them."""
+def all_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int, bool]]]:
+    """(start, kind, end, base) of the base spans, and of those of the chain that overlap none of them."""
     out = []
     for base, more in zip(map(base_spans, texts), model_spans(texts, crf)):
-        added = [x for x in more if all(x[2] <= b[0] or x[0] >= b[2] for b in base)]
-        out.append(sorted(base + added))
+        starts, ends = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+        free = lambda x: not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[0]  # noqa: E731, B023
+        out.append(sorted([(*x, True) for x in base] + [(*x, False) for x in more if free(x)]))
     return out
 
 
@@ -347,10 +387,7 @@ def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("base", pa.bool_())]))
         for b in slices(batches):
             texts = strings(b, "text")
-            spans = []
-            for t, base, found in zip(texts, map(base_spans, texts), all_spans(texts, crf)):
-                own = set(base)
-                spans.append([{"kind": KINDS[k], "start": s, "end": e, "value": t[s:e], "base": (s, k, e) in own} for s, k, e in found])
+            spans = [[{"kind": KINDS[k], "start": s, "end": e, "value": t[s:e], "base": own} for s, k, e, own in found] for t, found in zip(texts, all_spans(texts, crf))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -387,7 +424,7 @@ def masked(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
             for t, spans in zip(column, all_spans([t or "" for t in column], crf)):
                 if spans:
                     parts, at = [], 0
-                    for s, k, e in spans:
+                    for s, k, e, _ in spans:
                         if s >= at:
                             parts += [t[at:s], f"<{KINDS[k]}>"]
                         at = max(at, e)
