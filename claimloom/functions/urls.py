@@ -20,6 +20,7 @@ SKIPPED_HOST_PARTS = [
     "bilibili.", "douyin.", "toutiao.", "ifeng.",
 ]
 FILE_ENDING = r"(?i)\.(avif|bmp|css|gif|ico|jpeg|jpg|js|mp3|mp4|pdf|png|svg|webp|zip)($|\?)"
+MAPPED_PATH = r"(?i)/(?:account|cart|checkout|login|register|privacy|terms|legal|policies|search|language|locale)(?:/|[._-]|$)"
 KINDS = ["homepage", "robots", "sitemap", "product", "collection", "blog", "rss"]
 ROOT_PATH = r"(?i)^/?(cn|zh|zh-cn|en|en-us|en-gb|ja|jp|de|fr|h5)?/*$"
 SHELL_PATH = r"(?i)^/(news|blog|blogs|article|articles|search|media|press)/*$"
@@ -99,3 +100,8 @@ def useful(c: Column) -> Column:
     for s in SKIPPED_HOST_PARTS:
         skipped = skipped | host.contains(s)
     return is_public(c) & ~host.isin(*SEARCH_HOSTS) & ~skipped & ~F.coalesce(c, F.lit("")).rlike(FILE_ENDING)
+
+
+def useful_mapped(c: Column, origin: Column) -> Column:
+    """Of a site's own map: useful, on the host of ``origin``, and no account, cart, login or policy page."""
+    return useful(c) & (hostname(c) == hostname(origin)) & ~path(c).rlike(MAPPED_PATH)

@@ -107,6 +107,21 @@ def u6(t):
     return with_url(t("pages")).where(U.useful(F.col("cand"))).select("page_id", F.col("cand").alias("url"))
 
 
+def mapped(df):
+    """Every page's map lists itself, an account page of its site and a page of another host."""
+    part = F.element_at(F.array(*map(F.lit, MAPPED_PARTS)), (F.col("page_id") % len(MAPPED_PARTS) + 1).cast("int"))
+    return df.withColumn("link", F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("https://other.example"), F.regexp_extract("url", r"^https?://[^/]*(.*)$", 1))).otherwise(F.concat(F.col("url"), part)))
+
+
+MAPPED_PARTS = ["", "/cart", "/account/x", "/login.php", "/cartoon", "/Terms-of-use", "/search"]
+_MAPPED = f"(SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN 'https://other.example' || regexp_extract(url, '^https?://[^/]*(.*)$', 1) ELSE url || list_extract([{', '.join(map(sql_text, MAPPED_PARTS))}], CAST(page_id % {len(MAPPED_PARTS)} + 1 AS INTEGER)) END AS link FROM pages)"
+
+
+@query("u6_mapped_url_filter", f"SELECT page_id, link FROM {_MAPPED} q WHERE {sql_useful('link')} AND {sql_host('link')} = {sql_host('url')} AND NOT regexp_matches({sql_path('link')}, {sql_text(U.MAPPED_PATH)})")
+def u6b(t):
+    return mapped(t("pages")).where(U.useful_mapped(F.col("link"), F.col("url"))).select("page_id", "link")
+
+
 def _bodies(t, line):
     own = F.array_sort(F.collect_list(F.struct("page_id", line.alias("line"))))
     return t("pages").groupBy(U.hostname(F.col("url")).alias("host")).agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("body"))
