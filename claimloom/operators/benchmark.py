@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import hinted
+
 # Fixed values.
 MIN_DOCUMENTS, MIN_HOSTS, MIN_DEEP, MIN_VERIFIABLE = 3, 2, 1, 0.7
 MAX_MEDIAN_NOISE, MAX_NOISE, MAX_MS, MAX_PUBLIC, MAX_MODEL, MAX_CREDITS = 0.25, 0.5, 300_000, 32, 3, 50
@@ -57,7 +59,7 @@ def early_stop(scores: DataFrame, *, benchmark: str, seq: str = "seq", least: in
 
 def model_cost(usage: DataFrame, prices: DataFrame, *, run: str) -> DataFrame:
     """(run, cost decimal(18,6)): tokens at a price per million by model, plus search credits at theirs; prices are a small table."""
-    j = usage.join(F.broadcast(prices), "model")
+    j = usage.join(hinted(prices), "model")
     d = lambda x: x.cast("decimal(18,6)")
     cost = F.col("input_tokens") * d(F.col("input_price")) / 1_000_000 + F.col("output_tokens") * d(F.col("output_price")) / 1_000_000 + F.col("searches") * d(F.col("search_price"))
     return j.groupBy(run).agg(F.round(F.sum(cost), 6).cast("decimal(18,6)").alias("cost"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
+from claimloom.sources.scratch import cut, hinted
 
 # What is markup or noise, as regular expressions that need no look-around or back-reference.
 MARKUP_TAGS = ["script", "style", "noscript", "template", "svg"]
@@ -122,7 +123,7 @@ def without_boilerplate(df: DataFrame, *, min_docs: int, id_col: str = "doc_id",
     """(id, text, dropped): documents without their source's boilerplate lines."""
     lines = line_table(df, id_col, source_col, text_col=text_col)
     known = corpus_boilerplate(df, min_docs=min_docs, id_col=id_col, source_col=source_col, text_col=text_col).select(source_col, "line", F.lit(True).alias("known"))
-    marked = lines.join(known.hint("merge"), [source_col, "line"], "left")
+    marked = lines.join(hinted(cut(known, "boilerplate")), [source_col, "line"], "left")
     own = F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", "line"))))
     return marked.groupBy(id_col).agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"), F.count("known").alias("dropped"))
 
@@ -137,7 +138,7 @@ def removed_audit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     short = F.when(F.length("line") > excerpt, F.concat(F.substring("line", 1, excerpt - 3), F.lit("..."))).otherwise(F.col("line"))
     segments = first.groupBy(id_col).agg(F.count("*").alias("segments"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "reason", short.alias("excerpt")))), lambda x: F.concat(x["reason"], F.lit(":"), x["excerpt"])), "|").alias("excerpts"))
     sums = lines.groupBy(id_col).agg(F.sum(F.when(F.col("reason").isNull(), F.length("line") + 1).otherwise(0)).alias("kept"), F.sum(F.when(F.col("reason").isNotNull(), F.length("line")).otherwise(0)).alias("removed"))
-    out = source.select(id_col, F.length("text").alias("source_length")).join(sums, id_col, "left").join(segments, id_col, "left")
+    out = source.select(id_col, F.length("text").alias("source_length")).join(sums.hint("merge"), id_col, "left").join(segments.hint("merge"), id_col, "left")
     removed = F.least(F.col("source_length").cast("long"), F.coalesce("removed", F.lit(0)))
     return out.select(
         id_col, F.col("source_length").cast("long").alias("source_length"), F.greatest(F.lit(0), F.coalesce(F.col("kept") - 1, F.lit(0))).alias("cleaned_length"), removed.alias("removed_chars"),

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import hinted
+
 
 def plan_batches(docs: DataFrame, *, run: str, max_docs: int = 12, max_chars: int = 36_000, doc_cap: int = 4_000, most: int = 36) -> DataFrame:
     """(run, doc, batch) from (run, ord, doc, chars): the first ``most`` documents in order; a new batch where one more
@@ -91,7 +93,7 @@ def replace_if_any(old: DataFrame, new: DataFrame, *, run: str) -> DataFrame:
 
 def source_table(sources: DataFrame, candidates: DataFrame, *, on: str) -> DataFrame:
     """Sources with their candidate's method and priority, or defaults; feeds and crawlers come weekly, the rest on demand."""
-    j = sources.join(F.broadcast(candidates), on, "left")
+    j = sources.join(hinted(candidates), on, "left")
     return j.withColumns({"method": F.coalesce("method", F.lit("manual")), "priority": F.coalesce("priority", F.lit("medium")), "cadence": F.when(F.col("type").isin("rss", "crawler"), "weekly").otherwise("on_demand")})
 
 

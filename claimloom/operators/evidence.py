@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import normalize_text
+from claimloom.sources.scratch import cut, hinted
 
 # Fixed values.
 HIGH_RISK = [
@@ -29,13 +30,13 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (c.rlike(p) for p in patterns))
 
 
-def match_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, doc_id: str, quote_col: str = "text", doc_col: str = "text", k: int = 5, least: int = 4) -> DataFrame:
+def match_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, doc_id: str, quote_col: str = "text", doc_col: str = "text", k: int = 5, least: int = 4, block: int = 20_000) -> DataFrame:
     """(quote_id, doc_id) of every document whose normalised text contains the normalised quote.
 
     A quote of k + 2 words or more is looked up by one run of k of its inner words (its first and last may be parts of
     words in a document), the one that the fewest documents have; the hits are then checked for the whole quote. Only
-    runs that a quote has are kept from the documents, so that common runs are counted but never paired. Shorter quotes,
-    which have no such run, are compared with every document by a broadcast of their (counted) table.
+    runs that a quote has are kept from the documents and written once, so that common runs are counted but never paired.
+    Shorter quotes, which have no such run, are a query set that every document is held against, in blocks of ``block``.
     """
     q = quotes.select(F.col(quote_id).alias("q"), normalize_text(F.col(quote_col)).alias("quote")).where(F.length("quote") >= least)
     d = docs.select(F.col(doc_id).alias("d"), normalize_text(F.col(doc_col)).alias("hay"))
@@ -49,15 +50,18 @@ def match_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, doc_id: s
     long = q.where("runs is not null").select("q", F.explode(F.array_distinct("runs")).alias("run"))
     wanted = long.select("run").distinct()
     small = wanted.limit(1_000_001).count() <= 1_000_000
-    have = d.select("d", F.explode(F.array_distinct(runs(F.split("hay", " ")))).alias("run")).join(F.broadcast(wanted) if small else wanted.hint("merge"), "run", "left_semi")
+    have = cut(d.select("d", F.explode(F.array_distinct(runs(F.split("hay", " ")))).alias("run")).join(F.broadcast(wanted) if small else wanted.hint("merge"), "run", "left_semi"), "runs")
     often = have.groupBy("run").agg(F.count("*").alias("n"))
     rarest = long.join(often.hint("merge"), "run").groupBy("q").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
     pairs = have.join(rarest.hint("merge"), "run").select("q", "d")
-    checked = pairs.join(d.hint("merge"), "d").join(q.select("q", "quote").hint("merge"), "q").where(F.col("hay").contains(F.col("quote"))).select("q", "d")
+    likely = cut(pairs.join(q.select("q", "quote").hint("merge"), "q"), "likely")
+    found = d.join(hinted(likely), "d").where(F.col("hay").contains(F.col("quote"))).select("q", "d")
     brief = q.where("runs is null").select("q", "quote")
-    brief = F.broadcast(brief) if brief.limit(20_001).count() <= 20_000 else brief
-    loose = d.join(brief, F.col("hay").contains(F.col("quote"))).select("q", "d")
-    return checked.unionByName(loose).distinct().select(F.col("q").alias(quote_id), F.col("d").alias(doc_id))
+    blocks = -(-brief.count() // block)
+    for i in range(blocks):
+        part = brief if blocks == 1 else brief.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
+        found = found.unionByName(d.join(F.broadcast(part), F.col("hay").contains(F.col("quote"))).select("q", "d"))
+    return found.distinct().select(F.col("q").alias(quote_id), F.col("d").alias(doc_id))
 
 
 def constrained(matches: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -145,20 +149,24 @@ def validate_claims(bound: DataFrame, claims: DataFrame, *, claim_id: str) -> Da
     """(claim_id, status, confirmed, failures): no quotes: rejected; all confirmed and nothing against it: approved; else needs_review.
 
     ``bound`` has a row (claim_id, quote_id, quote, doc, reason) for each quote, ``claims`` (claim_id, claim, required,
-    need_demand).
+    need_demand), one row a claim. Of the quotes only flags are gathered, never texts.
     """
-    own = bound.groupBy(claim_id).agg(
-        F.count("*").alias("quotes"), F.count_if(F.col("reason").isNull()).alias("confirmed"), F.collect_set("reason").alias("reasons"), F.concat_ws("\n", F.collect_list("quote")).alias("joined"),
-        F.collect_list(normalize_text(F.col("quote"))).alias("each"),
+    asked = claims.withColumns({"_must": must_quote(F.col("claim")), "_terms": F.coalesce(claim_terms(F.col("required")), F.array().cast("array<string>"))})
+    rows = bound.join(asked.select(claim_id, "_must", "_terms").hint("merge"), claim_id).withColumn("_q", normalize_text(F.col("quote")))
+    # a bit for each of the (at most 20) terms; no term holds white space, so none lies across two quotes
+    bits = F.aggregate(F.transform("_terms", lambda x, i: F.when(F.col("_q").contains(x), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda x, y: x + y)
+    own = rows.groupBy(claim_id).agg(
+        F.count("*").alias("quotes"), F.count_if(F.col("reason").isNull()).alias("confirmed"), F.collect_set("reason").alias("reasons"), F.bit_count(F.bit_or(bits)).alias("_found"),
+        F.bool_or(F.forall("_must", lambda x: F.col("_q").contains(x))).alias("_held"), F.bool_or(F.col("quote").rlike(DIRECT_DEMAND)).alias("_direct"),
     )
-    j = claims.join(own, claim_id, "left")
-    must = must_quote(F.col("claim"))
-    unsupported = high_risk(F.col("claim")) & ~F.exists("each", lambda q: F.forall(must, lambda x: q.contains(x)))
+    j = asked.join(own.hint("merge"), claim_id, "left")
+    n = F.size("_terms")
+    enough = (n == 0) | (F.col("_found") >= F.least(F.lit(3), F.greatest(F.lit(1), F.ceil(n * 0.35))))
     failures = F.concat(
         "reasons",
-        F.when(unsupported, F.array(F.lit("high_risk_claim_not_directly_quoted"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("required").isNotNull() & ~covered(F.col("required"), F.col("joined")), F.array(F.lit("important_claim_text_not_covered_by_quotes"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("need_demand") & F.col("claim").rlike(DEMAND) & ~F.col("joined").rlike(DIRECT_DEMAND), F.array(F.lit("demand_inference_without_direct_user_evidence"))).otherwise(F.array().cast("array<string>")),
+        F.when(high_risk(F.col("claim")) & ~F.col("_held"), F.array(F.lit("high_risk_claim_not_directly_quoted"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("required").isNotNull() & ~enough, F.array(F.lit("important_claim_text_not_covered_by_quotes"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("need_demand") & F.col("claim").rlike(DEMAND) & ~F.col("_direct"), F.array(F.lit("demand_inference_without_direct_user_evidence"))).otherwise(F.array().cast("array<string>")),
     )
     failures = F.when(F.col("quotes").isNull(), F.array(F.lit("missing_evidence_quote"))).otherwise(F.array_sort(F.array_distinct(failures)))
     status = F.when(F.col("quotes").isNull(), "rejected").when((F.col("confirmed") == F.col("quotes")) & (F.size(failures) == 0), "approved").otherwise("needs_review")
@@ -176,7 +184,7 @@ def role_gate(df: DataFrame, policy: DataFrame, *, roles: list[str], claim_role:
     """
     known = F.array_distinct(F.array_compact(F.array(*roles)))
     role = F.try_element_at(known, F.lit(1))
-    allowed = F.broadcast(policy.groupBy(F.col("source_role").alias("_role")).agg(F.collect_set("claim_role").alias("_allowed")))
+    allowed = hinted(policy.groupBy(F.col("source_role").alias("_role")).agg(F.collect_set("claim_role").alias("_allowed")))
     j = df.withColumns({"_known": known, "role": role}).join(allowed, F.col("role") == F.col("_role"), "left")
     n = F.size("_known")
     failure = (
@@ -212,7 +220,7 @@ def review_queue(entities: DataFrame, evidence: DataFrame) -> DataFrame:
 
     ``entities`` has (entity_id, kind, own_status, evidence_ids), ``evidence`` (evidence_id, complete, claim_role).
     """
-    rows = entities.select("entity_id", "kind", "own_status", F.explode_outer("evidence_ids").alias("evidence_id")).join(evidence, "evidence_id", "left")
+    rows = entities.select("entity_id", "kind", "own_status", F.explode_outer("evidence_ids").alias("evidence_id")).join(evidence.hint("merge"), "evidence_id", "left")
     done = F.bool_and(F.coalesce("complete", F.lit(False)))
     roles = F.collect_set("claim_role")
     g = rows.groupBy("entity_id", "kind", "own_status").agg(done.alias("done"), F.when(F.size(roles) == 1, roles[0]).alias("claim_role"))

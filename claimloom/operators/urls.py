@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import urls as U
+from claimloom.sources.scratch import hinted
 
 # Fixed values.
 BASE_SCORES = {"product": 100, "collection": 90, "blog": 80, "rss": 35, "homepage": 20, "sitemap": 5, "robots": 0}
@@ -63,7 +66,7 @@ def robots_rules(df: DataFrame, *, key: str, body_col: str = "body") -> DataFram
 
 def robots_filter(urls: DataFrame, rules: DataFrame, *, key: str, url_col: str = "url") -> DataFrame:
     """URLs that no rule of their origin keeps out: an anti join on the origin with the prefix as its condition."""
-    r = rules.withColumnRenamed(key, "_key")
+    r = hinted(rules.withColumnRenamed(key, "_key"))
     return urls.join(r, (urls[key] == r["_key"]) & U.path(urls[url_col]).startswith(r["prefix"]), "left_anti")
 
 
@@ -102,14 +105,15 @@ def select_evidence_first(df: DataFrame, *, run: str, total: int) -> DataFrame:
 
     Best page of each evidence kind; best evidence page of each host not covered; evidence pages while the budget for
     deep pages lasts (two a host); preferred home pages; one robots and one sitemap; then the best of the rest (three a
-    host). A run is a bounded list of candidates and runs are many, so a run is one group.
+    host). Only pages that could still be among the chosen reach the group of a run: a number bounded by ``total``, not by
+    the run.
     """
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(_n=part["url"].str.len()).sort_values(["score", "_n", "url"], ascending=[False, True, True]).drop_duplicates("url")
         rows = list(part[["url", "host", "kind", "preferred"]].itertuples(index=False, name=None))
         hosts = list(dict.fromkeys(r[1] for r in rows))
-        alone = len(hosts) <= 1
+        alone = bool(part["alone"].iloc[0])
         deep_cap, any_cap = (total, total) if alone else (2, 3)
         budget = max(1, min(6, total - (3 if total >= 7 else 2 if total >= 3 else 0)))
         taken: dict[str, tuple] = {}
@@ -142,19 +146,53 @@ def select_evidence_first(df: DataFrame, *, run: str, total: int) -> DataFrame:
         return pd.DataFrame({"run": [part["run"].iloc[0]] * len(taken), "place": range(1, len(taken) + 1), "url": list(taken)})
 
     source = df.select(F.col(run).cast("string").alias("run"), "url", "host", "kind", "score", "preferred")
-    return source.groupBy("run").applyInPandas(choose, "run string, place int, url string")
+    return _choosable(source, total).groupBy("run").applyInPandas(choose, "run string, place int, url string")
+
+
+def _choosable(df: DataFrame, total: int) -> DataFrame:
+    """Rows that ``select_evidence_first`` could choose, each once, and whether their run has one host alone.
+
+    At most ``total`` pages are taken and so at most that many hosts are touched. In a round by score, a page is passed over
+    only if it is taken or its host is touched, and a host gives ``total`` pages at most; so the first total * (total + 1)
+    of the pages that are among the first ``total`` of their host decide the round. Home pages are taken by address, and
+    hosts by their best page; there the first 2 * total decide.
+    """
+    best = (F.desc("score"), F.length("url"), "url")
+
+    def first(rows: DataFrame, keys: list[str], order: tuple, k: int) -> DataFrame:  # ranks are cut before the shuffle
+        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+    once = first(df, ["run", "url"], best, 1)
+    deciding = lambda rows: first(first(rows, ["run", "host"], best, total), ["run"], best, total * (total + 1))
+    evidence = once.where(F.col("kind").isin(EVIDENCE_KINDS))
+    key = lambda when: F.min(F.when(when, F.struct((-F.col("score")).alias("s"), F.length("url").alias("n"), "url", "kind", "preferred")))
+    hosts = once.groupBy("run", "host").agg(key(F.lit(True)).alias("any"), key(F.col("kind").isin(EVIDENCE_KINDS)).alias("own")).where("own is not null")
+    hosts = first(hosts, ["run"], ("any",), 2 * total).select("run", "host", F.explode(F.array("any", "own")).alias("x"))
+    parts = [
+        deciding(once), deciding(evidence), first(once, ["run", "kind"], best, 1), first(once.where("preferred and kind = 'homepage'"), ["run"], ("url",), 2 * total),
+        hosts.select("run", "x.url", "host", "x.kind", (-F.col("x.s")).alias("score"), "x.preferred"),
+    ]
+    kept = reduce(DataFrame.unionByName, parts).distinct()
+    alone = df.groupBy("run").agg((F.min("host") == F.max("host")).alias("alone"))
+    return kept.join(hinted(alone), "run")
 
 
 def kind_mix(df: DataFrame, *, run: str, kind_col: str = "kind") -> DataFrame:
     return df.groupBy(run).pivot(kind_col, U.KINDS).count().na.fill(0)
 
 
-def registry_match(inputs: DataFrame, registry: DataFrame, *, id_col: str) -> DataFrame:
+def registry_match(inputs: DataFrame, registry: DataFrame, *, id_col: str, block: int = 20_000) -> DataFrame:
     """(id, name, url, origin): entries of which a term is contained in one of the input's terms, or that match all; one row
-    per URL, default before env before fixed. ``inputs`` has (id, terms), ``registry`` (name, url, origin, terms) and is small."""
+    per URL, default before env before fixed. ``inputs`` has (id, terms), ``registry`` (name, url, origin, terms); the registry
+    is read by every input, in blocks of at most ``block`` terms."""
     text = inputs.select(id_col, F.array_join(F.transform("terms", lambda x: F.regexp_replace(F.lower(x), r"\s+", "")), "\n").alias("hay"))
     entries = registry.select("name", "url", "origin", F.explode("terms").alias("term")).withColumn("term", F.regexp_replace(F.lower("term"), r"\s+", ""))
-    hit = text.join(F.broadcast(entries), (F.col("term") == "*") | ((F.length("term") >= 2) & F.col("hay").contains(F.col("term"))))
+    blocks = max(1, -(-entries.count() // block))
+    hit = None
+    for k in range(blocks):
+        part = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("term", "name", "url"), F.lit(blocks)) == k)
+        found = text.join(F.broadcast(part), (F.col("term") == "*") | ((F.length("term") >= 2) & F.col("hay").contains(F.col("term"))))
+        hit = found if hit is None else hit.unionByName(found)
     rank = F.coalesce(*(F.when(F.col("origin") == o, i) for i, o in enumerate(("default", "env", "fixed"))))
     return hit.withColumn("_k", F.row_number().over(Window.partitionBy(id_col, "url").orderBy(rank, "name"))).where("_k = 1").select(id_col, "name", "url", "origin")
 
@@ -176,6 +214,6 @@ def role_for_host(df: DataFrame, rules: DataFrame, *, id_col: str, host_col: str
     """(id, role): the role of the longest rule (suffix, role) that the host is or lies under, else null."""
     labels = F.split(host_col, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    ends = df.select(id_col, F.explode(suffixes).alias("suffix")).join(F.broadcast(rules), "suffix")
+    ends = df.select(id_col, F.explode(suffixes).alias("suffix")).join(hinted(rules), "suffix")
     best = ends.groupBy(id_col).agg(F.max_by("role", F.length("suffix")).alias("role"))
-    return df.select(id_col).join(best, id_col, "left")
+    return df.select(id_col).join(best.hint("merge"), id_col, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import urls as U
+from claimloom.sources.scratch import cut, hinted
 
 # Fixed values.
 AXIS_WEIGHTS = {"taxonomy": 5, "price_tier": 4, "channel": 3, "model": 3, "population": 2}
@@ -63,7 +64,7 @@ def assess_candidates(inputs: DataFrame, roles: DataFrame, *, plan: str) -> Data
     c = inputs.withColumn("canonical", U.canonical(F.col("url")))
     first = F.first("ord").over(Window.partitionBy(plan, "canonical").orderBy("ord"))
     c = c.withColumn("duplicate_of", F.when(F.col("canonical").isNotNull() & (first != F.col("ord")), first))
-    j = c.join(F.broadcast(roles), "role", "left")
+    j = c.join(hinted(roles), "role", "left")
     reasons = F.concat(
         _reasons([(F.col("canonical").isNull() | ~U.is_public(F.col("url")), "url_not_public"), (F.col("duplicate_of").isNotNull(), "duplicate"), (F.col("modules").isNull(), "role_unknown")]),
         _reasons([(F.col(a), f"{a}_required") for a in ACCESS if a in inputs.columns]),
@@ -74,37 +75,52 @@ def assess_candidates(inputs: DataFrame, roles: DataFrame, *, plan: str) -> Data
 
 def allocate_budget(candidates: DataFrame, *, plan: str, max_eligible: int, max_requests: int, per_role: int, per_host: int, brand_share: float) -> DataFrame:
     """(plan, candidate, reasons) from (plan, candidate, url, host, role, rank, requests, brand): by rank and URL, other sources first;
-    brand-controlled ones up to their share of what is chosen. The caps interact and a refused row frees nothing, so a plan,
-    which is a bounded list, is one group."""
+    brand-controlled ones up to their share of what is chosen.
+
+    The caps interact, so the choice of a plan is made in one group. No cap ever frees room again: a candidate is refused
+    once another of its host, role, requests and brand was, and passed over for its host only if that is among the chosen.
+    So only a number of candidates bounded by the caps, the roles and the sizes of requests reaches the group. What speaks
+    against each candidate then follows from the chosen ones before it, of which a plan has ``max_eligible`` at most.
+    """
     limit = brand_share / (1 - brand_share)
+    order = ["brand", "rank", "url", "candidate"]
+    each = max(1, min(per_role, per_host, max_eligible))
+    source = candidates.select(F.col(plan).cast("string").alias("plan"), F.col("candidate").cast("long"), "url", "host", F.col("role").cast("string"), F.col("rank").cast("int"), F.col("requests").cast("int"), "brand")
+    near = source
+    for keys, k in ((["plan", "brand", "role", "requests", "host"], each), (["plan", "brand", "role", "requests"], each * (max_eligible + 1))):
+        near = near.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["brand", "rank", "url", "candidate"])
         roles: dict = {}
         hosts: dict = {}
-        chosen = spent = brands = 0
+        out: list = []
+        spent = brands = 0
         others = None
-        out = []
-        for r in part.itertuples(index=False):
+        for r in part.sort_values(order).itertuples(index=False):
             if r.brand and others is None:
-                others = chosen
-            why = []
+                others = len(out)
             if r.brand and brands >= min(max_eligible - others, int(others * limit)):
-                why = ["brand_share"]
-            else:
-                why += ["eligible_budget"] if chosen >= max_eligible else []
-                why += ["role_quota"] if roles.get(r.role, 0) >= per_role else []
-                why += ["host_quota"] if hosts.get(r.host, 0) >= per_host else []
-                why += ["request_budget"] if spent + r.requests > max_requests else []
-            if not why:
-                chosen, spent, brands = chosen + 1, spent + r.requests, brands + bool(r.brand)
-                roles[r.role] = roles.get(r.role, 0) + 1
-                hosts[r.host] = hosts.get(r.host, 0) + 1
-            out.append((r.plan, r.candidate, ",".join(why)))
-        return pd.DataFrame(out, columns=["plan", "candidate", "reasons"])
-
-    source = candidates.select(F.col(plan).cast("string").alias("plan"), F.col("candidate").cast("long"), "url", "host", F.col("role").cast("string"), F.col("rank").cast("int"), F.col("requests").cast("int"), "brand")
-    return source.groupBy("plan").applyInPandas(choose, "plan string, candidate long, reasons string")
+                continue
+            if len(out) < max_eligible and roles.get(r.role, 0) < per_role and hosts.get(r.host, 0) < per_host and spent + r.requests <= max_requests:
+                spent, brands = spent + r.requests, brands + bool(r.brand)
+                roles[r.role], hosts[r.host] = roles.get(r.role, 0) + 1, hosts.get(r.host, 0) + 1
+                out.append(r)
+        return pd.DataFrame(out, columns=part.columns)
+
+    chosen = near.groupBy("plan").applyInPandas(choose, near.schema)
+    lists = chosen.groupBy("plan").agg(F.collect_list(F.struct(*order, "role", "host", "requests")).alias("_chosen"))
+    mine = F.struct(*order)
+    before = F.filter("_chosen", lambda x: F.struct(*(x[c] for c in order)) < mine)
+    j = source.join(hinted(cut(lists, "chosen")), "plan", "left").withColumn("_before", F.coalesce(before, F.array().cast(dict(lists.dtypes)["_chosen"])))
+    count = lambda test, of="_before": F.size(F.filter(of, test))
+    others = F.coalesce(count(lambda x: ~x["brand"], "_chosen"), F.lit(0))
+    full = F.col("brand") & (count(lambda x: x["brand"]) >= F.least(F.lit(max_eligible) - others, F.floor(others * limit)))
+    spent = F.aggregate("_before", F.lit(0), lambda a, x: a + x["requests"])
+    reasons = _reasons([
+        (F.size("_before") >= max_eligible, "eligible_budget"), (count(lambda x: x["role"] == F.col("role")) >= per_role, "role_quota"),
+        (count(lambda x: x["host"] == F.col("host")) >= per_host, "host_quota"), (spent + F.col("requests") > max_requests, "request_budget"),
+    ])
+    return j.select("plan", "candidate", F.when(full, "brand_share").otherwise(F.array_join(reasons, ",")).alias("reasons"))
 
 
 def candidate_coverage(matrix: DataFrame, candidates: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -126,12 +142,12 @@ def validate_samples(samples: DataFrame, bindings: DataFrame, sources: DataFrame
         ((c("relationship") == "analogy") != (c("sample_type") == "analogy"), "analogy_mismatch"), ((c("relationship") == "competitor") & (F.size("taxonomy") == 0), "taxonomy_missing"), ((c("relationship") == "competitor") & (F.size("populations") == 0), "population_missing"),
     ])
     base = samples.select(sample, F.explode(own).alias("error"))
-    unknown = samples.select(sample, F.explode("taxonomy").alias("item")).join(axes, "item", "left_anti").select(sample, F.concat(F.lit("unknown_axis_item:"), "item").alias("error"))
-    b = samples.select(sample, "relationship").join(bindings, sample, "left").join(sources, "source", "left").join(F.broadcast(allowed.withColumn("fits", F.lit(True))), ["relationship", "role"], "left")
+    unknown = samples.select(sample, F.explode("taxonomy").alias("item")).join(hinted(axes), "item", "left_anti").select(sample, F.concat(F.lit("unknown_axis_item:"), "item").alias("error"))
+    b = samples.select(sample, "relationship").join(bindings.hint("merge"), sample, "left").join(sources.hint("merge"), "source", "left").join(hinted(allowed.withColumn("fits", F.lit(True))), ["relationship", "role"], "left")
     g = b.groupBy(sample).agg(F.count("source").alias("n"), F.count_if(c("source").isNotNull() & c("eligible").isNull()).alias("lost"), F.count_if(~c("eligible")).alias("bad"), F.count("fits").alias("fits"))
     bound = g.select(sample, F.explode(_reasons([(c("n") == 0, "source_required"), (c("lost") > 0, "source_missing"), (c("bad") > 0, "source_not_eligible"), (c("fits") == 0, "role_not_allowed")])).alias("error"))
     errors = base.unionByName(unknown).unionByName(bound).groupBy(sample).agg(F.array_sort(F.collect_set("error")).alias("errors"))
-    return samples.select(sample).join(errors, sample, "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
+    return samples.select(sample).join(errors.hint("merge"), sample, "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 
 def coverage_keys(samples: DataFrame, axes: list[str], *, sample: str) -> DataFrame:
@@ -151,7 +167,8 @@ def key_weight(key: Column) -> Column:
 def greedy_cover(keys: DataFrame, *, plan: str, sample: str) -> DataFrame:
     """(plan, place, sample, gain): in turn the sample whose uncovered keys weigh most, ties by id, until none gains.
 
-    Each choice changes what the others gain, so a plan's keys are one group; a plan is bounded and plans are many.
+    Each choice changes what the others gain, so a plan's keys are one group: for many plans of some hundred samples each.
+    ``greedy_cover_large`` is for a plan without such a bound.
     """
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
@@ -190,12 +207,12 @@ def relationship_backfill(selected: DataFrame, redundant: DataFrame, minimums: D
     have = selected.groupBy("relationship").agg(F.count("*").alias("have"))
     need = minimums.join(have, "relationship", "left").select("relationship", (F.col("least") - F.coalesce("have", F.lit(0))).alias("need"))
     ranked = redundant.withColumn("_k", F.row_number().over(Window.partitionBy("relationship").orderBy(sample)))
-    return ranked.join(F.broadcast(need), "relationship").where(F.col("_k") <= F.col("need")).drop("_k", "need")
+    return ranked.join(hinted(need), "relationship").where(F.col("_k") <= F.col("need")).drop("_k", "need")
 
 
 def axis_coverage(axes: DataFrame, keys: DataFrame) -> DataFrame:
     """(axis, covered, uncovered) from the known (axis, item) and the selected samples' (axis, item)."""
-    j = axes.join(keys.distinct().withColumn("hit", F.lit(True)), ["axis", "item"], "left")
+    j = axes.join(keys.distinct().withColumn("hit", F.lit(True)).hint("merge"), ["axis", "item"], "left")
     return j.groupBy("axis").agg(F.count("hit").alias("covered"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("item")))).alias("uncovered"))
 
 
@@ -223,13 +240,13 @@ def wave_coverage(audit: DataFrame, tasks: DataFrame) -> DataFrame:
 def next_roles(tasks: DataFrame, collected: DataFrame, *, most: int = 8) -> DataFrame:
     """The first roles, by task order, that nothing has been collected for. ``tasks``: (ord, roles); ``collected``: (role)."""
     first = tasks.select("ord", F.posexplode("roles").alias("pos", "role")).groupBy("role").agg(F.min(F.struct("ord", "pos")).alias("at"))
-    return first.join(collected.select("role").distinct(), "role", "left_anti").orderBy("at", "role").limit(most).select("role")
+    return first.join(collected.select("role").distinct().hint("merge"), "role", "left_anti").orderBy("at", "role").limit(most).select("role")
 
 
 def final_coverage(rows: DataFrame, samples: DataFrame, *, plan: str) -> DataFrame:
     """``rows`` (plan, row_id, module, axis_items, min_samples, other_gaps) with the samples whose items meet theirs, and the gaps left."""
-    hit = rows.select(plan, "row_id", F.explode("axis_items").alias("item")).join(samples, [plan, "item"]).groupBy(plan, "row_id").agg(F.countDistinct("sample").alias("samples"))
-    j = rows.join(hit, [plan, "row_id"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+    hit = rows.select(plan, "row_id", F.explode("axis_items").alias("item")).join(samples.hint("merge"), [plan, "item"]).groupBy(plan, "row_id").agg(F.countDistinct("sample").alias("samples"))
+    j = rows.join(hit.hint("merge"), [plan, "row_id"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     gaps = F.col("other_gaps") + (F.col("samples") < F.col("min_samples")).cast("int")
     return j.select(plan, "row_id", "module", "samples", gaps.alias("gaps"))
 
@@ -243,13 +260,13 @@ def module_claims(claims: DataFrame, evidence: DataFrame, axes: DataFrame, polic
 
     ``claims``: (claim, module, claim_role, items, evidence_ids); ``evidence``: (evidence_id, complete); ``axes``: (item); ``policy``: (module, claim_role).
     """
-    role = claims.join(F.broadcast(policy), ["module", "claim_role"], "left_anti").select(claim, F.lit("claim_role_not_allowed").alias("f"))
-    item = claims.select(claim, F.explode("items").alias("item")).join(axes, "item", "left_anti").select(claim, F.lit("unknown_axis_item").alias("f"))
-    rows = claims.select(claim, F.explode_outer("evidence_ids").alias("evidence_id")).join(evidence, "evidence_id", "left")
+    role = claims.join(hinted(policy), ["module", "claim_role"], "left_anti").select(claim, F.lit("claim_role_not_allowed").alias("f"))
+    item = claims.select(claim, F.explode("items").alias("item")).join(hinted(axes), "item", "left_anti").select(claim, F.lit("unknown_axis_item").alias("f"))
+    rows = claims.select(claim, F.explode_outer("evidence_ids").alias("evidence_id")).join(evidence.hint("merge"), "evidence_id", "left")
     g = rows.groupBy(claim).agg(F.count("evidence_id").alias("n"), F.bool_and(F.coalesce("complete", F.lit(False))).alias("done"))
     bound = g.select(claim, F.explode(_reasons([(F.col("n") == 0, "evidence_missing"), ((F.col("n") > 0) & ~F.col("done"), "evidence_incomplete")])).alias("f"))
     failures = role.unionByName(item).unionByName(bound).groupBy(claim).agg(F.array_sort(F.collect_set("f")).alias("failures"))
-    j = claims.select(claim).join(failures, claim, "left").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
+    j = claims.select(claim).join(failures.hint("merge"), claim, "left").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
     return j.withColumn("status", F.when(F.size("failures") == 0, "confirmed").otherwise("blocked"))
 
 
@@ -257,12 +274,13 @@ def module_coverage(claims: DataFrame, rows: DataFrame, samples: DataFrame) -> D
     """(module, row_id, covered, of, gap): items of a row that confirmed claims of its module name, and that are sampled where samples are required.
 
     ``claims``: (module, item); ``rows``: (module, row_id, axis_items, needs_samples); ``samples``: (item)."""
-    named = claims.groupBy("module").agg(F.collect_set("item").alias("claimed"))
-    sampled = samples.agg(F.collect_set("item").alias("sampled"))
-    j = rows.join(named, "module", "left").crossJoin(F.broadcast(sampled))
-    hit = F.array_intersect("axis_items", F.coalesce("claimed", F.array().cast(dict(named.dtypes)["claimed"])))
-    hit = F.when(F.col("needs_samples"), F.array_intersect(hit, "sampled")).otherwise(hit)
-    return j.select("module", "row_id", F.size(hit).alias("covered"), F.size("axis_items").alias("of"), F.when(F.size(hit) < F.size("axis_items"), F.concat(F.size(hit).cast("string"), F.lit("/"), F.size("axis_items").cast("string"))).alias("gap"))
+    asked = rows.select("module", "row_id", "needs_samples", F.explode(F.array_distinct("axis_items")).alias("item"))
+    named = asked.join(claims.select("module", "item").distinct().hint("merge"), ["module", "item"], "left_semi")
+    known = samples.select("item").distinct().withColumn("_sampled", F.lit(True))
+    hit = named.join(known.hint("merge"), "item", "left").where(~F.col("needs_samples") | F.col("_sampled"))
+    counted = hit.groupBy("module", "row_id").agg(F.count("*").cast("int").alias("covered"))
+    j = rows.join(counted.hint("merge"), ["module", "row_id"], "left").withColumns({"covered": F.coalesce("covered", F.lit(0)), "of": F.size("axis_items")})
+    return j.select("module", "row_id", "covered", "of", F.when(F.col("covered") < F.col("of"), F.concat(F.col("covered").cast("string"), F.lit("/"), F.col("of").cast("string"))).alias("gap"))
 
 
 def module_status(modules: DataFrame, claims: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -283,7 +301,8 @@ def fill_targets(rows: DataFrame, *, cap: int = 8) -> DataFrame:
     """(run, place, candidate, task) from a run's tasks and candidates in one table (run, what, ord, id, host, role, min_sources, min_roles).
 
     For each critical task in order candidates with a new host, of a new role first, until its minima are met; at most ``cap``
-    a run. Each taking changes the next, so a run, which is bounded, is one group.
+    a run. Each taking changes the next, so a run is one group, but only of what its first ``cap`` takings can reach: a
+    candidate is passed over only if it is taken, or its host or role is among at most ``cap`` of those taken.
     """
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
@@ -303,12 +322,20 @@ def fill_targets(rows: DataFrame, *, cap: int = 8) -> DataFrame:
                 out.append((part["run"].iloc[0], len(out) + 1, pick[0], task))
         return pd.DataFrame(out[:cap], columns=["run", "place", "candidate", "task"])
 
-    return rows.groupBy("run").applyInPandas(choose, "run string, place int, candidate long, task long")
+    def first(part: DataFrame, keys: list[str], k: int) -> DataFrame:
+        return part.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "id"))).where(F.col("_k") <= k).drop("_k")
+
+    tasks = first(rows.where("what = 'task' and (min_sources > 0 or min_roles > 0)"), ["run"], cap)
+    candidates = first(rows.where("what = 'candidate'"), ["run", "host", "role"], cap + 1)
+    a_role = first(candidates, ["run", "role"], (cap + 1) ** 2)
+    kept = first(a_role, ["run"], (cap + 1) ** 3).unionByName(first(first(candidates, ["run", "host"], cap + 1), ["run"], (cap + 1) ** 2)).distinct()
+    return tasks.unionByName(kept).groupBy("run").applyInPandas(choose, "run string, place int, candidate long, task long")
 
 
 def balance_tasks(rows: DataFrame, *, cap: int = 24) -> DataFrame:
     """(run, candidate, task) from (run, ord, candidate, task, priority, load): each candidate goes to its least loaded compatible task
-    (then priority, id), candidates in order, at most ``cap`` a run. ``load`` is what the task has from before; a run is one group."""
+    (then priority, id), candidates in order, at most ``cap`` a run. ``load`` is what the task has from before. A run is one group, of its
+    first ``cap`` candidates and for each of the ``cap`` tasks that were least loaded before: fewer than that get a load meanwhile."""
 
     def assign(part: pd.DataFrame) -> pd.DataFrame:
         load = dict(part[["task", "load"]].itertuples(index=False, name=None))
@@ -319,4 +346,8 @@ def balance_tasks(rows: DataFrame, *, cap: int = 24) -> DataFrame:
             out.append((part["run"].iloc[0], candidate, task))
         return pd.DataFrame(out[:cap], columns=["run", "candidate", "task"])
 
-    return rows.groupBy("run").applyInPandas(assign, "run string, candidate long, task long")
+    order = Window.partitionBy("run").orderBy("ord", "candidate")
+    kept = rows.withColumn("_k", F.dense_rank().over(order)).where(F.col("_k") <= cap).drop("_k")
+    tasks = Window.partitionBy("run", "ord", "candidate").orderBy("load", "priority", "task")
+    kept = kept.withColumn("_k", F.row_number().over(tasks)).where(F.col("_k") <= cap).drop("_k")
+    return kept.groupBy("run").applyInPandas(assign, "run string, candidate long, task long")

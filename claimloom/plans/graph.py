@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import hinted
+
 # Fixed values.
 KINDS = ["market_fact", "product_fact", "user_fact", "channel_fact", "content_fact", "inference", "hypothesis"]
 STATUSES = ["eligible", "blocked"]
@@ -22,8 +24,8 @@ def direct_ledger(claims: DataFrame, coverage: DataFrame, modules: DataFrame) ->
     """
     mine = claims.select("claim", "module", F.explode("items").alias("item"))
     theirs = coverage.select("module", "row_id", "passed", F.explode("axis_items").alias("item"))
-    g = mine.join(theirs, ["module", "item"]).select("claim", "row_id", "passed").distinct().groupBy("claim").agg(F.bool_and("passed").alias("all_pass"), F.array_sort(F.collect_list("row_id")).alias("rows"))
-    j = claims.join(g, "claim", "left").join(F.broadcast(modules), "module", "left")
+    g = mine.join(hinted(theirs), ["module", "item"]).select("claim", "row_id", "passed").distinct().groupBy("claim").agg(F.bool_and("passed").alias("all_pass"), F.array_sort(F.collect_list("row_id")).alias("rows"))
+    j = claims.join(g.hint("merge"), "claim", "left").join(hinted(modules), "module", "left")
     passed = F.coalesce("all_pass", F.lit(False))
     gaps = F.array_compact(F.array(
         F.when(~F.coalesce("complete", F.lit(False)), F.lit("module_incomplete")), F.when(~F.col("confirmed"), F.lit("claim_not_confirmed")), F.when(F.col("all_pass").isNull(), F.lit("coverage_row_missing")), F.when(F.col("all_pass") == F.lit(False), F.lit("coverage_gap")), F.when(~F.col("traced"), F.lit("trace_incomplete")),
@@ -38,7 +40,7 @@ def derived_ledger(derived: DataFrame, direct: DataFrame) -> DataFrame:
     ``derived``: (claim, kind, support, has_plan); ``direct``: (claim, module, status, evidence).
     """
     d = direct.select(F.col("claim").alias("s"), "module", F.col("status").alias("s_status"), "evidence")
-    rows = derived.select("claim", "kind", "has_plan", F.explode_outer("support").alias("s")).join(d, "s", "left")
+    rows = derived.select("claim", "kind", "has_plan", F.explode_outer("support").alias("s")).join(d.hint("merge"), "s", "left")
     g = rows.groupBy("claim", "kind", "has_plan").agg(
         F.count("s").alias("named"), F.count("s_status").alias("there"), F.count_if(F.col("s_status") == "blocked").alias("bad"), F.countDistinct("module").alias("modules"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
     )
@@ -81,10 +83,12 @@ def chapters(ledger: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def report_lines(chapter_claims: DataFrame, *, run: str) -> DataFrame:
-    """(run, report): a line for each claim with its trace id, in order of chapter and claim."""
+    """(run, chapter, claim, line): a line for each claim with its trace id, in order of run, chapter and claim.
+
+    The order is that of a range partitioning, so a report of any length is written by many tasks and never held by one.
+    """
     line = F.concat(F.lit("["), F.col("chapter"), F.lit("] "), F.col("text"), F.lit(" ("), F.col("claim"), F.lit(")"))
-    own = F.array_sort(F.collect_list(F.struct("chapter", "claim", line.alias("line"))))
-    return chapter_claims.groupBy(run).agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("report"))
+    return chapter_claims.select(run, "chapter", "claim", line.alias("line")).orderBy(run, "chapter", "claim")
 
 
 def trace_lineage(edges: list[DataFrame]) -> DataFrame:
@@ -115,7 +119,7 @@ def report_readability(reports: DataFrame, *, key: str, text_col: str = "text")
     island = lines.withColumn("island", F.col("pos") - F.sum(F.col("blank").cast("int")).over(w))
     runs = island.where("blank").groupBy(key, "island").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("blanks"))
     g = lines.groupBy(key).agg(F.max(F.length("line")).alias("longest"), F.max(F.length(F.regexp_extract("line", r"^(#+)\s", 1))).alias("depth"), F.count_if(F.col("line").rlike(r"^\s*\|")).alias("tables"))
-    j = g.join(runs, key, "left").withColumn("blanks", F.coalesce("blanks", F.lit(0)))
+    j = g.join(runs.hint("merge"), key, "left").withColumn("blanks", F.coalesce("blanks", F.lit(0)))
     return j.withColumn("readable", (F.col("longest") <= MAX_LINE) & (F.col("depth") <= MAX_DEPTH) & (F.col("tables") == 0) & (F.col("blanks") <= MAX_BLANK))
 
 
@@ -129,7 +133,7 @@ def report_noise(reports: DataFrame, *, key: str, text_col: str = "text", eviden
 
 def evidence_appendix(claims: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """(claim, place, evidence_id, source, role, problem): each claim's evidence in order; what is missing says so."""
-    j = claims.select("claim", F.posexplode("evidence_ids").alias("place", "evidence_id")).join(evidence, "evidence_id", "left").join(sources, "source", "left")
+    j = claims.select("claim", F.posexplode("evidence_ids").alias("place", "evidence_id")).join(evidence.hint("merge"), "evidence_id", "left").join(sources.hint("merge"), "source", "left")
     problem = F.when(F.col("source").isNull(), "evidence_missing").when(F.col("role").isNull(), "source_missing")
     return j.select("claim", "place", "evidence_id", "source", "role", problem.alias("problem"))
 

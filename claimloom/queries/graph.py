@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimloom.plans import graph as G
 from claimloom.queries import query
 from claimloom.queries.plans import _CLAIMS, supplier_claims
+from claimloom.sources.scratch import hinted
 
 
 def ledger(t):
@@ -89,9 +90,9 @@ def g5(t):
     return G.chapters(ledger(t), layout(t)).withColumn("claims", F.size("claims").cast("long"))
 
 
-@query("g6_report_lines", f"SELECT l.status AS run, string_agg('[' || chapter || '] ' || array_to_string(gaps, ',') || ' (' || claim || ')', chr(10) ORDER BY chapter, claim) AS report FROM {_LAYOUT} y JOIN {_LEDGER} l ON l.module = y.module GROUP BY l.status")
+@query("g6_report_lines", f"SELECT l.status AS run, chapter, claim, '[' || chapter || '] ' || array_to_string(gaps, ',') || ' (' || claim || ')' AS line FROM {_LAYOUT} y JOIN {_LEDGER} l ON l.module = y.module")
 def g6(t):
-    rows = ledger(t).join(F.broadcast(layout(t)), "module").select(F.col("status").alias("run"), "chapter", "claim", F.array_join("gaps", ",").alias("text"))
+    rows = ledger(t).join(hinted(layout(t)), "module").select(F.col("status").alias("run"), "chapter", "claim", F.array_join("gaps", ",").alias("text"))
     return G.report_lines(rows, run="run")
 
 

@@ -8,6 +8,7 @@ from claimloom.functions import urls as U
 from claimloom.plans import coverage as P
 from claimloom.queries import query
 from claimloom.queries.urls import SQL_CAND, sql_canonical, sql_kind, sql_public, with_url
+from claimloom.sources.scratch import hinted
 
 
 def coverage_rows(t):
@@ -157,7 +158,7 @@ def p10(t):
 
 
 def plan_keys(t):
-    return P.coverage_keys(samples(t), _AXES, sample="sample").withColumn("plan", F.col("sample") % 4)
+    return P.coverage_keys(samples(t), _AXES, sample="sample").withColumn("plan", F.floor(F.col("sample") / 50))
 
 
 @query("p11_greedy_cover")
@@ -294,4 +295,4 @@ def p25(t):
     c = assessed(t).where("status = 'eligible'").select(F.col("plan").cast("string").alias("run"), F.col("ord").cast("long"), F.col("candidate").cast("long"), (F.col("role") % 5).alias("module"))
     load = t("orders").groupBy((F.col("o_custkey") % 25).alias("task")).agg((F.count("*") % 4).cast("long").alias("load"))
     todo = t("nation").select(F.col("n_nationkey").cast("long").alias("task"), F.col("n_regionkey").alias("module"), F.when(F.col("n_nationkey") % 3 == 0, "critical").otherwise("high").alias("priority")).join(load, "task")
-    return P.balance_tasks(c.join(F.broadcast(todo), "module").select("run", "ord", "candidate", "task", "priority", "load"))
+    return P.balance_tasks(c.join(hinted(todo), "module").select("run", "ord", "candidate", "task", "priority", "load"))
