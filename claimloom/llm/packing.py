@@ -75,33 +75,45 @@ def best_config(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Count
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, *, rounds: int = 400, share: float = 0.5, eta: float = 2.0, least: int = 16) -> list[tuple[Config, int]]:
-    """Configurations and how many sequences use each, covering the histogram exactly.
+def solve(histogram: dict[int, int], capacity: int, **options) -> list[tuple[Config, int]]:
+    """Configurations and how many sequences use each, covering the histogram exactly."""
+    return optimised(histogram, capacity, **options)[0]
+
+
+def optimised(histogram: dict[int, int], capacity: int, *, rounds: int = 400, share: float = 0.5, eta: float = 2.0, least: int = 16) -> tuple[list[tuple[Config, int]], float]:
+    """The plan of ``solve``, and a number of sequences that no packing can do without.
 
     The covering program "fewest configurations that hold every length as often as it occurs" is solved by multiplicative
-    weights: a length's price is its size times an exponential weight of the share of it that is still uncovered, the
-    pricing step is the knapsack, and each step covers at most ``share`` of what is left of any length (all of it after
-    ``rounds`` steps, so that at most as many steps as there are lengths follow). Lengths of which fewer than ``least``
-    are left drop out. Fractions are rounded down; what is left then (a number bounded by the capacity and the
-    configurations, not by the input) is packed by best fit decreasing.
+    weights: each length has a weight, which starts at its size and falls by a factor of exp(-eta * share covered) with
+    every step that covers it; the pricing step is the knapsack over the weights, and each step covers at most ``share`` of
+    what is left of any length (all of it after ``rounds`` steps, so that at most as many steps as there are lengths
+    follow). Lengths of which fewer than ``least`` are left drop out. Fractions are rounded down; what is left then (a
+    number bounded by the capacity and the configurations, not by the input) is packed by best fit decreasing.
+
+    Each step's prices are a feasible point of the dual program once divided by the value of the best configuration, so
+    their total over all pieces is a lower bound; the largest of the steps is returned.
     """
     need = {int(k): int(v) for k, v in histogram.items() if v}
     if not need:
-        return []
+        return [], 0.0
     lengths = np.array(sorted(need))
     total = np.array([need[k] for k in lengths], float)
-    left = total.copy()
+    left, weight = total.copy(), lengths / capacity
     index = {int(k): i for i, k in enumerate(lengths)}
     used: Counter = Counter()
-    steps = 0
+    steps, bound = 0, float(lengths @ total) / capacity
     while (live := left >= least).any() and steps < rounds + 2 * len(lengths):
-        open_share = left[live] / total[live]
-        prices = lengths[live] / capacity * np.exp(eta * (open_share - open_share.max()))
+        prices = weight[live] / weight[live].max()
         config = best_config(lengths[live], prices, capacity)
+        # lengths that dropped out have no price here, which is feasible too
+        worth = sum(n * weight[index[k]] for k, n in config.items()) / weight[live].max()
+        bound = max(bound, float(prices @ total[live]) / (worth * (1 + 1e-9)))
         limit = min(left[index[k]] / n for k, n in config.items())
         x = limit if steps >= rounds else limit * share
         for k, n in config.items():
-            left[index[k]] = max(0.0, left[index[k]] - n * x)
+            i = index[k]
+            left[i] = max(0.0, left[i] - n * x)
+            weight[i] *= np.exp(-eta * n * x / total[i])
         used[tuple(sorted(config.items(), reverse=True))] += x
         steps += 1
     plan: Counter = Counter()
@@ -122,7 +134,7 @@ def solve(histogram: dict[int, int], capacity: int, *, rounds: int = 400, share:
     for bins in open_bins.values():
         for own in bins:
             plan[tuple(sorted(Counter(own).items(), reverse=True))] += 1
-    return sorted(plan.items())
+    return sorted(plan.items()), bound
 
 
 def places(plan: list[tuple[Config, int]]) -> dict[str, np.ndarray]:
@@ -141,15 +153,19 @@ def places(plan: list[tuple[Config, int]]) -> dict[str, np.ndarray]:
     return {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(names)}
 
 
-def pack(table: DataFrame, *, capacity: int = 1024, rows_per_salt: int = 50_000) -> DataFrame:
+def pack(table: DataFrame, *, capacity: int = 1024, rows_per_salt: int | None = None) -> DataFrame:
     """``table`` (pieces) with sequence_id and offset: gapless sequences of at most ``capacity`` tokens.
 
     Only the histogram (at most ``capacity`` rows) reaches the driver. A piece's place follows from its rank among pieces
-    of its length; ranks are counted in salted groups of about ``rows_per_salt`` rows and shifted by the sizes of the
-    groups before, so that no length, however frequent, is ranked in one task. An empty table gives an empty one.
+    of its length; ranks are counted in salted groups of about ``rows_per_salt`` rows (by default half of what a shuffle
+    partition gets, 500 at least) and shifted by the sizes of the groups before, so that no length, however frequent, is
+    ranked in one task. An empty table gives an empty one; repeated rows get a place each.
     """
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(solve(histogram, capacity))
+    if rows_per_salt is None:
+        partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows_per_salt = max(500, sum(histogram.values()) // (2 * partitions))
     salts = {k: -(-n // rows_per_salt) for k, n in histogram.items() if n > rows_per_salt}
     many = F.lit(1)
     for k, n in salts.items():
