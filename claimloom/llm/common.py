@@ -76,12 +76,39 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+#: A key of more rows than this, and than one in MOST_HOT of all, is hot; so at most MOST_HOT keys are.
+LEAST_HOT, MOST_HOT = 500, 100_000
+
+
+def join_counted(rows: DataFrame, known: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of unique keys and ``_n``, the number of rows that each has.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys (at most MOST_HOT, whatever the size of the
+    input); the rest is dealt by key. Both tables should be written ones, since each is read twice where a key is hot.
+    """
+    hot = known.where(F.col("_n") > max(LEAST_HOT, total // MOST_HOT)).drop("_n")
+    known = known.drop("_n")
+    if hot.isEmpty():
+        return rows.join(known.hint("merge"), on)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(known.hint("merge"), on)
+    return rows.join(F.broadcast(hot), on).select(cold.columns).unionAll(cold)
+
+
+def _pulled(edges: DataFrame, around: DataFrame, total: int) -> DataFrame:
+    """(u, n, m) for ``edges`` (u, n): m is the smallest of u and its neighbours in ``around`` (u, v)."""
+    low = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("_n"))
+    if total <= LEAST_HOT:
+        return edges.join(low.drop("_n").hint("merge"), "u")
+    return join_counted(edges, cut(low, "low"), ["u"], total)
+
+
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), component being the smallest node reachable.
 
-    Alternates large-star and small-star steps. Minima are taken by a partial aggregation, and each step is one join of
-    the edges with one row per node, which Spark can split where a node has many edges; every round is written to the
-    shared folder. Ends when a round changes nothing.
+    Alternates large-star and small-star steps. Minima are taken by a partial aggregation. In each step the edges meet one
+    row per node; nodes with very many edges, which the centres of large families become, are met by a broadcast instead of
+    in one task. Every round is written to the shared folder. Ends when a round changes nothing. Edges with a null end
+    are left out.
     """
     cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     nodes = cur.select(F.col("u").alias("node")).union(cur.select("v")).distinct()
@@ -95,12 +122,11 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
             break
         # large star: every larger neighbour of a node moves to the node's minimum
         both = cur.union(cur.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = cur.select(F.col("v").alias("u"), F.col("u").alias("n")).join(low.hint("merge"), "u").select(F.col("n").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _pulled(cur.select(F.col("v").alias("u"), F.col("u").alias("n")), both, before[0]).select(F.col("n").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: a node and its smaller neighbours move to the smallest of them
         large = cut(large.distinct(), "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        small = _pulled(large.select("u", F.col("v").alias("n")), large, before[0])
+        small = small.select(F.col("n").alias("u"), F.col("m").alias("v")).where("u <> v").union(large.groupBy("u").agg(F.min("v").alias("v")))
         cur = cut(small.distinct(), "cc")
         now = signature(cur)
         if now == before:
