@@ -58,12 +58,14 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return ends.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 40, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 1000, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) after personalised PageRank from ``seeds`` (host, trust, distrust).
 
     Trust flows along links in proportion to their number, distrust against them: who links to a blocked host is
     distrusted. Both flows are rows of one table of arcs, so a round is one join and one aggregation over hosts. The state
-    is written to the shared folder every few rounds; ends when no host changes by more than ``tolerance``.
+    is written to the shared folder every few rounds. Ends when no value of any host has changed by more than ``tolerance``
+    of itself, so that small shares settle like large ones and no host is newly reached; raises where that takes more than
+    ``rounds``, and never returns values that are still on the move.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all_out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all_in"))
@@ -75,8 +77,7 @@ def spread(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds:
     state = start.select("host", ((1 - damping) * F.col("trust0")).alias("trust"), ((1 - damping) * F.col("distrust0")).alias("distrust"))
     if arcs.isEmpty():
         return state
-    done = 0
-    while done < rounds:
+    for _ in range(0, rounds, every):
         before = state
         for _ in range(every):
             flow = arcs.join(state.withColumnRenamed("host", "from").hint("merge"), "from").groupBy(F.col("to").alias("host"))
@@ -84,12 +85,11 @@ def spread(seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds:
             joined = start.join(got.hint("merge"), "host", "left")
             state = joined.select("host", *(((1 - damping) * F.col(f"{x}0") + damping * F.coalesce(y, F.lit(0.0))).alias(x) for x, y in (("trust", "in_t"), ("distrust", "in_d"))))
         state = cut(state, "trust")
-        done += every
         old = before.select("host", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
-        change = state.join(old.hint("merge"), "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("old_t")), F.abs(F.col("distrust") - F.col("old_d"))))).first()[0]
-        if change is None or change <= tolerance:
-            break
-    return state
+        moved = [F.abs(F.col(x) - F.col(y)) > tolerance * F.col(x) for x, y in (("trust", "old_t"), ("distrust", "old_d"))]
+        if state.join(old.hint("merge"), "host").where(moved[0] | moved[1]).isEmpty():
+            return state
+    raise RuntimeError(f"trust did not settle within {rounds} rounds")
 
 
 def judged(pages: DataFrame, rules: list[Rule], *, share: float = 0.5, damping: float = 0.85, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
