@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import WORD_BYTES, raw_bytes, slices, with_texts, words
+from claimloom.llm.common import WORD_BYTES, cut, raw_bytes, slices, with_texts, words
 
 _WORD = re.compile(rb"[^ ]+")
 
@@ -103,26 +103,29 @@ class FmIndex:
 
 
 class Phrases:
-    """Windows of the benchmark items: ``width`` consecutive words, or a whole shorter item."""
+    """Windows of the benchmark items: ``width`` consecutive words, or a whole shorter item. Items that repeat an id count
+    as one item with the windows of all its rows."""
 
     def __init__(self, items: list[tuple[object, bytes]], width: int):
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        self.items: list[object] = []
-        found: dict[tuple[int, ...], set[int]] = {}
+        known: dict[object, int] = {}
+        by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            ids = [number(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not ids:
-                continue
-            self.items.append(item)
-            for k in range(max(1, len(ids) - width + 1)):
-                found.setdefault(tuple(ids[k : k + width]), set()).add(len(self.items) - 1)
+            ids = np.array([number(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            if len(ids):
+                size = min(width, len(ids))
+                windows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                by_size.setdefault(size, []).append((windows, np.full(len(windows), known.setdefault(item, len(known)))))
+        self.items = list(known)
         self.groups = []
-        for size in sorted({len(w) for w in found}):
-            own = [w for w in found if len(w) == size]
-            counts = np.array([len(found[w]) for w in own])
-            self.groups.append((size, np.array(own, np.int64), np.concatenate(([0], np.cumsum(counts))), np.array([i for w in own for i in sorted(found[w])], np.int64)))
-        self.shortest = min((g[0] for g in self.groups), default=0)
+        for size, own in sorted(by_size.items()):
+            windows, of = np.concatenate([w for w, _ in own]), np.concatenate([i for _, i in own])
+            patterns, which = np.unique(windows, axis=0, return_inverse=True)
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(self.items) + of)
+            counts = np.bincount(pairs // len(self.items), minlength=len(patterns))
+            self.groups.append((size, patterns.astype(np.int64), np.concatenate(([0], np.cumsum(counts))), pairs % len(self.items)))
+        self.shortest = min(by_size, default=0)
 
 
 def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[object]]]:
@@ -211,6 +214,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 #: Columns that go with a row through the passes: a bit for each word, and the items found.
 HITS, ITEMS = "_hits", "_items"
+#: So many blocks follow each other in one task; then the rows are written, so that no task holds more blocks than that.
+BLOCKS_A_PASS = 4
 
 
 def _hits(packed: bytes | None, n: int) -> np.ndarray:
@@ -218,11 +223,16 @@ def _hits(packed: bytes | None, n: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width: int, text_col: str, shard_rows: int) -> DataFrame:
-    """``docs`` with HITS and ITEMS of all blocks, each searched in the texts as they are; rows keep their place."""
+    """``docs`` with HITS and ITEMS of all blocks, each searched in the texts as they are; rows keep their place.
+
+    The driver holds one block at a time, a task ``BLOCKS_A_PASS`` of them.
+    """
     names = docs.columns
     out = docs.withColumns({HITS: F.lit(None).cast("binary"), ITEMS: F.lit(None).cast("array<string>")})
     schema = out.schema
-    for block in blocks:
+    for k, block in enumerate(blocks):
+        if k and k % BLOCKS_A_PASS == 0:
+            out = cut(out, "marked")
         phrases = Phrases(block, width)
 
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
@@ -241,13 +251,15 @@ def _marked(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, shard_rows: int = 2048) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, shard_rows: int = 2048) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans array<struct<start, end, word, past>>) for every row of ``docs``.
 
-    Each ``shard_rows`` documents of a task are a shard with its own index; no shuffle. The benchmark goes to the tasks in
-    blocks of at most ``block_bytes``, a pass for each; hits go along with the row, so the number of blocks changes no result.
-    Spans are the removal spans in code points and the words they hold, neighbours merged. Null texts have no words; an empty benchmark hits nothing; items with a null
-    id are left out; rows that repeat an id each get a row.
+    Each ``shard_rows`` documents of a task, or fewer with 8 MB of text, are a shard with its own index; no shuffle. The
+    benchmark goes to the tasks in blocks of about ``block_bytes``, a pass over the texts for each, and hits go along with
+    the row, so the number of blocks changes no result. After every BLOCKS_A_PASS blocks the rows are written to the shared
+    folder. Spans are the removal spans in code points and the words they hold, neighbours merged. Null texts have no
+    words; an empty benchmark hits nothing; items with a null id are left out, items that repeat an id are one; rows that
+    repeat an id each get a row.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(source.dtypes)['id']}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long,word:long,past:long>>"
@@ -260,7 +272,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_
                 own = _hits(packed, n := len(words(t)))
                 sizes.append(n)
                 n_hit.append(int(own.sum()))
-                spans.append([{"start": len(t[:a].decode()), "end": len(t[:e].decode()), "word": w, "past": p} for a, e, w, p in removal_spans(t, own)] if n_hit[-1] else [])
+                mine, at, char = [], 0, 0
+                for a, e, w, p in removal_spans(t, own) if n_hit[-1] else ():
+                    start = char + len(t[at:a].decode())
+                    at, char = e, start + len(t[a:e].decode())
+                    mine.append({"start": start, "end": char, "word": w, "past": p})
+                spans.append(mine)
             items = pa.array([sorted(set(x or [])) for x in b.column(ITEMS).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, span)], ["id", "n_words", "n_hit", "items", "spans"])
 
@@ -272,7 +289,7 @@ def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20, shard_rows: int = 2048) -> DataFrame:
+def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, shard_rows: int = 2048) -> DataFrame:
     """``docs`` with the removal spans cut out of their texts; other columns as they are, but for ``length_col``
     (if given), which gets the new number of characters of a text that changes. Null texts stay null.
 
