@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import cut
+from claimloom.llm.common import cut, join_counted, slices
 
 #: Fixed values of the format: magic number of the skippable frame that holds a dictionary, and of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -22,10 +22,10 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def response_record(page: int, url: str, payload: bytes, digest: str) -> bytes:
+def response_record(page: int | None, url: str, payload: bytes, digest: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = (
-        f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n"
+        f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if page is None else page}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n"
         f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http) + len(payload)}\r\n\r\n"
     )
     return b"".join((head.encode(), http, payload, b"\r\n\r\n"))
@@ -50,7 +50,7 @@ def parse_record(record: bytes) -> dict:
         raise ValueError("not a whole WARC record")
     http, payload = rest[:-4].split(b"\r\n\r\n", 1)
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
-    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    page = lambda x: int(n) if (n := x.removeprefix("<urn:page:").removesuffix(">")) else None
     kind = fields["WARC-Type"]
     written = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or digest32(payload) != written):
@@ -104,23 +104,28 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def with_types(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def with_types(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = 200_000) -> DataFrame:
     """(page, url, html, bytes, sha, refers_to) of every row; html only where the record is a response.
 
-    The largest id of each payload of at least ``min_bytes`` is chosen by a partial aggregation over (digest, size); rows
-    that revisit it carry no html any more, so a payload that many pages share is shuffled once.
+    Payloads are compared by digest and size, and only those of at least ``min_bytes`` that several rows have are looked
+    up. Up to ``most`` of them are broadcast, and every row stays where it was read. Beyond, rows that revisit another are
+    found without their html, and left out of the others by their ids; a payload that very many pages share is not dealt
+    to one task. Rows with a null id are responses that nothing revisits.
     """
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     source = pages.select(F.col(id_col).cast("long").alias("page"), F.regexp_replace(F.coalesce(url_col, F.lit("")), r"[\r\n]", "").alias("url"), html.alias("html"))
-    keyed = source.select("page", "url", F.sha1("html").alias("sha"), F.length("html").cast("long").alias("bytes"))
-    first = keyed.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.max("page").alias("keeper"))
-    marked = keyed.join(first.hint("merge"), ["sha", "bytes"], "left")
-    marked = marked.withColumn("refers_to", F.when(F.col("keeper") != F.col("page"), F.col("keeper")))
-    revisits = marked.where("refers_to is not null").select("page", "url", F.lit(None).cast("binary").alias("html"), "bytes", "sha", "refers_to")
-    keepers = marked.where("refers_to is null").select("page", "sha").distinct()
-    responses = source.withColumn("sha", F.sha1("html")).join(keepers.hint("merge"), ["page", "sha"], "left_semi")
-    responses = responses.select("page", "url", "html", F.length("html").cast("long").alias("bytes"), "sha", F.lit(None).cast("long").alias("refers_to"))
-    return responses.unionByName(revisits)
+    source = source.withColumns({"bytes": F.length("html").cast("long"), "sha": F.sha1("html")})
+    names, key = ["page", "url", "html", "bytes", "sha", "refers_to"], ["sha", "bytes"]
+    keyed = source.drop("html").where(F.col("page").isNotNull() & (F.col("bytes") >= min_bytes))
+    copied = cut(keyed.groupBy(*key).agg(F.max("page").alias("keeper"), F.count("*").alias("_n")).where("_n > 1"), "copied")
+    if copied.limit(most + 1).count() <= most:
+        marked = source.join(F.broadcast(copied.drop("_n")), key, "left")
+        marked = marked.withColumn("refers_to", F.when((F.col("keeper") != F.col("page")) & (F.col("bytes") >= min_bytes), F.col("keeper")))
+        return marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).select(names)
+    keyed = cut(keyed, "keyed")
+    revisits = cut(join_counted(keyed, copied, key, keyed.count()).where("keeper <> page"), "revisits")
+    responses = source.join(revisits.select("page", "sha").distinct().hint("merge"), ["page", "sha"], "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.select(names).unionAll(revisits.select("page", "url", F.lit(None).cast("binary").alias("html"), "bytes", "sha", F.col("keeper").alias("refers_to")))
 
 
 def write_archives(typed: DataFrame, *, archive_bytes: int = 4 << 20, dictionary_bytes: int = 16 << 10, level: int = 3) -> DataFrame:
@@ -141,8 +146,7 @@ def write_archives(typed: DataFrame, *, archive_bytes: int = 4 << 20, dictionary
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:05d}-{number:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([data], pa.binary())], ["archive", "records", "data"])
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                b = whole.slice(start, 64)
+            for b in slices([whole], 64):
                 for page, url, html, n, sha, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
                     r = response_record(page, url, html, digest) if refers_to is None else revisit_record(page, url, n, digest, refers_to)
@@ -197,8 +201,8 @@ def archived(pages: DataFrame, *, min_bytes: int = 0, archive_bytes: int = 4 <<
     """Write all rows as WARC records to archives in the shared folder and read them back.
 
     Returns (page_id, payload_bytes, payload_digest, record_type, refers_to, url[, payload]), one row per page. Null html is
-    an empty payload, a null url an empty one. Rows with a null id are left out. If an id has several rows with the chosen
+    an empty payload, a null url an empty one. Rows with a null id are responses. If an id has several rows with the chosen
     payload, all of them are responses.
     """
-    typed = with_types(pages.where(F.col(id_col).isNotNull()), min_bytes=min_bytes, id_col=id_col, url_col=url_col, html_col=html_col)
+    typed = with_types(pages, min_bytes=min_bytes, id_col=id_col, url_col=url_col, html_col=html_col)
     return read_archives(cut(write_archives(typed, archive_bytes=archive_bytes), "warc"), with_payload=with_payload)
