@@ -212,8 +212,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r["item"], r["text"].encode()) for r in part.collect()]
 
 
-#: Columns that go with a row through the passes: a bit for each word, and the items found.
-HITS, ITEMS = "_hits", "_items"
 #: So many blocks follow each other in one task; then the rows are written, so that no task holds more blocks than that.
 BLOCKS_A_PASS = 4
 
@@ -223,12 +221,14 @@ def _hits(packed: bytes | None, n: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width: int, text_col: str, shard_rows: int) -> DataFrame:
-    """``docs`` with HITS and ITEMS of all blocks, each searched in the texts as they are; rows keep their place.
+    """``docs`` and two columns more: a bit for each word that any block hits, and the items found. Each block is searched in
+    the texts as they are; rows keep their place. The new columns are the last two, and have names that ``docs`` lacks.
 
     The driver holds one block at a time, a task ``BLOCKS_A_PASS`` of them.
     """
-    names = docs.columns
-    out = docs.withColumns({HITS: F.lit(None).cast("binary"), ITEMS: F.lit(None).cast("array<string>")})
+    names, taken = docs.columns, {c.lower() for c in docs.columns}
+    hits, found_items = (next(x for x in (f"_{name}{k}" for k in range(len(names) + 1)) if x not in taken) for name in ("hits", "items"))
+    out = docs.select("*", F.lit(None).cast("binary").alias(hits), F.lit(None).cast("array<string>").alias(found_items))
     schema = out.schema
     for k, block in enumerate(blocks):
         if k and k % BLOCKS_A_PASS == 0:
@@ -238,14 +238,14 @@ def _marked(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, shard_rows):
                 _, starts, hit, items = shard_hits(raw_bytes(b, text_col), phrases)
-                packed, found = b.column(HITS).to_pylist(), b.column(ITEMS).to_pylist()
+                packed, found = (b.column(c).to_pylist() for c in (hits, found_items))
                 for k in range(b.num_rows):
                     own = hit[starts[k] : starts[k + 1]]
                     if own.any():
                         packed[k] = np.packbits(own | _hits(packed[k], len(own))).tobytes()
                         found[k] = [*(found[k] or []), *map(str, items[k])]
                 columns = [*(b.column(c) for c in names), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, HITS, ITEMS])
+                yield pa.RecordBatch.from_arrays(columns, [*names, hits, found_items])
 
         out = out.mapInArrow(run, schema)
     return out
@@ -268,7 +268,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, shard_rows):
             sizes, n_hit, spans = [], [], []
-            for t, packed in zip(raw_bytes(b, "text"), b.column(HITS).to_pylist()):
+            for t, packed in zip(raw_bytes(b, "text"), b.column(b.num_columns - 2).to_pylist()):
                 own = _hits(packed, n := len(words(t)))
                 sizes.append(n)
                 n_hit.append(int(own.sum()))
@@ -278,7 +278,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_
                     at, char = e, start + len(t[a:e].decode())
                     mine.append({"start": start, "end": char, "word": w, "past": p})
                 spans.append(mine)
-            items = pa.array([sorted(set(x or [])) for x in b.column(ITEMS).to_pylist()], pa.list_(pa.string()))
+            items = pa.array([sorted(set(x or [])) for x in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, span)], ["id", "n_words", "n_hit", "items", "spans"])
 
     marked = _marked(source, _blocks(benchmark, item_col, item_text_col, block_bytes), width, "text", shard_rows)
@@ -300,7 +300,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, shard_rows):
             column = b.column(text_col).to_pylist()
-            for k, (t, packed) in enumerate(zip(raw_bytes(b, text_col), b.column(HITS).to_pylist())):
+            for k, (t, packed) in enumerate(zip(raw_bytes(b, text_col), b.column(b.num_columns - 2).to_pylist())):
                 if packed:
                     parts, at = [], 0
                     for a, e, _, _ in removal_spans(t, _hits(packed, len(words(t)))):
