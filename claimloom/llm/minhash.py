@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import WORD_BYTES, components, cut, lookup, raw_bytes, slices
+from claimloom.llm.common import WORD_BYTES, components, cut, join_counted, lookup, raw_bytes, slices
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -262,28 +262,28 @@ def verified_pairs(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.nd
         order = np.argsort(-total, kind="stable")
         links = []
         for turn, p in enumerate(order):
-            others = order[turn + 1 :]
-            others = others[(root[others] != root[p]) & (total[others] >= threshold * total[p])]
+            rest, some = order[turn + 1 :], 32
+            rest = rest[(root[rest] != root[p]) & (total[rest] >= threshold * total[p])]
             if a[s] != b[s]:
-                others = others[of[others] != of[p]]
-            if not len(others):
-                continue
-            if len(others) * 4 > e - s:
-                which, chosen, edge = every, heavy, begin
-                pick = others
-            else:
-                which = np.concatenate([sets[o] for o in others])
-                chosen = np.concatenate([weights[o] for o in others])
-                edge = np.concatenate(([0], np.cumsum(size[others])))
-                pick = np.arange(len(others))
-            at = np.minimum(np.searchsorted(sets[p], which), len(sets[p]) - 1)
-            shared = np.where(sets[p][at] == which, np.minimum(weights[p][at], chosen), 0.0)
-            shared = np.add.reduceat(shared, edge[:-1])[pick]
-            near = others[shared / (total[p] + total[others] - shared) >= threshold]
-            for o in near:
-                links.append((p, o))
-                if root[o] != root[p]:
-                    root[root == root[o]] = root[p]
+                rest = rest[of[rest] != of[p]]
+            while len(rest):  # a link found early leaves out what it reaches
+                others, rest, some = rest[:some], rest[some:], some * 4
+                if len(others) * 4 > e - s:
+                    which, chosen, edge = every, heavy, begin
+                    pick = others
+                else:
+                    which = np.concatenate([sets[o] for o in others])
+                    chosen = np.concatenate([weights[o] for o in others])
+                    edge = np.concatenate(([0], np.cumsum(size[others])))
+                    pick = np.arange(len(others))
+                at = np.minimum(np.searchsorted(sets[p], which), len(sets[p]) - 1)
+                shared = np.where(sets[p][at] == which, np.minimum(weights[p][at], chosen), 0.0)
+                shared = np.add.reduceat(shared, edge[:-1])[pick]
+                near = others[shared / (total[p] + total[others] - shared) >= threshold]
+                if len(near):
+                    links += [(p, o) for o in near.tolist()]
+                    root[np.isin(root, root[near])] = root[p]
+                    rest = rest[root[rest] != root[p]]
         if links:
             i, j = np.array(links).T
             x, y = _forest(own, [i], [j])
@@ -307,10 +307,11 @@ def near_texts(
     send back spanning forests, never pairs.
 
     Texts without words, null ones included, link with nothing. Rows that repeat an id share a class. Ids are integers;
-    rows with a null id are left out.
+    rows with a null id link with nothing: their class is null, and they are kept.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    idf = inverse_frequencies(source, buckets=buckets)
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    idf = inverse_frequencies(every, buckets=buckets)
+    source = every.where("id is not null")
     k = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +331,7 @@ def near_texts(
             )
 
     signed = cut(source.mapInArrow(sign, "id long, content binary, samples binary, keys array<long>"), "signed")
-    reps = cut(signed.where("content is not null").groupBy("content").agg(F.min("id").alias("rep"), F.first("samples").alias("samples"), F.first("keys").alias("keys")), "reps")
+    reps = cut(signed.where("content is not null").groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("_n"), F.first("samples").alias("samples"), F.first("keys").alias("keys")), "reps")
 
     # candidate groups
     banded = reps.select("rep", F.explode("keys").alias("key"))
@@ -354,9 +355,11 @@ def near_texts(
     links = cut(_grouped(_tiled(placed, "component", ["keys", "weights"]), ["component", "ta", "tb"], lambda t: verified_pairs(t, threshold)), "linked")
     classes = components(links.distinct()).withColumnRenamed("node", "rep")
 
-    found = reps.select("content", "rep").join(classes.hint("merge"), "rep", "left").select("content", F.coalesce("component", "rep").alias("class"))
-    out = signed.select("id", "content").join(found.hint("merge"), "content", "left").select("id", F.coalesce("class", "id").alias("class_id"))
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    found = cut(reps.select("content", "rep", "_n").join(classes.hint("merge"), "rep", "left").select("content", "_n", F.coalesce("component", "rep").alias("class_id")), "classes")
+    out = join_counted(signed.where("content is not null").select("id", "content"), found, ["content"], signed.count()).select("id", "class_id")
+    out = out.unionAll(signed.where("content is null").select("id", F.col("id").alias("class_id")))
+    none = every.where("id is null").select("id", F.col("id").alias("class_id"))
+    return out.unionAll(none).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def _least(k: int, threshold: float) -> int:

@@ -93,10 +93,11 @@ def test_planted_families_and_tiles(spark):
     for _ in range(40):  # a passage shared by texts that are otherwise different
         rows.append((n, passage + " " + " ".join(r.choice(vocabulary) for _ in range(90)), "s"))
         n += 1
-    rows += [(n, None, "s"), (n + 1, "", "s"), (n + 2, "!!", "s"), (n + 3, "one two", "s"), (n + 4, "One, two", "s"), (n + 5, "x " * 60000, "s"), (3, rows[3][1], "s")]
+    rows += [(n, None, "s"), (n + 1, "", "s"), (n + 2, "!!", "s"), (n + 3, "one two", "s"), (n + 4, "One, two", "s"), (n + 5, "x " * 60000, "s"), (3, rows[3][1], "s"), (None, rows[3][1], "s"), (None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
     idf = minhash.inverse_frequencies(docs.selectExpr("doc_id as id", "text"))
-    want = plain_classes([r[:2] for r in rows], 5, 0.8, idf)
+    want = plain_classes([r[:2] for r in rows if r[0] is not None], 5, 0.8, idf)
     got = minhash.near_texts(docs, tile=7, tile_shingles=600).collect()
-    assert {x.doc_id: x.class_id for x in got} == want and len(got) == len(rows)
+    assert {x.doc_id: x.class_id for x in got if x.doc_id is not None} == want and len(got) == len(rows)
+    assert [(x.class_id, x.kept) for x in got if x.doc_id is None] == [(None, True)] * 2
     assert minhash.near_texts(docs.limit(0)).count() == 0

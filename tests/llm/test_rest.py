@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from claimloom.llm import embeddings, toxicity, urlgraph, warc
+from claimloom.llm.common import components
 
 
 # --- vectors
@@ -54,6 +55,31 @@ def test_vectors(spark):
     got = embeddings.near_vectors(df, threshold=0.98, tile=16).collect()
     assert sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in got) == plain_links(rows, 0.98)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, rows[0][1], 0)] * 3 + [(None, None, None)], df.schema)
+    more = embeddings.near_vectors(df.union(none), threshold=0.98, tile=16).collect()
+    assert sorted(tuple(x) for x in more if x.vec_id is not None) == sorted(map(tuple, got))
+    assert [tuple(x) for x in more if x.vec_id is None] == [(None, 0, None, True)] * 4
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Stars, copies and payloads that hold most rows take the broadcast path, and give the same rows."""
+    from claimloom.llm import common
+
+    r = random.Random(8)
+    edges = [(k, 0) for k in range(1, 400)] + [(1000 + k, 999) for k in range(300)] + [(5000 + k, 5000 + r.randrange(k)) for k in range(1, 200)] + [(399, 1000), (None, 1), (7, None)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    vectors = spark.createDataFrame([(k, [1.0, 0.0] if k % 3 else [0.6, 0.8], 1) for k in range(300)] + [(1000, [1.0, 0.01], 1)], "vec_id long, embedding array<float>, label int")
+    pages = spark.createDataFrame([(k, "u", "same" if k % 4 else str(k)) for k in range(200)], "page_id long, url string, html string")
+    forms = [
+        lambda: {x.node: x.component for x in components(frame).collect()}, lambda: sorted(map(tuple, embeddings.near_vectors(vectors).collect())), lambda: sorted(map(str, warc.with_types(pages).collect())),
+        lambda: sorted(map(str, warc.with_types(pages, most=0).select("page", "url", "html", "bytes", "sha", "refers_to").collect())),
+    ]
+    plain = [f() for f in forms]
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    monkeypatch.setattr(common, "MOST_HOT", 30)
+    assert [f() for f in forms] == plain
+    assert set(plain[0].values()) == {0, 5000} and {v for k, v in plain[0].items() if k >= 5000} == {5000} and plain[2] == plain[3]
+    assert {x[1] for x in plain[1]} == {99, 200, 300 - 100} and len(plain[1]) == 301
 
 
 def test_bounds_are_rigorous():
@@ -95,6 +121,8 @@ def test_archives(spark, tmp_path):
     small = {x.page_id: x.record_type for x in warc.archived(df, min_bytes=10_000).collect()}
     assert set(small.values()) == {"response"}
     assert warc.archived(df.limit(0)).count() == 0
+    none = warc.archived(df.limit(0).union(spark.createDataFrame([(None, None, None, "x"), (None, "u", "same", "x"), (5, "u", "same", "x"), (5, "u", "same", "x")], df.schema)), with_payload=True).collect()
+    assert sorted((x.page_id or 0, x.record_type, x.refers_to, x.payload) for x in none) == [(0, "response", None, b""), (0, "response", None, b"same"), (5, "response", None, b"same"), (5, "response", None, b"same")]
 
 
 # --- URL filter
@@ -120,6 +148,22 @@ def plain_rank(seeds, edges, damping, rounds=200):
 RULES = [urlgraph.Rule("allow", "good.org", "/"), urlgraph.Rule("block", "bad.net", "/"), urlgraph.Rule("block", "good.org", "/x/")]
 
 
+def test_trust_settles(spark):
+    hosts = [f"h{k}" for k in range(61)]
+    edges = {(a, b): 1 + k % 3 for k, (a, b) in enumerate(zip(hosts, hosts[1:]))} | {("h3", "h1"): 2, ("h9", "h2"): 1}
+    seeds = {"h0": (1.0, 0.0), "h60": (0.0, 1.0)}
+    t, d = plain_rank(seeds, edges, 0.85, rounds=400)
+    frame = spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double")
+    links = spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n long")
+    got = {r.host: r for r in urlgraph.spread(frame, links, every=10).collect()}
+    assert got.keys() == set(hosts)
+    for h in hosts:  # the far end of the chain, too, is near the fixed point
+        assert got[h].trust == pytest.approx(t[h], rel=1e-5) and got[h].distrust == pytest.approx(d[h], rel=1e-5)
+    assert got["h0"].distrust > 0 and got["h60"].trust > 0
+    with pytest.raises(RuntimeError):
+        urlgraph.spread(frame, links, rounds=20, every=10)
+
+
 def test_url_filter(spark):
     link = lambda *hosts: "".join(f'<a href="{p}//{h}/q">' for h in hosts for p in ("http:", ""))
     rows = [
@@ -139,7 +183,7 @@ def test_url_filter(spark):
     t, d = plain_rank(seeds, edges, 0.85)
     frame = spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double")
     for r in urlgraph.spread(frame, urlgraph.host_edges(df)).collect():
-        assert abs(r.trust - t[r.host]) < 1e-4 and abs(r.distrust - d[r.host]) < 1e-4
+        assert abs(r.trust - t[r.host]) < 1e-6 and abs(r.distrust - d[r.host]) < 1e-6
     base = df.select(urlgraph.host_of(df.url).alias("host"), urlgraph.path_of(df.url).alias("path"))
     key = lambda f: sorted(map(str, f.select("host", "path", "rule", "rule_verdict").collect()))
     assert key(urlgraph.with_rules(base, RULES)) == key(urlgraph.with_rules(base, RULES, inline=0))
@@ -208,3 +252,25 @@ def test_pipeline(spark, sf):
     assert decontam.contamination(clean, spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit > 0").count() == 0
     assert pii.digest(pii.pii_spans(masked)).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert all(r.n_chars == len(r.text) for r in masked.collect() if r.text != was[r.doc_id].text)
+
+
+def test_pipeline_edges(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(None, "one two three four five six", "en", "s", 27), (None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "word " * 90000, "en", "s", 450000), (3, "word " * 90000, "en", "s", 450000)]
+    rows += [(4, "tie tie mail bob@x.org now", "en", "s", 26), (5, "tie tie mail bob@x.org now", "en", "s", 26), (5, "tie tie mail bob@x.org now", "en", "s", 26)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, component long, score double, _hits int, spans string, kept boolean, content string, rep long, length int, piece string"
+    docs = spark.createDataFrame([(*r, "i", 1, 0.5, 2, "s", False, "c", 7, 8, "p") for r in rows], schema)
+    for frame in (docs, docs.limit(0)):
+        counts = []
+        for k, (name, stage) in enumerate(p.STAGES):
+            before, frame = frame, p.cut(stage(spark, frame, sf), name)
+            counts.append(frame.count())
+            if k + 1 < len(p.STAGES):
+                assert frame.schema.simpleString() == before.schema.simpleString()
+        if counts[0]:
+            assert counts[:4] == [9, 7, 7, 7] and {r.text for r in before.where("doc_id = 4").collect()} == {"tie tie mail <email> now"}
+            assert before.where("doc_id is null").count() == 2 and before.where("doc_id = 3").count() == 2 and before.where("doc_id = 1").first().text is None
+            assert frame.where("doc_id = 4").count() == 1 and frame.agg({"length": "max"}).first()[0] == 1024
+        else:
+            assert counts == [0] * 5
