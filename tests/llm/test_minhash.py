@@ -101,3 +101,48 @@ def test_planted_families_and_tiles(spark):
     assert {x.doc_id: x.class_id for x in got if x.doc_id is not None} == want and len(got) == len(rows)
     assert [(x.class_id, x.kept) for x in got if x.doc_id is None] == [(None, True)] * 2
     assert minhash.near_texts(docs.limit(0)).count() == 0
+
+
+def exact_pairs(texts, idf, width=5, threshold=0.8):
+    """{(i, j): similarity} of all pairs at the threshold or more: two such texts share one of the rarest shingles of each
+    that carry more than 1 - threshold of its weight, so only texts that share one of those are compared."""
+    key, weight, bounds = minhash.shingles(texts, width, idf)
+    _, number, often = np.unique(key, return_inverse=True, return_counts=True)
+    total = [weight[a:b].sum() for a, b in zip(bounds, bounds[1:])]
+    posted, out = {}, {}
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        order = np.lexsort((key[a:b], often[number[a:b]]))
+        n = int(np.searchsorted(np.cumsum(weight[a:b][order]), (1 - threshold) * total[k] + 1e-9, side="right")) + 1
+        for x in number[a:b][order[:n]].tolist():
+            posted.setdefault(x, []).append(k)
+    for i, j in {(own[j], own[i]) for own in posted.values() for i in range(len(own)) for j in range(i)}:
+        a, b = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
+        _, x, y = np.intersect1d(key[a], key[b], assume_unique=True, return_indices=True)
+        low = np.minimum(weight[a][x], weight[b][y]).sum()
+        if low / (total[i] + total[j] - low) >= threshold:
+            out[i, j] = low / (total[i] + total[j] - low)
+    return out
+
+
+def test_recall_by_band():
+    """Of planted near copies in every band of similarity from 0.8 on, nearly all are candidates."""
+    r = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(700):
+        base = [r.choice(vocabulary) for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(base))
+        own, changes = list(base), r.randint(1, max(1, len(base) // 45))
+        for _ in range(changes):
+            own[r.randrange(len(own))] = r.choice(vocabulary)
+        texts.append(" ".join(own))
+    texts = [t.encode() for t in dict.fromkeys(texts)]
+    idf = np.ones(1 << 18)
+    key, weight, bounds = minhash.shingles(texts, 5, idf)
+    samples = minhash.Sampler(64).samples(key, weight, bounds)
+    keys = minhash.band_keys(samples, 4)
+    least = minhash._least(64, 0.8)
+    found = {}
+    for (i, j), s in exact_pairs(texts, idf).items():
+        found.setdefault(min(int(s * 20), 19), []).append(bool((keys[i] == keys[j]).any() and (samples[i] == samples[j]).sum() >= least))
+    assert {16, 17, 18} <= found.keys() and all(np.mean(x) >= 0.98 for x in found.values()), {k: (len(x), np.mean(x)) for k, x in found.items()}

@@ -206,6 +206,34 @@ def test_grammar():
     assert m.score([]) == pytest.approx(1 / (1 + math.exp(3.0)))
 
 
+def plain_clause(read, reach=3):
+    """What each word of a clause gives, straight from the words around it."""
+    out = []
+    for i, (cls, weight) in enumerate(read):
+        near = lambda kind: any(c == kind for c, _ in read[max(0, i - reach) : i])  # noqa: E731, B023
+        directed = cls == toxicity.INSULT and near(toxicity.TARGET)
+        threat = (cls == toxicity.TARGET and near(toxicity.THREAT)) or (cls == toxicity.THREAT and near(toxicity.TARGET))
+        gain = 1.25 if directed else 1.0 if cls == toxicity.INSULT else 1.5 if threat else 0
+        if gain:
+            out.append((weight * gain, near(toxicity.NEGATION) or any(c == toxicity.REPORT for c, _ in read[:i])))
+    plain, off = (sum(w for w, held in out if held is k) for k in (False, True))
+    return (plain or off, not plain) if plain or off else None
+
+
+def test_grammar_against_plain_reading():
+    r = random.Random(14)
+    m = toxicity.Model(words={"fool": 2.0, "oaf": 1.5}, stems={"idio": 3.0})
+    ready, words = m.prefilter(), ["fool", "oaf", "idiots", "Idio", "kill", "HURT", "you", "them", "not", "never", "said", "wrote", "the", "tree", "7"]
+    for _ in range(3000):
+        clauses = [" ".join(r.choice(words) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 3))]
+        text, want = "; ".join(clauses), []
+        for c in clauses:
+            got = plain_clause([m.read(w) for w in c.lower().split() if w.isalpha()])
+            if got:
+                want.append(got)
+        assert [(pytest.approx(s), off) for _, _, s, off in m.clauses(text, ready)] == want, text
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels)
