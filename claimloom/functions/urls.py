@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +98,7 @@ def kind(c: Column) -> Column:
 def useful(c: Column) -> Column:
     """Public, no search engine, social or market host, no binary file."""
     host = hostname(c)
-    skipped = F.lit(False)
-    for s in SKIPPED_HOST_PARTS:
-        skipped = skipped | host.contains(s)
-    return is_public(c) & ~host.isin(*SEARCH_HOSTS) & ~skipped & ~F.coalesce(c, F.lit("")).rlike(FILE_ENDING)
+    return is_public(c) & ~host.isin(*SEARCH_HOSTS) & ~host.rlike("|".join(map(re.escape, SKIPPED_HOST_PARTS))) & ~F.coalesce(c, F.lit("")).rlike(FILE_ENDING)
 
 
 def useful_mapped(c: Column, origin: Column) -> Column:

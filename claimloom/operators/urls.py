@@ -42,8 +42,9 @@ def dedupe_urls(df: DataFrame, *, url_col: str = "url", order_col: str = "ord",
 def extract_links(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, link): distinct absolute, useful links of anchors and alternates, canonical."""
     found = F.concat(F.regexp_extract_all(html_col, F.lit(ANCHOR), F.lit(1)), F.regexp_extract_all(html_col, F.lit(ALTERNATE), F.lit(1)))
-    links = pages.select(id_col, url_col, F.explode(found).alias("href")).withColumn("link", U.canonical(U.absolute(F.col("href"), F.col(url_col))))
-    return links.where(F.col("link").isNotNull() & U.useful(F.col("link"))).select(id_col, "link").distinct()
+    # made within the array, so that the filter reads a column and doesn't repeat the making of it
+    links = F.array_distinct(F.array_compact(F.transform(found, lambda x: U.canonical(U.absolute(x, F.col(url_col))))))
+    return pages.select(id_col, F.explode(links).alias("link")).where(U.useful(F.col("link"))).distinct()
 
 
 def sitemap_urls(df: DataFrame, *, key: str, body_col: str = "body", most: int = 80) -> DataFrame:
