@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Small slices, so that the Python copies of texts stay bounded: at most ``rows`` rows, and at most ``size`` bytes of
-    text unless a single row has more."""
+    text unless a single row has more. After the last, memory goes back to the system, since workers live on."""
     for batch in batches:
         ends = np.zeros(batch.num_rows, np.int64)
         for column in batch.columns:
@@ -47,6 +49,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 <<
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 #: A-Z to a-z; everything that isn't a word byte to a space. Non-ASCII characters are word characters.

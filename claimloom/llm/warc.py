@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import cut, join_counted, slices
+from claimloom.llm.common import cut, join_counted
 
 #: Fixed values of the format: magic number of the skippable frame that holds a dictionary, and of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -146,7 +146,7 @@ def write_archives(typed: DataFrame, *, archive_bytes: int = 4 << 20, dictionary
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:05d}-{number:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([data], pa.binary())], ["archive", "records", "data"])
 
         for whole in batches:
-            for b in slices([whole], 64):
+            for b in (whole.slice(start, 64) for start in range(0, whole.num_rows, 64)):
                 for page, url, html, n, sha, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
                     r = response_record(page, url, html, digest) if refers_to is None else revisit_record(page, url, n, digest, refers_to)
