@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +212,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r["item"], r["text"].encode()) for r in part.collect()]
 
 
-#: So many blocks follow each other in one task; then the rows are written, so that no task holds more blocks than that.
+#: So many blocks go through a task in one pass over the texts; then the rows are written, so that no task holds more.
 BLOCKS_A_PASS = 4
 
 
@@ -220,43 +220,52 @@ def _hits(packed: bytes | None, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
 
 
-def _marked(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width: int, text_col: str, shard_rows: int) -> DataFrame:
-    """``docs`` and two columns more: a bit for each word that any block hits, and the items found. Each block is searched in
-    the texts as they are; rows keep their place. The new columns are the last two, and have names that ``docs`` lacks.
+Finish = Callable[[pa.RecordBatch, list[bytes], list[bytes | None], list[list[str] | None]], pa.RecordBatch]
 
-    The driver holds one block at a time, a task ``BLOCKS_A_PASS`` of them.
+
+def _searched(docs: DataFrame, blocks: Iterator[list[tuple[object, bytes]]], width: int, text_col: str, shard_rows: int, finish: Finish, schema) -> DataFrame:
+    """``finish`` of each shard: its rows, their texts, a bit for each word that any block hits, and the items found.
+
+    Each block is searched in the texts as they are, ``BLOCKS_A_PASS`` of them in a pass; between passes the bits and items
+    go along with their row in two columns more, whose names ``docs`` lacks. The driver holds two passes' blocks at most.
     """
     names, taken = docs.columns, {c.lower() for c in docs.columns}
-    hits, found_items = (next(x for x in (f"_{name}{k}" for k in range(len(names) + 1)) if x not in taken) for name in ("hits", "items"))
-    out = docs.select("*", F.lit(None).cast("binary").alias(hits), F.lit(None).cast("array<string>").alias(found_items))
-    schema = out.schema
-    for k, block in enumerate(blocks):
-        if k and k % BLOCKS_A_PASS == 0:
-            out = cut(out, "marked")
-        phrases = Phrases(block, width)
-
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, shard_rows):
-                _, starts, hit, items = shard_hits(raw_bytes(b, text_col), phrases)
-                packed, found = (b.column(c).to_pylist() for c in (hits, found_items))
-                for k in range(b.num_rows):
-                    own = hit[starts[k] : starts[k + 1]]
-                    if own.any():
-                        packed[k] = np.packbits(own | _hits(packed[k], len(own))).tobytes()
-                        found[k] = [*(found[k] or []), *map(str, items[k])]
-                columns = [*(b.column(c) for c in names), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, hits, found_items])
+    more = [next(x for x in (f"_{name}{k}" for k in range(len(names) + 1)) if x not in taken) for name in ("hits", "items")]
+    out = docs.select("*", F.lit(None).cast("binary").alias(more[0]), F.lit(None).cast("array<string>").alias(more[1]))
 
-        out = out.mapInArrow(run, schema)
-    return out
+    def one_pass(group: tuple[Phrases, ...], last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, shard_rows):
+                texts, packed, found = raw_bytes(b, text_col), b.column(more[0]).to_pylist(), b.column(more[1]).to_pylist()
+                for phrases in group:
+                    _, starts, hit, items = shard_hits(texts, phrases)
+                    for k in range(b.num_rows):
+                        own = hit[starts[k] : starts[k + 1]]
+                        if own.any():
+                            packed[k] = np.packbits(own | _hits(packed[k], len(own))).tobytes()
+                            found[k] = [*(found[k] or []), *map(str, items[k])]
+                if last:
+                    yield finish(b.select(names), texts, packed, found)
+                else:
+                    columns = [*(b.column(c) for c in names), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, *more])
+
+        return run
+
+    held = None
+    for group in batched((Phrases(block, width) for block in blocks), BLOCKS_A_PASS):
+        if held is not None:
+            out = cut(out.mapInArrow(one_pass(held, False), out.schema), "marked")
+        held = group
+    return out.mapInArrow(one_pass(held, True), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, shard_rows: int = 2048) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans array<struct<start, end, word, past>>) for every row of ``docs``.
 
     Each ``shard_rows`` documents of a task, or fewer with 8 MB of text, are a shard with its own index; no shuffle. The
-    benchmark goes to the tasks in blocks of about ``block_bytes``, a pass over the texts for each, and hits go along with
-    the row, so the number of blocks changes no result. After every BLOCKS_A_PASS blocks the rows are written to the shared
+    benchmark goes to the tasks in blocks of about ``block_bytes``, BLOCKS_A_PASS of them in a pass over the texts, and hits
+    go along with the row, so the number of blocks changes no result. Between passes the rows are written to the shared
     folder. Spans are the removal spans in code points and the words they hold, neighbours merged. Null texts have no
     words; an empty benchmark hits nothing; items with a null id are left out, items that repeat an id are one; rows that
     repeat an id each get a row.
@@ -265,24 +274,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_
     schema = f"id {dict(source.dtypes)['id']}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long,word:long,past:long>>"
     span = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "end", "word", "past")]))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, shard_rows):
-            sizes, n_hit, spans = [], [], []
-            for t, packed in zip(raw_bytes(b, "text"), b.column(b.num_columns - 2).to_pylist()):
-                own = _hits(packed, n := len(words(t)))
-                sizes.append(n)
-                n_hit.append(int(own.sum()))
-                mine, at, char = [], 0, 0
-                for a, e, w, p in removal_spans(t, own) if n_hit[-1] else ():
-                    start = char + len(t[at:a].decode())
-                    at, char = e, start + len(t[a:e].decode())
-                    mine.append({"start": start, "end": char, "word": w, "past": p})
-                spans.append(mine)
-            items = pa.array([sorted(set(x or [])) for x in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, span)], ["id", "n_words", "n_hit", "items", "spans"])
-
-    marked = _marked(source, _blocks(benchmark, item_col, item_text_col, block_bytes), width, "text", shard_rows)
-    return marked.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+    def finish(b: pa.RecordBatch, texts: list[bytes], packed: list[bytes | None], found: list[list[str] | None]) -> pa.RecordBatch:
+        sizes, n_hit, spans = [], [], []
+        for t, bits in zip(texts, packed):
+            own = _hits(bits, n := len(words(t)))
+            sizes.append(n)
+            n_hit.append(int(own.sum()))
+            mine, at, char = [], 0, 0
+            for a, e, w, p in removal_spans(t, own) if n_hit[-1] else ():
+                start = char + len(t[at:a].decode())
+                at, char = e, start + len(t[a:e].decode())
+                mine.append({"start": start, "end": char, "word": w, "past": p})
+            spans.append(mine)
+        items = pa.array([sorted(set(x or [])) for x in found], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, span)], ["id", "n_words", "n_hit", "items", "spans"])
+
+    return _searched(source, _blocks(benchmark, item_col, item_text_col, block_bytes), width, "text", shard_rows, finish, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -293,20 +300,19 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text
     """``docs`` with the removal spans cut out of their texts; other columns as they are, but for ``length_col``
     (if given), which gets the new number of characters of a text that changes. Null texts stay null.
 
-    One pass per block of the benchmark over the texts as they are, and then one that cuts.
+    The benchmark is searched block by block in the texts as they are; cuts come after the last.
     """
     names = docs.columns
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, shard_rows):
-            column = b.column(text_col).to_pylist()
-            for k, (t, packed) in enumerate(zip(raw_bytes(b, text_col), b.column(b.num_columns - 2).to_pylist())):
-                if packed:
-                    parts, at = [], 0
-                    for a, e, _, _ in removal_spans(t, _hits(packed, len(words(t)))):
-                        parts.append(t[at:a])
-                        at = e
-                    column[k] = (b"".join(parts) + t[at:]).decode()
-            yield with_texts(b.select(names), names, text_col, length_col, column)
-
-    return _marked(docs, _blocks(benchmark, item_col, item_text_col, block_bytes), width, text_col, shard_rows).mapInArrow(finish, docs.schema)
+    def finish(b: pa.RecordBatch, texts: list[bytes], packed: list[bytes | None], found: list[list[str] | None]) -> pa.RecordBatch:
+        column = b.column(text_col).to_pylist()
+        for k, (t, bits) in enumerate(zip(texts, packed)):
+            if bits:
+                parts, at = [], 0
+                for a, e, _, _ in removal_spans(t, _hits(bits, len(words(t)))):
+                    parts.append(t[at:a])
+                    at = e
+                column[k] = (b"".join(parts) + t[at:]).decode()
+        return with_texts(b, names, text_col, length_col, column)
+
+    return _searched(docs, _blocks(benchmark, item_col, item_text_col, block_bytes), width, text_col, shard_rows, finish, docs.schema)
