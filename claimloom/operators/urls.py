@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import urls as U
-from claimloom.sources.scratch import hinted
+from claimloom.sources.scratch import cut, hinted
 
 # Fixed values.
 BASE_SCORES = {"product": 100, "collection": 90, "blog": 80, "rss": 35, "homepage": 20, "sitemap": 5, "robots": 0}
@@ -163,7 +163,7 @@ def _choosable(df: DataFrame, total: int) -> DataFrame:
     def first(rows: DataFrame, keys: list[str], order: tuple, k: int) -> DataFrame:  # ranks are cut before the shuffle
         return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
-    once = first(df, ["run", "url"], best, 1)
+    once = cut(first(df, ["run", "url"], best, 1), "candidates")
     deciding = lambda rows: first(first(rows, ["run", "host"], best, total), ["run"], best, total * (total + 1))
     evidence = once.where(F.col("kind").isin(EVIDENCE_KINDS))
     key = lambda when: F.min(F.when(when, F.struct((-F.col("score")).alias("s"), F.length("url").alias("n"), "url", "kind", "preferred")))
@@ -174,7 +174,7 @@ def _choosable(df: DataFrame, total: int) -> DataFrame:
         hosts.select("run", "x.url", "host", "x.kind", (-F.col("x.s")).alias("score"), "x.preferred"),
     ]
     kept = reduce(DataFrame.unionByName, parts).distinct()
-    alone = df.groupBy("run").agg((F.min("host") == F.max("host")).alias("alone"))
+    alone = once.groupBy("run").agg((F.min("host") == F.max("host")).alias("alone"))
     return kept.join(hinted(alone), "run")
 
 
