@@ -65,10 +65,12 @@ def snippets(c: Column) -> Column:
     says = lambda x: ~x.rlike(REJECTED) & x.rlike(r"[.!?。！？]") & ~x.rlike(r"^!\[|^\|") & ~x.rlike(r"(?i)https?://")
     lines = lambda x: F.transform(F.split(x, r"\n{2,}|\r?\n"), clean_line)
 
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731 - worked out once, not at each use
+
     def review(block: Column) -> Column:
         title = clean_line(F.regexp_extract(block, r"(?m)^#####\s+(.+)$", 1))
-        body = F.trim(F.substring(F.array_join(F.array_distinct(F.filter(lines(block), lambda x: (x != title) & (F.length(x) >= 30) & says(x))), " "), 1, 1_000))
-        return F.when(body != "", F.concat(title, F.lit(": "), body))
+        body = lambda t: F.trim(F.substring(F.array_join(F.array_distinct(F.filter(lines(block), lambda x: (F.length(x) >= 30) & (x != t) & says(x))), " "), 1, 1_000))
+        return bound(title, lambda t: bound(body(t), lambda b: F.when(b != "", F.concat(t, F.lit(": "), b))))
 
     blocks = F.filter(F.split(section, r"(?m)(?=^#####\s+.)"), lambda x: x.rlike(r"^#####\s+."))
     plain = F.filter(lines(section), lambda x: F.length(x).between(45, 700) & says(x))

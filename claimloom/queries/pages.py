@@ -8,6 +8,7 @@ from claimloom.functions.text import SPACE
 from claimloom.operators import pages as A
 from claimloom.queries import query
 from claimloom.queries.cleaning import sql_text
+from claimloom.sources.spread import spread
 
 _TEXT = """('https://shop.example/dp/B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ' and /gp/product/b' || lpad(CAST(p_partkey // 2 AS VARCHAR), 9, '0') || '/' || chr(10) || CASE WHEN p_partkey % 7 = 0 THEN 'Title: Amazon.com: ' || p_name || ' : Home & Kitchen' WHEN p_partkey % 7 < 4 THEN '# ' || p_name || ' ' || p_type || ' for all of us' || chr(10) || '# Unlock the potential savings' ELSE '# ' || p_name || ' ' || p_type END || chr(10)
  || CASE WHEN p_partkey % 3 = 0 THEN '| Brand | ' || p_brand || ' |' WHEN p_partkey % 3 = 1 THEN 'Visit the ' || p_brand || ' Store' ELSE '' END || chr(10) || CASE WHEN p_size > 5 THEN 'Price: $' || CAST(p_size AS VARCHAR) || '.99' ELSE 'captcha' END || chr(10)
@@ -17,7 +18,8 @@ _TEXT = """('https://shop.example/dp/B' || lpad(CAST(p_partkey AS VARCHAR), 9, '
 
 
 def page_texts(t):
-    return t("part").select(F.col("p_partkey").alias("page_id"), "p_size", "p_type", F.expr(_TEXT.replace("VARCHAR", "STRING").replace("p_partkey // 2", "p_partkey DIV 2")).alias("text"))
+    text = F.expr(_TEXT.replace("VARCHAR", "STRING").replace("p_partkey // 2", "p_partkey DIV 2"))
+    return spread(t("part").select(F.col("p_partkey").alias("page_id"), "p_size", "p_type", text.alias("text")))
 
 
 _PAGES = f"(SELECT p_partkey AS page_id, p_size, p_type, {_TEXT} AS text FROM part)"
