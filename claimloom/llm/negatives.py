@@ -180,7 +180,7 @@ def hard_negatives(
     pairs = below.join(liked.hint("merge"), "anchor").join(asking.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id")).hint("merge"), "anchor")
     pairs = pairs.select("anchor_id", "below", F.explode("liked").alias("p"))
     window = F.slice(F.filter("below", lambda c: c["slot"] >= F.col("p.n") - 1), 1, negatives)
-    window = F.filter(window, lambda c: c["score"] * 100 >= F.col("p.score") * low)
+    window = F.filter(window, lambda c: c["score"].cast("decimal(20,0)") * 100 >= F.col("p.score").cast("decimal(20,0)") * low)
     pairs = pairs.select("anchor_id", "p", F.posexplode(window).alias("k", "c"))
     return pairs.select(
         "anchor_id", F.col("p.id").alias("positive_id"), (F.col("k") + 1).cast("int").alias("rank"), F.col("c.id").alias("negative_id"), F.col("p.score").alias("positive_score"), F.col("c.score").alias("negative_score")

@@ -34,11 +34,12 @@ def run(spark, rows, every=5, **how):
     return sorted(tuple(r) for r in negatives.hard_negatives(df, anchors=F.col("vec_id") % every == 0, **how).collect())
 
 
-@pytest.mark.parametrize("spread, tile", [(0.1, 1 << 20), (1.0, 37), (0.02, 64)])
+@pytest.mark.parametrize("spread, tile", [(0.1, 1 << 20), (1.0, 37), (0.3, 64)])
 def test_equal_to_a_plain_model(spark, monkeypatch, spread, tile):
     rows = vectors(3, 300, 6, spread=spread)
     got = run(spark, rows, tile_rows=tile)
-    assert got == plain(rows, lambda i: i % 5 == 0) and len(got) > 100
+    assert got == plain(rows, lambda i: i % 5 == 0)
+    assert len(got) > 20
 
 
 def test_small_blocks_of_scores(spark):

@@ -29,7 +29,7 @@ def plain_counts(rows, most):
     return f, totals, first
 
 
-def plain(rows, *, most=4, least=30, top=2000):
+def plain(rows, *, most=4, least=8, top=2000):
     f, totals, first = plain_counts(rows, most)
     cand = {p: a for p, a in f.items() if a >= least and " " in p[1]}
     found = {}
@@ -47,7 +47,7 @@ def plain(rows, *, most=4, least=30, top=2000):
     for lang, of in found.items():
         for rank, (score, a, phrase, l, r) in enumerate(sorted(of)[:top], 1):
             rows.append((lang, rank, phrase.decode(), -a, l, r, totals[lang], -score, *first.get((lang, phrase.decode()), (None, None))))
-    return sorted(rows)
+    return sorted(rows, key=repr)
 
 
 def corpus(seed=1):
@@ -65,7 +65,7 @@ def corpus(seed=1):
 
 def run(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as phrase", "'x' as n", "2 as fp", "3 as k").repartition(3)
-    return sorted(tuple(r) for r in phrases.collocations(df, **how).collect())
+    return sorted((tuple(r) for r in phrases.collocations(df, least=8, **how).collect()), key=repr)
 
 
 def test_collocations_equal_a_plain_model(spark):
