@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ TO_BLANK = bytes(32 if CLASS[b] else b for b in range(256))
 
 #: Odd bases of the polynomials over bytes and over words, modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Bytes of a window, fingerprints that a task holds before it sends them, and phrases likewise.
-WINDOW, HELD, HELD_PHRASES = 1 << 20, 1 << 21, 200_000
+#: Bytes of a window, fingerprints that a task holds before it sends them, and different words.
+WINDOW, HELD, HELD_WORDS = 1 << 20, 1 << 21, 1 << 19
 #: Bits of a filter of frequent fingerprints: so many for each, and so many at most (16 MB), whatever the corpus.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
@@ -152,14 +153,13 @@ class Frequent:
 
 
 def _chosen(batch: Batch, words: Words, k: int, known: list[Frequent], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of ``k`` words that may be frequent, since all shorter ones in them may, and their fingerprints."""
+    """n-grams of ``k`` words that may be frequent, and their fingerprints: they are themselves in the filter of their length or,
+    where that isn't known yet, both shorter ones by a word are in theirs."""
     at = words.within(k)
-    for n, frequent in enumerate(known[: k - 1], 1):
-        fine = np.zeros(len(words.hash), bool)
-        every = np.arange(len(words.hash) - n + 1)
-        fine[every] = frequent.has(batch.fingerprints(words, every, n, bits))
-        for j in range(k - n + 1):
-            at = at[fine[at + j]]
+    if k > 1 and len(known) < k:
+        every = np.arange(len(words.hash) - k + 2)
+        fine = known[k - 2].has(batch.fingerprints(words, every, k - 1, bits))
+        at = at[fine[at] & fine[at + 1]]
     fp = batch.fingerprints(words, at, k, bits)
     if len(known) >= k:
         fine = known[k - 1].has(fp)
@@ -194,60 +194,102 @@ def _counted(source: DataFrame, k: int, known: list[Frequent], least: int, bits:
     return cut(found.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"grams{k}")
 
 
+def numbered(data: bytes, words: Words, number: dict[bytes, int]) -> np.ndarray:
+    """Each word's number in ``number``, which gets new words. Words of equal hash are held against the first of them, byte by byte."""
+    raw = np.frombuffer(data, np.uint8)
+    _, one, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    first, size = one[inverse], words.end - words.start
+    same = size == size[first]
+    check = np.flatnonzero(same & (first != np.arange(len(first))))
+    step = np.arange(size[check].sum()) - np.repeat(np.cumsum(size[check]) - size[check], size[check])
+    differ = raw[np.repeat(words.start[check], size[check]) + step] != raw[np.repeat(words.start[first[check]], size[check]) + step]
+    same[np.repeat(check, size[check])[differ]] = False
+    result = np.array([number.setdefault(data[words.start[i] : words.end[i]], len(number)) for i in one], np.int64)[inverse]
+    for i in np.flatnonzero(~same):
+        result[i] = number.setdefault(data[words.start[i] : words.end[i]], len(number))
+    return result
+
+
+class Found:
+    """Phrases of ``k`` words that a task has found: fingerprints, words by number, languages, counts and first places."""
+
+    NAMES = ("fp", "lang", "n", "none", "row", "at")
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, words: np.ndarray, **columns: np.ndarray) -> None:
+        """Phrases in order of their places."""
+        self.parts.append(({name: columns[name] for name in self.NAMES}, words))
+        self._merge(np.argsort(columns["fp"], kind="stable"))
+
+    def _merge(self, order: np.ndarray) -> None:
+        """Equal phrases of the last part, in order of fingerprint and place, become one. All are held against the first place of
+        their fingerprint, word by word; others with that fingerprint stay by themselves."""
+        of, words = self.parts.pop()
+        of, words = {name: of[name][order] for name in self.NAMES}, words[order]
+        new = np.ones(len(order), bool)
+        new[1:] = of["fp"][1:] != of["fp"][:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        same = (of["lang"] == of["lang"][head]) & (words == words[head]).all(axis=1)
+        n = np.zeros(len(order), np.int64)
+        np.add.at(n, np.where(same, head, np.arange(len(order))), of["n"])
+        left = n > 0
+        of["n"] = n
+        self.parts.append(({name: of[name][left] for name in self.NAMES}, words[left]))
+        self.size = sum(len(w) for _, w in self.parts)
+
+    def rows(self, texts: pa.Array, langs: list[bytes]) -> pa.RecordBatch:
+        """What was found, as (lang, k, phrase, n, first_id, first_at)."""
+        self.parts = [({name: np.concatenate([of[name] for of, _ in self.parts]) for name in self.NAMES}, np.concatenate([w for _, w in self.parts]))]
+        of = self.parts[0][0]
+        self._merge(np.lexsort((of["at"], of["row"], of["none"], of["fp"])))
+        of, words = self.parts[0]
+        phrase = pc.binary_join_element_wise(*(texts.take(pa.array(words[:, j])) for j in range(self.k)), b" ")
+        lang = pa.array(langs, pa.binary()).take(pa.array(of["lang"])).cast(pa.string())
+        place = [pa.array(of[name], pa.int64(), mask=of["none"]) for name in ("row", "at")]
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(words), self.k, np.int32)), phrase.cast(pa.string()), pa.array(of["n"]), *place], ["lang", "k", "phrase", "n", "first_id", "first_at"])
+
+
 def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> DataFrame:
     """(lang, k, phrase, n, first): phrases that may be frequent as texts, counted by text, with the place (id, byte) where each
     first occurs; and (lang, 0, "") with the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-
-        def packed() -> pa.RecordBatch:
-            lang, k, phrase = zip(*held)
-            n, row, at = zip(*held.values())
-            arrays = [pa.array(lang, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "k", "phrase", "n", "first_id", "first_at"])
-
-        def add(key: tuple, n: int, row: int | None, at: int | None) -> None:
-            # places of one batch come in order, but ids may not
-            old = held.get(key)
-            if old is None:
-                held[key] = [n, row, at]
-                return
-            old[0] += n
-            if row is not None and (old[1] is None or (row, at) < (old[1], old[2])):
-                old[1:] = row, at
+        number: dict[bytes, int] = {}
+        langs: dict[bytes, int] = {}
+        totals: Counter = Counter()
+        found = [Found(k) for k in range(1, most + 1)]
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            texts = pa.array(list(number), pa.binary())
+            for f in found:
+                if f.parts:
+                    yield f.rows(texts, list(langs))
+            number.clear()
 
         for b in slices(batches):
-            batch, rows = Batch(b), b.column("id").to_pylist()
-            order = np.argsort(np.array([r if r is not None else np.iinfo(np.int64).max for r in rows], np.int64), kind="stable")
-            rank = np.empty(len(rows), np.int64)
-            rank[order] = np.arange(len(rows))
+            b = b.take(pc.sort_indices(b.column("id")))  # nulls last
+            batch = Batch(b)
+            none = b.column("id").is_null().to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(b.column("id"), 0).to_numpy()
+            task_lang = np.array([langs.setdefault(x, len(langs)) for x in batch.langs], np.int64)[batch.of_text]
             for words in windows(batch.data, most - 1):
-                cells = [batch.data[a:e] for a, e in zip(words.start, words.end)]
-                number: dict[bytes, int] = {}
-                ids = np.array([number.setdefault(c, len(number)) for c in cells], np.int64)
+                word = numbered(batch.data, words, number)
                 text = batch.text_at(words.start)
-                lang = batch.of_text[text]
-                for g, n in zip(*np.unique(lang[words.carried :], return_counts=True)):
-                    add((batch.langs[g], 0, b""), int(n), None, None)
-                for k in range(1, most + 1):
-                    at, fp = _chosen(batch, words, k, known, bits)
-                    at = at[np.lexsort((at, rank[text[at]]))]
-                    fp = batch.fingerprints(words, at, k, bits)
-                    values, one, inverse, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
-                    same = lang[at] == lang[at[one]][inverse]
-                    for j in range(k):
-                        same &= ids[at + j] == ids[at[one] + j][inverse]
-                    for f, m in zip(one, n - np.bincount(inverse[~same], minlength=len(values))):
-                        i = at[f]
-                        add((batch.langs[lang[i]], k, b" ".join(cells[i : i + k])), int(m), rows[text[i]], int(words.start[i] - batch.begins[text[i]]))
-                    for i in at[~same]:  # another phrase with the same fingerprint
-                        add((batch.langs[lang[i]], k, b" ".join(cells[i : i + k])), 1, rows[text[i]], int(words.start[i] - batch.begins[text[i]]))
-                    if len(held) >= HELD_PHRASES:
-                        yield packed()
-        if held:
-            yield packed()
+                totals.update(dict(zip(*(x.tolist() for x in np.unique(task_lang[text[words.carried :]], return_counts=True)))))
+                for f in found:
+                    at, fp = _chosen(batch, words, f.k, known, bits)
+                    of = text[at]
+                    f.add(word[at[:, None] + np.arange(f.k)], fp=fp, lang=task_lang[of], n=np.ones(len(at), np.int64), none=none[of], row=ids[of], at=words.start[at] - batch.begins[of])
+                if len(number) >= HELD_WORDS or sum(f.size for f in found) >= HELD:
+                    yield from packed()
+        yield from packed()
+        if totals:
+            names = list(langs)
+            arrays = [pa.array([names[g] for g in totals], pa.binary()).cast(pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(totals), pa.int64()), pa.nulls(len(totals), pa.int64())], ["lang", "k", "phrase", "n", "first_id", "first_at"])
 
     found = source.mapInArrow(run, "lang string, k int, phrase string, n long, first_id long, first_at long")
     place = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "first_at"))).alias("first")

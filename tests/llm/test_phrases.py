@@ -111,3 +111,13 @@ def test_filter_of_frequent_fingerprints_loses_none(spark):
     assert known.has(values.view(np.uint64)).all()
     others = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 5000).view(np.uint64)
     assert known.has(others).mean() < 0.1
+
+
+def test_words_of_equal_hash_come_apart():
+    data = b"ab cd ab xyz cd ef ab"
+    words = next(phrases.windows(data, 3))
+    words.hash = words.hash & type(words.hash[0])(1)
+    number = {}
+    ids = phrases.numbered(data, words, number)
+    names = list(number)
+    assert [names[i] for i in ids] == data.split()
