@@ -194,19 +194,22 @@ def _counted(source: DataFrame, k: int, known: list[Frequent], least: int, bits:
     return cut(found.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least), f"grams{k}")
 
 
-def numbered(data: bytes, words: Words, number: dict[bytes, int]) -> np.ndarray:
-    """Each word's number in ``number``, which gets new words. Words of equal hash are held against the first of them, byte by byte."""
-    raw = np.frombuffer(data, np.uint8)
-    _, one, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    first, size = one[inverse], words.end - words.start
+def numbered(data: bytes, words: Words, at: np.ndarray, number: dict[bytes, int]) -> np.ndarray:
+    """The number in ``number``, which gets new words, of each of the words ``at``; -1 for others. Words of equal hash are held
+    against the first of them, byte by byte."""
+    raw, start, end = np.frombuffer(data, np.uint8), words.start[at], words.end[at]
+    _, one, inverse = np.unique(words.hash[at], return_index=True, return_inverse=True)
+    first, size = one[inverse], end - start
     same = size == size[first]
     check = np.flatnonzero(same & (first != np.arange(len(first))))
     step = np.arange(size[check].sum()) - np.repeat(np.cumsum(size[check]) - size[check], size[check])
-    differ = raw[np.repeat(words.start[check], size[check]) + step] != raw[np.repeat(words.start[first[check]], size[check]) + step]
+    differ = raw[np.repeat(start[check], size[check]) + step] != raw[np.repeat(start[first[check]], size[check]) + step]
     same[np.repeat(check, size[check])[differ]] = False
-    result = np.array([number.setdefault(data[words.start[i] : words.end[i]], len(number)) for i in one], np.int64)[inverse]
+    ids = np.array([number.setdefault(data[start[i] : end[i]], len(number)) for i in one], np.int64)[inverse]
     for i in np.flatnonzero(~same):
-        result[i] = number.setdefault(data[words.start[i] : words.end[i]], len(number))
+        ids[i] = number.setdefault(data[start[i] : end[i]], len(number))
+    result = np.full(len(words.hash), -1)
+    result[at] = ids
     return result
 
 
@@ -239,11 +242,17 @@ class Found:
         self.parts.append(({name: of[name][left] for name in self.NAMES}, words[left]))
         self.size = sum(len(w) for _, w in self.parts)
 
+    def shrink(self) -> int:
+        """Merge all parts; returns how many phrases are left."""
+        if len(self.parts) > 1:
+            self.parts = [({name: np.concatenate([of[name] for of, _ in self.parts]) for name in self.NAMES}, np.concatenate([w for _, w in self.parts]))]
+            of = self.parts[0][0]
+            self._merge(np.lexsort((of["at"], of["row"], of["none"], of["fp"])))
+        return self.size
+
     def rows(self, texts: pa.Array, langs: list[bytes]) -> pa.RecordBatch:
         """What was found, as (lang, k, phrase, n, first_id, first_at)."""
-        self.parts = [({name: np.concatenate([of[name] for of, _ in self.parts]) for name in self.NAMES}, np.concatenate([w for _, w in self.parts]))]
-        of = self.parts[0][0]
-        self._merge(np.lexsort((of["at"], of["row"], of["none"], of["fp"])))
+        self.shrink()
         of, words = self.parts[0]
         phrase = pc.binary_join_element_wise(*(texts.take(pa.array(words[:, j])) for j in range(self.k)), b" ")
         lang = pa.array(langs, pa.binary()).take(pa.array(of["lang"])).cast(pa.string())
@@ -276,14 +285,18 @@ def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> Da
             ids = pc.fill_null(b.column("id"), 0).to_numpy()
             task_lang = np.array([langs.setdefault(x, len(langs)) for x in batch.langs], np.int64)[batch.of_text]
             for words in windows(batch.data, most - 1):
-                word = numbered(batch.data, words, number)
+                every = np.arange(len(words.hash))
+                word = numbered(batch.data, words, every[known[0].has(batch.fingerprints(words, every, 1, bits))], number)
                 text = batch.text_at(words.start)
                 totals.update(dict(zip(*(x.tolist() for x in np.unique(task_lang[text[words.carried :]], return_counts=True)))))
                 for f in found:
                     at, fp = _chosen(batch, words, f.k, known, bits)
+                    cells = word[at[:, None] + np.arange(f.k)]
+                    likely = (cells >= 0).all(axis=1)
+                    at, fp, cells = at[likely], fp[likely], cells[likely]
                     of = text[at]
-                    f.add(word[at[:, None] + np.arange(f.k)], fp=fp, lang=task_lang[of], n=np.ones(len(at), np.int64), none=none[of], row=ids[of], at=words.start[at] - batch.begins[of])
-                if len(number) >= HELD_WORDS or sum(f.size for f in found) >= HELD:
+                    f.add(cells, fp=fp, lang=task_lang[of], n=np.ones(len(at), np.int64), none=none[of], row=ids[of], at=words.start[at] - batch.begins[of])
+                if len(number) >= HELD_WORDS or sum(f.size for f in found) >= HELD and sum(f.shrink() for f in found) >= HELD // 2:
                     yield from packed()
         yield from packed()
         if totals:
