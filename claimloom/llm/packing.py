@@ -167,9 +167,7 @@ def pack(table: DataFrame, *, capacity: int = 1024, rows_per_salt: int | None =
         partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows_per_salt = max(500, sum(histogram.values()) // (2 * partitions))
     salts = {k: -(-n // rows_per_salt) for k, n in histogram.items() if n > rows_per_salt}
-    many = F.lit(1)
-    for k, n in salts.items():
-        many = F.when(F.col("length") == k, n).otherwise(many)
+    many = F.coalesce(F.try_element_at(F.split(F.lit(",".join(str(salts.get(k, 1)) for k in range(1, capacity + 1))), ","), F.col("length").cast("int")).cast("int"), F.lit(1))
     salted = table.withColumn("_salt", F.pmod(F.xxhash64(table.columns[0], "piece", "ids_crc32"), many).cast("int"))
     local = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(table.columns[0], "piece", "ids_crc32")) - 1)
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))

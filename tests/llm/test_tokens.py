@@ -152,3 +152,31 @@ def test_packing_edges(spark, library):
     twice = packing.pack(packing.pieces(docs.union(docs), capacity=64), capacity=64, rows_per_salt=3).collect()
     assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
     assert packing.pieces(docs, with_ids=True).where("doc_id = 2").first().ids == [2]
+
+
+def test_very_many_salted_lengths(spark):
+    """Every length may be salted, at any number of shuffle partitions: the plan does not grow with them."""
+    import time
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    table = spark.range(3 * 1024).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id % 1024 as length", "id as ids_crc32")
+    spark.conf.set("spark.sql.shuffle.partitions", 2000)
+    try:
+        began = time.time()
+        packed = packing.pack(table, capacity=1024, rows_per_salt=2)
+        packed._jdf.queryExecution().executedPlan()
+        assert time.time() - began < 60
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        rows = packed.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    used = {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in used.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(rows) == 3072
