@@ -128,8 +128,8 @@ d AS (SELECT sha, list_aggregate(list_transform(range(0, 32), lambda i: substr('
          + (strpos('0123456789abcdef', substr(sha || '00', CAST((i * 5) // 4 + 2 AS BIGINT), 1)) - 1) * 16
          + (strpos('0123456789abcdef', substr(sha || '00', CAST((i * 5) // 4 + 3 AS BIGINT), 1)) - 1)) >> CAST(7 - (i * 5) % 4 AS INTEGER)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS digest
       FROM (SELECT DISTINCT sha FROM p) t)
-SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM p JOIN k USING (sha, n) JOIN d USING (sha)""",
     "op11_collocations": """
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),

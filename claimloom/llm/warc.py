@@ -31,10 +31,10 @@ def response_record(page: int | None, url: str, payload: bytes, digest: str) ->
     return b"".join((head.encode(), http, payload, b"\r\n\r\n"))
 
 
-def revisit_record(page: int, url: str, size: int, digest: str, refers_to: int) -> bytes:
+def revisit_record(page: int | None, url: str, size: int, digest: str, refers_to: int) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     head = (
-        f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n"
+        f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:{'' if page is None else page}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\n"
         f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:{refers_to}>\r\n"
         f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
     )
@@ -110,21 +110,22 @@ def with_types(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id",
     Payloads are compared by digest and size, and only those of at least ``min_bytes`` that several rows have are looked
     up. Up to ``most`` of them are broadcast, and every row stays where it was read. Beyond, rows that revisit another are
     found without their html, and left out of the others by their ids; a payload that very many pages share is not dealt
-    to one task. Rows with a null id are responses that nothing revisits.
+    to one task. Rows with a null id revisit the largest id too; where no row of a payload has an id, all are responses.
     """
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     source = pages.select(F.col(id_col).cast("long").alias("page"), F.regexp_replace(F.coalesce(url_col, F.lit("")), r"[\r\n]", "").alias("url"), html.alias("html"))
     source = source.withColumns({"bytes": F.length("html").cast("long"), "sha": F.sha1("html")})
     names, key = ["page", "url", "html", "bytes", "sha", "refers_to"], ["sha", "bytes"]
-    keyed = source.drop("html").where(F.col("page").isNotNull() & (F.col("bytes") >= min_bytes))
-    copied = cut(keyed.groupBy(*key).agg(F.max("page").alias("keeper"), F.count("*").alias("_n")).where("_n > 1"), "copied")
+    keyed = source.drop("html").where(F.col("bytes") >= min_bytes)
+    copied = cut(keyed.groupBy(*key).agg(F.max("page").alias("keeper"), F.count("*").alias("_n")).where("_n > 1 and keeper is not null"), "copied")
     if copied.limit(most + 1).count() <= most:
         marked = source.join(F.broadcast(copied.drop("_n")), key, "left")
-        marked = marked.withColumn("refers_to", F.when((F.col("keeper") != F.col("page")) & (F.col("bytes") >= min_bytes), F.col("keeper")))
+        marked = marked.withColumn("refers_to", F.when(~F.col("keeper").eqNullSafe(F.col("page")) & (F.col("bytes") >= min_bytes), F.col("keeper")))
         return marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).select(names)
     keyed = cut(keyed, "keyed")
-    revisits = cut(join_counted(keyed, copied, key, keyed.count()).where("keeper <> page"), "revisits")
-    responses = source.join(revisits.select("page", "sha").distinct().hint("merge"), ["page", "sha"], "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
+    revisits = cut(join_counted(keyed, copied, key, keyed.count()).where("not (page <=> keeper)"), "revisits")
+    again = revisits.select(F.col("page").alias("_page"), F.col("sha").alias("_sha")).distinct().hint("merge")
+    responses = source.join(again, F.col("page").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
     return responses.select(names).unionAll(revisits.select("page", "url", F.lit(None).cast("binary").alias("html"), "bytes", "sha", F.col("keeper").alias("refers_to")))
 
 
@@ -201,7 +202,7 @@ def archived(pages: DataFrame, *, min_bytes: int = 0, archive_bytes: int = 4 <<
     """Write all rows as WARC records to archives in the shared folder and read them back.
 
     Returns (page_id, payload_bytes, payload_digest, record_type, refers_to, url[, payload]), one row per page. Null html is
-    an empty payload, a null url an empty one. Rows with a null id are responses. If an id has several rows with the chosen
+    an empty payload, a null url an empty one. Rows with a null id revisit as others do. If an id has several rows with the chosen
     payload, all of them are responses.
     """
     typed = with_types(pages, min_bytes=min_bytes, id_col=id_col, url_col=url_col, html_col=html_col)

@@ -95,6 +95,13 @@ def test_bounds_are_rigorous():
 # --- archives
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_null_ids_revisit_the_largest(spark, most):
+    df = spark.createDataFrame([(1, "u", "a"), (None, "u", "a"), (5, "u", "a"), (None, "u", "alone"), (None, "u", "alone"), (3, None, "b")], "page_id long, url string, html string")
+    got = sorted((r.page or 0, r.html.decode() if r.html is not None else "", r.refers_to or 0) for r in warc.with_types(df, most=most).collect())
+    assert got == [(0, "", 5), (0, "alone", 0), (0, "alone", 0), (1, "", 5), (3, "b", 0), (5, "a", 0)]
+
+
 def test_archives(spark, tmp_path):
     r = random.Random(6)
     rows = [(k, f"http://h/{k}", None if k % 11 == 0 else ("<p>é " + " ".join(r.choice(["a", "bc", "déf"]) for _ in range(r.randint(0, 40)))) if k % 3 else "same\r\n\r\nbody", "x") for k in range(300)]
@@ -122,7 +129,7 @@ def test_archives(spark, tmp_path):
     assert set(small.values()) == {"response"}
     assert warc.archived(df.limit(0)).count() == 0
     none = warc.archived(df.limit(0).union(spark.createDataFrame([(None, None, None, "x"), (None, "u", "same", "x"), (5, "u", "same", "x"), (5, "u", "same", "x")], df.schema)), with_payload=True).collect()
-    assert sorted((x.page_id or 0, x.record_type, x.refers_to, x.payload) for x in none) == [(0, "response", None, b""), (0, "response", None, b"same"), (5, "response", None, b"same"), (5, "response", None, b"same")]
+    assert sorted((x.page_id or 0, x.record_type, x.refers_to, x.payload) for x in none) == [(0, "response", None, b""), (0, "revisit", 5, b""), (5, "response", None, b"same"), (5, "response", None, b"same")]
 
 
 # --- URL filter
