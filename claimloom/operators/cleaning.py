@@ -107,10 +107,30 @@ def joined_lines(lines: DataFrame, key: str) -> DataFrame:
     return lines.groupBy(key).agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"))
 
 
+def marked_lines(text: Column, least: int = REPEAT_LINE) -> Column:
+    """array<struct<pos, line, repeat>>: ``repeat`` is true for second and later equal lines (ignoring case, ``least`` characters or more).
+
+    The lines are sorted by (lower case, place) inside their row, so that an equal line comes right before, and sorted back.
+    """
+    keyed = F.array_sort(F.transform(T.lines(F.coalesce(text, F.lit(""))), lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("pos"), x.alias("line"))))
+
+    def flagged(of: Column) -> Column:  # the sorted array is bound once, not made again for each line
+        again = lambda x, i: (i > 0) & (F.get(of, i - 1)["key"] == x["key"]) & (F.length(x["line"]) >= least)
+        return F.transform(of, lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.coalesce(again(x, i), F.lit(False)).alias("repeat")))
+
+    return F.array_sort(F.transform(F.array(keyed), flagged)[0])
+
+
+def drop_repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = REPEAT_LINE) -> DataFrame:
+    """(id, text, dropped): second and later equal lines of a document out, in one projection; no line leaves its row."""
+    own = df.select(id_col, marked_lines(F.col(text_col), least).alias("m"))
+    kept = F.transform(F.filter("m", lambda x: ~x["repeat"]), lambda x: x["line"])
+    return own.select(id_col, F.array_join(kept, "\n").alias("text"), F.size(F.filter("m", lambda x: x["repeat"])).cast("long").alias("dropped"))
+
+
 def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = REPEAT_LINE) -> DataFrame:
-    """The line table with ``repeat``: true for second and later equal lines of a document (ignoring case, ``least`` characters or more)."""
-    window = Window.partitionBy(id_col, F.md5(F.lower("line"))).orderBy("pos")
-    return line_table(df, id_col, text_col=text_col).withColumn("repeat", (F.row_number().over(window) > 1) & (F.length("line") >= least))
+    """The line table with ``repeat`` of ``marked_lines``."""
+    return df.select(id_col, F.inline(marked_lines(F.col(text_col), least)))
 
 
 def corpus_boilerplate(df: DataFrame, *, min_docs: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", least: int = REPEAT_LINE) -> DataFrame:

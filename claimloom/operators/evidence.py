@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import normalize_text
+from claimloom.operators.containment import containing
 from claimloom.sources.scratch import cut, hinted
 
 # Fixed values.
@@ -30,13 +31,13 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (c.rlike(p) for p in patterns))
 
 
-def match_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, doc_id: str, quote_col: str = "text", doc_col: str = "text", k: int = 5, least: int = 4, block: int = 20_000) -> DataFrame:
+def match_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, doc_id: str, quote_col: str = "text", doc_col: str = "text", k: int = 5, least: int = 4) -> DataFrame:
     """(quote_id, doc_id) of every document whose normalised text contains the normalised quote.
 
     A quote of k + 2 words or more is looked up by one run of k of its inner words (its first and last may be parts of
     words in a document), the one that the fewest documents have; the hits are then checked for the whole quote. Only
     runs that a quote has are kept from the documents and written once, so that common runs are counted but never paired.
-    Shorter quotes, which have no such run, are a query set that every document is held against, in blocks of ``block``.
+    Shorter quotes, which have no such run, are looked up by their rarest characters (``containment``).
     """
     q = quotes.select(F.col(quote_id).alias("q"), normalize_text(F.col(quote_col)).alias("quote")).where(F.length("quote") >= least)
     d = docs.select(F.col(doc_id).alias("d"), normalize_text(F.col(doc_col)).alias("hay"))
@@ -56,11 +57,8 @@ def match_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, doc_id: s
     pairs = have.join(rarest.hint("merge"), "run").select("q", "d")
     likely = cut(pairs.join(q.select("q", "quote").hint("merge"), "q"), "likely")
     found = d.join(hinted(likely), "d").where(F.col("hay").contains(F.col("quote"))).select("q", "d")
-    brief = q.where("runs is null").select("q", "quote")
-    blocks = -(-brief.count() // block)
-    for i in range(blocks):
-        part = brief if blocks == 1 else brief.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-        found = found.unionByName(d.join(F.broadcast(part), F.col("hay").contains(F.col("quote"))).select("q", "d"))
+    brief = q.where("runs is null").select("q", F.col("quote").alias("needle"))
+    found = found.unionByName(containing(brief, d))
     return found.distinct().select(F.col("q").alias(quote_id), F.col("d").alias(doc_id))
 
 

@@ -55,13 +55,32 @@ def run_diff_all(pairs: DataFrame, keys: DataFrame, *, run: str) -> DataFrame:
     return set_diff(before, current, on=[run, "dimension"])
 
 
-def previous_run(runs: DataFrame, inputs: DataFrame, *, keys: list[str], at: str, run: str, started: str) -> DataFrame:
-    """``inputs`` with the latest run of equal keys (ignoring case and outer blanks) that finished before it started."""
+def previous_run(runs: DataFrame, inputs: DataFrame, *, keys: list[str], at: str, run: str, started: str, slices: int = 32) -> DataFrame:
+    """``inputs`` with the latest run of equal keys (ignoring case and outer blanks) that finished before it started, or null.
+
+    An as-of join: both sides are put together and each input takes the last run before it, in order of time. A key is cut into
+    ``slices`` of time (quantiles of all runs), so that one with very many runs is several tasks; what a slice lacks comes from the
+    last run of the slices before, of which a key has at most that many. Null keys and runs without a time match nothing.
+    """
     low = {f"_{k}": F.lower(F.trim(F.col(k))) if dict(runs.dtypes)[k] == "string" else F.col(k) for k in keys}
-    r = runs.withColumns(low).select(*low, F.col(at).alias("_at"), F.col(run).alias("_run"))
-    own = inputs.withColumns(low).join(r, list(low), "left").where(F.col("_at").isNull() | (F.col("_at") < F.col(started)))
-    best = own.groupBy(*inputs.columns).agg(F.max_by("_run", F.struct("_at", "_run")).alias("previous_run"))
-    return inputs.join(best, inputs.columns, "left")
+    kind = dict(runs.dtypes)[at]
+    r = runs.withColumns(low).select(*low, F.col(at).alias("_at"), F.col(run).alias("_run"), F.lit(True).alias("_ran")).dropna(subset=[*low, "_at"])
+    edges = []
+    if kind != "string":
+        edges = r.agg(F.percentile_approx("_at", [k / slices for k in range(1, slices)], 1000)).first()[0] or []
+    number = sum(((F.col("_at") >= F.lit(e)).cast("int") for e in sorted(set(edges))), F.lit(0))
+    own = inputs.withColumns(low).select(*low, F.col(started).cast(kind).alias("_at"), F.struct(*inputs.columns).alias("_input"), F.lit(False).alias("_ran"))
+    both = own.unionByName(r, allowMissingColumns=True).withColumn("_slice", F.coalesce(number, F.lit(0)))
+    key = [*low, "_slice"]
+    # at the same time an input comes before runs, which have not finished before it
+    so_far = Window.partitionBy(*key).orderBy("_at", "_ran", "_run").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last(F.when(F.col("_ran"), F.struct("_run")), ignorenulls=True).over(so_far)).where("not _ran")
+    ends = both.groupBy(*key).agg(F.max_by(F.when(F.col("_ran"), F.struct("_run")), F.when(F.col("_ran"), F.struct("_at", "_run"))).alias("_end"))
+    before = Window.partitionBy(*low).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    met = found.join(carried.hint("merge"), key, "left")
+    previous = F.when(F.col("_at").isNotNull(), F.coalesce("_own", "_carried"))
+    return met.select("_input.*", previous["_run"].alias("previous_run"))
 
 
 def weekly_report(diff: DataFrame, pairs: DataFrame, *, run: str, most: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import urls as U
+from claimloom.operators.containment import containing
 from claimloom.sources.scratch import cut, hinted
 
 # Fixed values.
@@ -182,18 +183,19 @@ def kind_mix(df: DataFrame, *, run: str, kind_col: str = "kind") -> DataFrame:
     return df.groupBy(run).pivot(kind_col, U.KINDS).count().na.fill(0)
 
 
-def registry_match(inputs: DataFrame, registry: DataFrame, *, id_col: str, block: int = 20_000) -> DataFrame:
+def registry_match(inputs: DataFrame, registry: DataFrame, *, id_col: str) -> DataFrame:
     """(id, name, url, origin): entries of which a term is contained in one of the input's terms, or that match all; one row
-    per URL, default before env before fixed. ``inputs`` has (id, terms), ``registry`` (name, url, origin, terms); the registry
-    is read by every input, in blocks of at most ``block`` terms."""
-    text = inputs.select(id_col, F.array_join(F.transform("terms", lambda x: F.regexp_replace(F.lower(x), r"\s+", "")), "\n").alias("hay"))
+    per URL, default before env before fixed. ``inputs`` has (id, terms), ``registry`` (name, url, origin, terms).
+
+    Terms are looked up in the different texts of the inputs by their rarest characters (``containment``); each text ends
+    in a line ``*``, which the entries that match all are found by."""
+    text = inputs.select(id_col, F.concat(F.array_join(F.transform("terms", lambda x: F.regexp_replace(F.lower(x), r"\s+", "")), "\n"), F.lit("\n*")).alias("hay"))
+    text = cut(text.withColumn("d", F.sha2("hay", 256)), "registry-inputs")
     entries = registry.select("name", "url", "origin", F.explode("terms").alias("term")).withColumn("term", F.regexp_replace(F.lower("term"), r"\s+", ""))
-    blocks = max(1, -(-entries.count() // block))
-    hit = None
-    for k in range(blocks):
-        part = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("term", "name", "url"), F.lit(blocks)) == k)
-        found = text.join(F.broadcast(part), (F.col("term") == "*") | ((F.length("term") >= 2) & F.col("hay").contains(F.col("term"))))
-        hit = found if hit is None else hit.unionByName(found)
+    entries = cut(entries.where((F.col("term") == "*") | (F.length("term") >= 2)), "registry")
+    found = cut(containing(entries.select(F.col("term").alias("q"), F.col("term").alias("needle")), text.select("d", "hay").distinct()), "registry-hits")
+    met = found.join(hinted(entries), F.col("q") == F.col("term")).select("d", "name", "url", "origin").distinct()
+    hit = text.select(id_col, "d").join(hinted(met), "d")
     rank = F.coalesce(*(F.when(F.col("origin") == o, i) for i, o in enumerate(("default", "env", "fixed"))))
     return hit.withColumn("_k", F.row_number().over(Window.partitionBy(id_col, "url").orderBy(rank, "name"))).where("_k = 1").select(id_col, "name", "url", "origin")
 

@@ -187,18 +187,61 @@ def greedy_cover(keys: DataFrame, *, plan: str, sample: str) -> DataFrame:
     return source.groupBy("plan").applyInPandas(choose, "plan string, place int, sample long, gain long")
 
 
-def greedy_cover_large(keys: DataFrame, *, sample: str, rounds: int, cut) -> DataFrame:
-    """The same for one plan too large for a group: each round is a sum over uncovered keys and an anti join; ``cut`` writes a table
-    and reads it back. Only one row a round reaches the driver."""
+def greedy_cover_large(keys: DataFrame, *, sample: str, rounds: int, cut, batch: int = 512, log: list | None = None) -> DataFrame:
+    """The same for one plan too large for a group, up to ``rounds`` picks; ``cut`` writes a table and reads it back.
+
+    Lazy: what a sample gained when it was last looked at bounds what it gains now, since covered keys only grow. A turn takes
+    the ``batch`` samples of the highest bounds, works out their gains, and picks from them as long as the best one beats (or ties by id) the
+    highest bound outside; only then are covered keys taken out of the table and bounds lowered. A turn ends without a pick
+    only if it has lowered the highest bounds. The batch's uncovered keys are one group; at most ``batch`` + 1 rows reach the
+    driver. ``log`` gets the number of picks of each turn.
+    """
     left = cut(keys.select(F.col(sample).alias("sample"), "key", key_weight(F.col("key")).alias("weight")).distinct())
-    chosen = []
-    for place in range(1, rounds + 1):
-        best = left.groupBy("sample").agg(F.sum("weight").alias("gain")).orderBy(F.desc("gain"), "sample").first()
-        if best is None:
+    bounds = cut(left.groupBy("sample").agg(F.sum("weight").cast("long").alias("bound")))
+    chosen: list[tuple[int, int, int]] = []
+    while len(chosen) < rounds:
+        head = bounds.orderBy(F.desc("bound"), "sample").limit(batch + 1).collect()
+        if not head:
+            break
+        inside, limit = [r["sample"] for r in head[:batch]], (-head[batch]["bound"], head[batch]["sample"]) if len(head) > batch else None
+        most = rounds - len(chosen)
+
+        def choose(part: pd.DataFrame) -> pd.DataFrame:
+            own = {s: dict(zip(rows["key"], rows["weight"])) for s, rows in part.groupby("sample")}
+            gain = {s: sum(k.values()) for s, k in own.items()}
+            having: dict[str, list] = {}
+            for s, k in own.items():
+                for key in k:
+                    having.setdefault(key, []).append(s)
+            out, open_ = [], set(own)
+            while open_ and len(out) < most:
+                best = min((-gain[s], s) for s in open_)
+                if limit is not None and best > limit or best[0] == 0:
+                    break
+                open_.discard(best[1])
+                out.append((best[1], gain[best[1]], len(out) + 1))
+                for key in own[best[1]]:
+                    for s in having.pop(key, ()):
+                        gain[s] -= own[s][key] if s != best[1] else 0
+            return pd.DataFrame([*out, *((s, gain[s], 0) for s in sorted(open_))], columns=["sample", "gain", "place"])
+
+        asked = keys.sparkSession.createDataFrame([(s,) for s in inside], f"sample {dict(left.dtypes)['sample']}")
+        done = left.join(F.broadcast(asked), "sample").groupBy(F.lit(0).alias("one")).applyInPandas(choose, f"sample {dict(left.dtypes)['sample']}, gain long, place int").collect()
+        picks = sorted((r for r in done if r["place"]), key=lambda r: r["place"])
+        chosen += [(len(chosen) + n, r["sample"], r["gain"]) for n, r in enumerate(picks, 1)]
+        if log is not None:
+            log.append(len(picks))
+        gone = {r["sample"] for r in picks} | {s for s in inside if s not in {r["sample"] for r in done}}
+        now = [(r["sample"], r["gain"]) for r in done if not r["place"] and r["gain"]]
+        if picks:
+            own = keys.sparkSession.createDataFrame([(r["sample"],) for r in picks], asked.schema)
+            covered = left.join(F.broadcast(own), "sample").select("key").distinct()
+            left = cut(left.join(covered.hint("merge"), "key", "left_anti"))
+        new = keys.sparkSession.createDataFrame(now, f"sample {dict(left.dtypes)['sample']}, bound long")
+        others = bounds.join(F.broadcast(asked), "sample", "left_anti")
+        bounds = cut(others.select("sample", "bound").unionByName(new))
+        if not picks and not now and not gone:
             break
-        chosen.append((place, best["sample"], best["gain"]))
-        covered = left.where(F.col("sample") == best["sample"]).select("key")
-        left = cut(left.join(covered.hint("merge"), "key", "left_anti"))
     return keys.sparkSession.createDataFrame(chosen, "place int, sample long, gain long")
 
 

@@ -78,9 +78,7 @@ def c5(t):
 SELECT doc_id, md5(coalesce(string_agg(CASE WHEN NOT rep THEN line END, chr(10) ORDER BY pos), '')) AS digest, count(*) FILTER (rep) AS dropped FROM l GROUP BY doc_id""",
 )
 def c6(t):
-    marked = C.repeated_lines(t("documents"))
-    kept = C.joined_lines(marked.where("not repeat"), "doc_id").select("doc_id", F.md5("text").alias("digest"))
-    return kept.join(marked.groupBy("doc_id").agg(F.count_if("repeat").alias("dropped")), "doc_id")
+    return C.drop_repeated_lines(t("documents")).select("doc_id", F.md5("text").alias("digest"), "dropped")
 
 
 @query("c7_repeated_token_runs")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.queries import ORACLES, QUERIES, query
 from claimloom.sources import tables as S
+from claimloom.sources.scratch import scratch_path
 
 SCHEMAS = {"documents": "doc_id bigint, lang string", "labels": "doc_id bigint, quality int", "pages": "page_id bigint, url string", "benchmark": "item_id bigint, text string"}
 
@@ -84,7 +85,11 @@ UNION ALL SELECT o_custkey, o_orderdate, max(o_totalprice), 1 FROM orders WHERE
 )
 def s8(t):
     part = lambda m: t("orders").where(F.col("o_orderkey") % 2 == m).groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("v")).agg(F.max("o_totalprice").alias("price"))
-    return S.upsert_by_key(part(0), part(1), keys=["k"], version="v")
+    spark = t("orders").sparkSession
+    path = scratch_path(spark, "keyed")
+    S.write_keyed(part(0), path, keys=["k"])
+    S.upsert_table(path, part(1), keys=["k"], version="v")
+    return S.read_keyed(spark, path)
 
 
 @query(

@@ -70,7 +70,12 @@ def w4(t):
     return W.request_usage(requests(t("events")), run="user_id", kinds=_KINDS)
 
 
-@query("w5_rate_limit")
+@query(
+    "w5_rate_limit",
+    """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 1 HOUR GROUP BY w.user_id),
+x AS (SELECT e.event_id, e.user_id, e.ts, max(w.s) AS s FROM events e JOIN w ON w.user_id = e.user_id AND w.s <= e.ts GROUP BY ALL)
+SELECT user_id AS client, event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) <= 3 AS allowed FROM x""",
+)
 def w5(t):
     return W.rate_limit(t("events").withColumn("client", F.col("user_id")), client="client", at="ts", key="event_id", limit=3)
 

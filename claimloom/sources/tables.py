@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from claimloom.sources.scratch import cut
 
 # Fixed values.
 SEARCH_SCHEMA = "items array<struct<id:struct<videoId:string>,snippet:struct<title:string,description:string,channelTitle:string,publishedAt:string>>>"
@@ -78,20 +81,66 @@ def coerce_extraction(df: DataFrame, *, key: str, text_col: str = "text") -> Dat
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, *, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key; of equal versions the update. Write it with ``partitionOverwriteMode=dynamic``."""
+    """The newest row of each key; of equal versions the update. ``upsert_table`` does this to a written table."""
     both = target.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     return both.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new")))).where("_k = 1").drop("_k", "_new")
 
 
+def _with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_keyed(df: DataFrame, path: str, *, keys: list[str], buckets: int = 64) -> None:
+    """A new table that ``upsert_table`` can change: a folder for each bucket of keys."""
+    _with_bucket(df, keys, buckets).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+
+
+def upsert_table(path: str, updates: DataFrame, *, keys: list[str], version: str, buckets: int = 64) -> None:
+    """``upsert_by_key`` of the table at ``path``: only buckets that an update falls into are read and replaced.
+
+    ``buckets`` is the number that the table was written with. The new buckets are written aside first, then each folder is swapped whole by a
+    dynamic overwrite; others keep their files. To run it again with the same updates, after a failure too, gives the same table.
+    """
+    spark = updates.sparkSession
+    new = cut(_with_bucket(updates, keys, buckets), "updates")
+    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    old = spark.read.schema(new.schema).parquet(path).where(F.col("_bucket").isin(touched))
+    merged = cut(upsert_by_key(old, new, keys=["_bucket", *keys], version=version), "upserted")
+    merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def split_events(events: DataFrame, *, run: str, status: str, payload: str, most_bytes: int = 65_536) -> DataFrame:
     """``events`` with ``problem``: null for those to append (orphans too), else why not. Works on streams."""
     why = F.when(F.coalesce(F.trim(F.col(run).cast("string")), F.lit("")) == "", "run_missing").when(~F.coalesce(F.col(status).isin(*WEBHOOK_STATUSES), F.lit(False)), "status_unknown").when(F.octet_length(payload) > most_bytes, "payload_too_large")
     return events.withColumn("problem", why)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append the valid events to a Parquet table."""
-    events.where("problem is null").drop("problem").write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, *, source: str = "batch", batch_id: int | None = None) -> None:
+    """Append the valid events to the Parquet table at ``path``.
+
+    With ``batch_id`` a batch has a folder of its own (source, batch_id), which a repeated write replaces: it adds nothing twice.
+    """
+    valid = events.where("problem is null").drop("problem")
+    if batch_id is None:
+        valid.write.mode("append").parquet(path)
+    else:
+        valid.write.mode("overwrite").parquet(f"{path}/source={source}/batch_id={batch_id}")
+
+
+def append_stream(events: DataFrame, path: str, *, source: str, checkpoint: str) -> DataStreamWriter:
+    """A sink for a stream of events: each micro-batch is appended by its number, so one that runs again after a lost driver, as
+    Spark does where a batch was not committed, replaces what it had written. ``source`` names the stream; start the writer returned."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_events(batch, path, source=source, batch_id=batch_id)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def artifact_rows(df: DataFrame, files: dict[str, tuple[Column, str]], *, key: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from claimloom.sources.scratch import cut, hinted
+
 #: Phases and their steps, in order.
 PHASES = {"discover": ["plan", "probe", "select"], "crawl": ["fetch", "clean", "grade"], "extract": ["batch", "bind", "merge"], "report": ["diff", "write"]}
 HOUR = 3600
@@ -87,25 +90,56 @@ def _windows(times: list[float], start: float | None, n: int, limit: int) -> tup
     return out, start, n
 
 
+def window_starts(times: DataFrame) -> DataFrame:
+    """(c, at): where the windows of an hour of each client begin, from the different ``times`` (c, at in microseconds, cell its hour).
+
+    A window begins with the first time, and then with the first one an hour or more after the last beginning. Every time knows its successor, the
+    first one an hour or more later; windows begin at what the first time leads to. Successors are found within hours, so a client
+    is as many groups as it has hours; then they are followed by doubling: each round joins the table of leaps with itself and
+    marks as many beginnings again as there are, so 2^n windows take n rounds of joins of written tables.
+    """
+    cells = times.groupBy("c", "cell").agg(F.min("at").alias("first"))
+    ahead = Window.partitionBy("c").orderBy("cell")
+    following = F.when(F.lead("cell").over(ahead) == F.col("cell") + 1, F.lead("first", 2).over(ahead)).otherwise(F.lead("first").over(ahead))
+    cells = cut(cells.withColumn("later", following), "hours")
+    points = times.select("c", (F.col("cell") + 1).alias("cell"), (F.col("at") + HOUR * 1_000_000).alias("at"), F.col("at").alias("own"))
+    both = times.select("c", "cell", "at", F.lit(None).cast("long").alias("own")).unionAll(points)
+    down = Window.partitionBy("c", "cell").orderBy(F.desc("at"), F.asc_nulls_first("own")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.min(F.when(F.col("own").isNull(), F.col("at"))).over(down)).where("own is not null")
+    near = near.select("c", (F.col("cell") - 1).alias("cell"), F.col("own").alias("at"), "near")
+    leaps = near.join(cells.select("c", "cell", "later").hint("merge"), ["c", "cell"]).select("c", "at", F.coalesce("near", "later").alias("to"))
+    leaps = cut(leaps.where("to is not null"), "leaps")
+    starts = cut(cells.groupBy("c").agg(F.min("first").alias("at")), "starts")
+    while True:
+        more = cut(starts.join(leaps.hint("merge"), ["c", "at"]).select("c", F.col("to").alias("at")), "starts")
+        if more.isEmpty():
+            return starts
+        starts = starts.unionAll(more)
+        second = leaps.select("c", F.col("at").alias("to"), F.col("to").alias("end"))
+        leaps = cut(leaps.join(second.hint("merge"), ["c", "to"]).select("c", "at", F.col("end").alias("to")), "leaps")
+
+
 def rate_limit(requests: DataFrame, *, client: str, at: str, key: str, limit: int) -> DataFrame:
-    """(client, key, allowed): where a window starts depends on the data, so clients are brought together, sorted, and read once
-    with the state of the current client only; a client's rows are never held together. Batch form."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start, n = None, None, 0
-        for part in parts:
-            allowed = []
-            for who, own in part.groupby("client", sort=False):
-                if who != current:
-                    current, start, n = who, None, 0
-                flags, start, n = _windows(own["at"].tolist(), start, n, limit)
-                allowed += flags
-            yield pd.DataFrame({"client": part["client"], "key": part["key"], "allowed": allowed})
+    """(client, key, allowed): whether a request is among the first ``limit`` of its window, in order of time and key. A window of an hour
+    begins with a client's first request after the last one's end (``window_starts``). Batch form.
 
-    kinds = dict(requests.dtypes)
-    source = requests.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(at).cast("timestamp").cast("double").alias("at"))
-    sorted_rows = source.repartition("client").sortWithinPartitions("client", "at", "key")
-    return sorted_rows.mapInPandas(run, f"client {kinds[client]}, key {kinds[key]}, allowed boolean").withColumnsRenamed({"client": client, "key": key})
+    A client's requests are spread over tasks by hour, also those of a single window: only its first ``limit`` are ranked, and
+    the last of them decides on the others. Keys are unique; a request without a time is not allowed.
+    """
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    hour = HOUR * 1_000_000
+    rows = cut(requests.select(F.struct(F.col(client).alias("v")).alias("c"), F.col(key).alias("key"), us.alias("at"), F.floor(us / hour).alias("cell")), "requests")
+    starts = window_starts(rows.where("at is not null").select("c", "at", "cell").distinct())
+    # two beginnings are an hour apart: an hour of the clock has one at most, and a request's is in its own or the one before
+    own = starts.select("c", F.floor(F.col("at") / hour).alias("cell"), F.col("at").alias("s0"))
+    last = own.select("c", (F.col("cell") + 1).alias("cell"), F.col("s0").alias("s1"))
+    placed = rows.join(hinted(own), ["c", "cell"], "left").join(hinted(last), ["c", "cell"], "left")
+    placed = cut(placed.select("c", "key", "at", F.when(F.col("s0") <= F.col("at"), F.col("s0")).otherwise(F.col("s1")).alias("start")), "windows")
+    rank = F.row_number().over(Window.partitionBy("c", "start").orderBy("at", "key"))
+    firsts = placed.where("start is not null").withColumn("n", rank).where(F.col("n") <= limit)
+    ends = cut(firsts.groupBy("c", "start").agg(F.max(F.struct("at", "key")).alias("end")), "ends")
+    allowed = F.coalesce(F.struct("at", "key") <= F.col("end"), F.lit(False))
+    return placed.join(hinted(ends), ["c", "start"], "left").select(F.col("c.v").alias(client), F.col("key").alias(key), allowed.alias("allowed"))
 
 
 def rate_limit_stream(requests: DataFrame, *, client: str, at: str, key: str, limit: int) -> DataFrame:
@@ -134,11 +168,51 @@ def token_uses(issued: DataFrame, used: DataFrame, *, ttl: str = "30 minutes") -
 
 
 def expire_tokens(issued: DataFrame, used: DataFrame, *, ttl: str = "30 minutes") -> DataFrame:
-    """(use_id, valid): the first use within the time is valid; later uses and those outside it are not. Batch form."""
+    """(use_id, valid): the first use within the time is valid; later uses and those outside it are not. Batch form; ``first_use_stream`` is the other."""
     first = token_uses(issued, used, ttl=ttl).groupBy("token").agg(F.min_by("use_id", F.struct("used_at", "use_id")).alias("first"))
     return used.join(first, "token", "left").select("use_id", F.coalesce(F.col("use_id") == F.col("first"), F.lit(False)).alias("valid"))
 
 
+def first_use_stream(issued: DataFrame, used: DataFrame, *, ttl_seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """(use_id, valid) of ``expire_tokens`` on streams: only a token's first use within its time is valid, in whatever order uses arrive.
+
+    A use is decided when the watermark has passed it, since an earlier one may come until then. A token's state is when it was
+    issued, whether it is used up, and the uses that wait; it goes when its time is over and none waits. Rows later than ``late``
+    are dropped. A token is issued once; append mode.
+    """
+    kinds = dict(used.dtypes)
+    number = kinds["use_id"] != "string"  # ids are whole numbers or strings; in the state they are strings
+    own_id = int if number else str
+    none = F.lit(None).cast("string")
+    rows = issued.select("token", F.col("issued_at").alias("at"), F.lit(True).alias("issue"), none.alias("use_id"))
+    rows = rows.unionByName(used.select("token", F.col("used_at").alias("at"), F.lit(False).alias("issue"), F.col("use_id").cast("string").alias("use_id")))
+    rows = rows.withColumn("s", F.unix_micros("at")).withWatermark("at", late)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, done, times, ids = (list(x) if isinstance(x, (list, np.ndarray)) else x for x in (state.get if state.exists else ([], False, [], [])))
+        for part in () if state.hasTimedOut else parts:
+            starts += [int(x) for x in part.loc[part["issue"], "s"]]
+            own = part[~part["issue"]]
+            times += [int(x) for x in own["s"]]
+            ids += list(own["use_id"])
+        mark, ttl = state.getCurrentWatermarkMs() * 1000, ttl_seconds * 1_000_000
+        waiting, out = sorted(zip(times, ids), key=lambda x: (x[0], own_id(x[1]))), []
+        while waiting and waiting[0][0] < mark:
+            at, use = waiting.pop(0)
+            valid = not done and any(s <= at < s + ttl for s in starts)
+            done = done or valid
+            out.append((own_id(use), valid))
+        live = [s + ttl for s in starts if s + ttl > mark]
+        if waiting or live:
+            state.update((starts, done, [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.setTimeoutTimestamp(max(min([w[0] for w in waiting] + live) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["use_id", "valid"])
+
+    return rows.groupBy("token").applyInPandasWithState(step, f"use_id {kinds['use_id']}, valid boolean", "starts array<long>, done boolean, times array<long>, ids array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_snapshots(captures: DataFrame, *, late: str = "7 days") -> DataFrame:
     """Captures without repeats of a URL and content, within the watermark; ``captured_at`` is their time. On batches all repeats go."""
     if captures.isStreaming:
