@@ -24,8 +24,8 @@ TO_BLANK = bytes(32 if CLASS[b] else b for b in range(256))
 
 #: Odd bases of the polynomials over bytes and over words, modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Bytes of a window, fingerprints that a task holds before it sends them, and different words.
-WINDOW, HELD, HELD_WORDS = 1 << 20, 1 << 21, 1 << 19
+#: Bytes of a window, fingerprints that a task holds before it sends them, phrases before it merges them, and different words.
+WINDOW, HELD, HELD_PHRASES, HELD_WORDS = 1 << 20, 1 << 21, 1 << 20, 1 << 19
 #: Bits of a filter of frequent fingerprints: so many for each, and so many at most (16 MB), whatever the corpus.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
@@ -208,7 +208,7 @@ def numbered(data: bytes, words: Words, at: np.ndarray, number: dict[bytes, int]
     ids = np.array([number.setdefault(data[start[i] : end[i]], len(number)) for i in one], np.int64)[inverse]
     for i in np.flatnonzero(~same):
         ids[i] = number.setdefault(data[start[i] : end[i]], len(number))
-    result = np.full(len(words.hash), -1)
+    result = np.full(len(words.hash), -1, np.int32)
     result[at] = ids
     return result
 
@@ -283,7 +283,7 @@ def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> Da
             batch = Batch(b)
             none = b.column("id").is_null().to_numpy(zero_copy_only=False)
             ids = pc.fill_null(b.column("id"), 0).to_numpy()
-            task_lang = np.array([langs.setdefault(x, len(langs)) for x in batch.langs], np.int64)[batch.of_text]
+            task_lang = np.array([langs.setdefault(x, len(langs)) for x in batch.langs], np.int32)[batch.of_text]
             for words in windows(batch.data, most - 1):
                 every = np.arange(len(words.hash))
                 word = numbered(batch.data, words, every[known[0].has(batch.fingerprints(words, every, 1, bits))], number)
@@ -296,7 +296,7 @@ def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> Da
                     at, fp, cells = at[likely], fp[likely], cells[likely]
                     of = text[at]
                     f.add(cells, fp=fp, lang=task_lang[of], n=np.ones(len(at), np.int64), none=none[of], row=ids[of], at=words.start[at] - batch.begins[of])
-                if len(number) >= HELD_WORDS or sum(f.size for f in found) >= HELD and sum(f.shrink() for f in found) >= HELD // 2:
+                if len(number) >= HELD_WORDS or sum(f.size for f in found) >= HELD_PHRASES and sum(f.shrink() for f in found) >= HELD_PHRASES * 3 // 4:
                     yield from packed()
         yield from packed()
         if totals:
