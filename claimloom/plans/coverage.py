@@ -265,21 +265,6 @@ def coverage_gate(counts: DataFrame, requirements: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("found") >= F.col("least"), "pass").otherwise("gap"))
 
 
-def verify_wave(docs: DataFrame, routes: DataFrame, *, url_col: str, topic: str, conflict: str, least: int = 2) -> DataFrame:
-    """``docs`` with task_id, hits and status: routed by canonical URL, on topic if the topic occurs often enough and no conflicting term stands in the title."""
-    j = docs.withColumn("canonical", U.canonical(F.col(url_col))).join(routes.select("canonical", "task_id"), "canonical", "left")
-    hits = F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({topic})"), F.lit(1)))
-    status = F.when(F.col("task_id").isNull(), "unrouted").when(F.lower("title").rlike(conflict), "conflicting").when(F.col("text").startswith("%PDF"), "needs_parser").when(hits >= least, "relevant").otherwise("off_topic")
-    return j.withColumns({"hits": hits, "status": status})
-
-
-def wave_coverage(audit: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(task_id, docs, hosts, roles, met): relevant documents of each task against its minima."""
-    g = audit.where("status = 'relevant'").groupBy("task_id").agg(F.count("*").alias("docs"), F.countDistinct("host").alias("hosts"), F.countDistinct("role").alias("roles"))
-    j = tasks.join(g, "task_id", "left").na.fill(0, ["docs", "hosts", "roles"])
-    return j.select("task_id", "docs", "hosts", "roles", ((F.col("hosts") >= F.col("min_sources")) & (F.col("roles") >= F.col("min_roles"))).alias("met"))
-
-
 def next_roles(tasks: DataFrame, collected: DataFrame, *, most: int = 8) -> DataFrame:
     """The first roles, by task order, that nothing has been collected for. ``tasks``: (ord, roles); ``collected``: (role)."""
     first = tasks.select("ord", F.posexplode("roles").alias("pos", "role")).groupBy("role").agg(F.min(F.struct("ord", "pos")).alias("at"))

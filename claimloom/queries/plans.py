@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import urls as U
+from claimloom.functions.text import SPACE
 from claimloom.plans import coverage as P
+from claimloom.plans import waves as W
 from claimloom.queries import query
 from claimloom.queries.urls import SQL_CAND, sql_canonical, sql_kind, sql_public, with_url
-from claimloom.sources.scratch import hinted
+from claimloom.sources.scratch import cut, hinted
 
 
 def coverage_rows(t):
@@ -191,27 +193,64 @@ def p14(t):
     return P.coverage_gate(counts, needs)
 
 
+TERMS, CONFLICTS = ["tion", "k e i t", "Ment"], ["ung", "eau", "es/9"]
+WAVE_ROLES = ["regulator", "standards_body", "brand_official", "media"]
+RECORD = "\nGB/T 4706.25-2008 发布单位 实施日期"
+
+
 def audit(t):
-    p = t("pages").select("page_id", "url", F.col("html").alias("text"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), U.hostname(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/]*/([a-z]+)", 1).alias("role"))
-    # some pages have no route
-    routes = t("pages").where("page_id % 3 > 0").select(U.canonical(F.col("url")).alias("canonical"), F.col("page_id")).groupBy("canonical").agg((F.min("page_id") % 20).alias("task_id"))
-    return P.verify_wave(p, routes, url_col="url", topic="tion|keit|ment", conflict="(ung|eau)")
+    # every eleventh page is made an official record, every thirteenth a PDF payload, every fifth is not accepted, and every third has no route
+    n = F.col("page_id")
+    text = F.concat(F.when(n % 13 == 0, " %PDF-1.4 ").otherwise(""), "html", F.when(n % 11 == 0, RECORD).otherwise(""))
+    p = t("pages").select("page_id", "url", text.alias("text"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), (n % 5 > 0).alias("accepted"))
+    role = F.element_at(F.array(*map(F.lit, WAVE_ROLES)), (n % 4 + 1).cast("int"))
+    routes = t("pages").where("page_id % 3 > 0").select(n.alias("ord"), F.col("url").alias("reference"), n.alias("route_id"), (n % 20).alias("task_id"), role.alias("role"))
+    return W.verify_wave(p, routes, terms=TERMS, conflicts=CONFLICTS)
+
+
+def wave_tasks(t):
+    n = F.col("task_id")
+    return t("pages").select((F.col("page_id") % 22).alias("task_id")).distinct().withColumns({"min_sources": n % 4, "min_roles": n % 3, "min_samples": (n % 5 == 4).cast("int"), "priority": F.when(n % 4 == 0, "critical").otherwise("normal")})
+
 
+def _squeezed(c):
+    return f"regexp_replace(lower({c}), '{SPACE}', '', 'g')"
 
-_AUDIT = f"""(SELECT page_id, host, role, task_id, hits, CASE WHEN task_id IS NULL THEN 'unrouted' WHEN regexp_matches(lower(title), '(ung|eau)') THEN 'conflicting' WHEN starts_with(text, '%PDF') THEN 'needs_parser' WHEN hits >= 2 THEN 'relevant' ELSE 'off_topic' END AS status FROM (
-SELECT p.page_id, regexp_replace(lower(regexp_extract(p.url, '^https?://([^/]*)', 1)), '^www\\.', '') AS host, regexp_extract(p.url, '^https?://[^/]*/([a-z]+)', 1) AS role, html AS text, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, task_id, len(regexp_extract_all(lower(html), '(tion|keit|ment)')) AS hits
-FROM pages p LEFT JOIN (SELECT {sql_canonical('url')} AS c, min(page_id) % 20 AS task_id FROM pages WHERE page_id % 3 > 0 GROUP BY c) r ON r.c = {sql_canonical('p.url')}) a)"""
 
+_AUDIT = f"""(SELECT page_id, url, route_id, task_id, role, hits, conflicting, bin, over, CASE WHEN route_id IS NULL THEN 'route_missing' WHEN bin OR NOT (accepted OR over) THEN 'source_quality_rejected'
+ WHEN hits < 2 OR len(conflicting) > 0 THEN 'category_relevance_mismatch' ELSE 'raw_candidate_relevant_not_evidence' END AS status
+FROM (SELECT *, coalesce(role IN ('standards_body', 'regulator') AND hits >= 2 AND regexp_matches(body, '(?i)\\bGB(?:/T)?{SPACE}*\\d{{3,6}}(?:\\.\\d+)?-\\d{{4}}\\b') AND len(list_filter(['发布单位', '发布日期', '实施日期'], lambda x: contains(body, x))) >= 2, false) AS over
+FROM (SELECT p.*, r.route_id, r.task_id, r.role, title || chr(10) || text AS body, starts_with(ltrim(text), '%PDF-') AS bin,
+ CAST(list_sum(list_transform(['tion', 'keit', 'ment'], lambda x: len(string_split({_squeezed("title || chr(10) || text")}, x)) - 1)) AS BIGINT) AS hits,
+ list_filter(['ung', 'eau', 'es/9'], lambda x: contains({_squeezed("title || chr(10) || url")}, x)) AS conflicting
+FROM (SELECT page_id, url, page_id % 5 > 0 AS accepted, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CASE WHEN page_id % 13 = 0 THEN ' %PDF-1.4 ' ELSE '' END || html || CASE WHEN page_id % 11 = 0 THEN chr(10) || 'GB/T 4706.25-2008 发布单位 实施日期' ELSE '' END AS text FROM pages) p
+LEFT JOIN (SELECT c, max(page_id) AS route_id, max(page_id) % 20 AS task_id, list_extract(['regulator', 'standards_body', 'brand_official', 'media'], CAST(max(page_id) % 4 + 1 AS INTEGER)) AS role FROM (SELECT page_id, {sql_canonical('url')} AS c FROM pages WHERE page_id % 3 > 0) x WHERE c IS NOT NULL GROUP BY c) r ON r.c = {sql_canonical('p.url')}) a) b)"""
+_WAVE_TASKS = "(SELECT task_id, task_id % 4 AS min_sources, task_id % 3 AS min_roles, task_id % 5 = 4 AS samples, CASE WHEN task_id % 4 = 0 THEN 'critical' ELSE 'normal' END AS priority FROM (SELECT DISTINCT page_id % 22 AS task_id FROM pages) q)"
+_WAVE = f"""(SELECT *, CASE WHEN len(gaps) = 0 THEN 'raw_candidate_target_met_not_evidence' ELSE 'raw_candidate_gap' END AS status FROM (SELECT t.task_id, priority, coalesce(docs, 0) AS docs, coalesce(hosts, 0) AS hosts, coalesce(roles, 0) AS roles,
+ list_filter([CASE WHEN coalesce(hosts, 0) < min_sources THEN 'independent_source_coverage_missing' END, CASE WHEN coalesce(roles, 0) < min_roles THEN 'source_role_coverage_missing' END, CASE WHEN samples THEN 'representative_sample_coverage_missing' END], lambda x: x IS NOT NULL) AS gaps
+FROM {_WAVE_TASKS} t LEFT JOIN (SELECT task_id, count(*) AS docs, count(DISTINCT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\\.', '')) AS hosts, count(DISTINCT role) AS roles FROM {_AUDIT} a WHERE status = 'raw_candidate_relevant_not_evidence' GROUP BY task_id) g ON g.task_id = t.task_id) w)"""
 
-@query("p15_verify_wave", f"SELECT page_id, task_id, hits, status FROM {_AUDIT} a")
+
+@query("p15_verify_wave", f"SELECT page_id, route_id, task_id, role, hits, array_to_string(conflicting, ',') AS conflicting, bin AS \"binary\", over AS override, status FROM {_AUDIT} a")
 def p15(t):
-    return audit(t).select("page_id", "task_id", F.col("hits").cast("long").alias("hits"), "status")
+    return audit(t).select("page_id", "route_id", "task_id", "role", "hits", F.array_join("conflicting", ",").alias("conflicting"), "binary", "override", "status")
 
 
-@query("p16_wave_coverage", f"SELECT t.task_id, coalesce(docs, 0) AS docs, coalesce(hosts, 0) AS hosts, coalesce(roles, 0) AS roles, coalesce(hosts, 0) >= t.task_id % 4 AND coalesce(roles, 0) >= t.task_id % 3 AS met FROM (SELECT DISTINCT page_id % 22 AS task_id FROM pages) t LEFT JOIN (SELECT task_id, count(*) AS docs, count(DISTINCT host) AS hosts, count(DISTINCT role) AS roles FROM {_AUDIT} a WHERE status = 'relevant' GROUP BY task_id) g ON g.task_id = t.task_id")
+@query("p16_wave_coverage", f"SELECT task_id, docs, hosts, roles, array_to_string(gaps, ',') AS gaps, status FROM {_WAVE} w")
 def p16(t):
-    todo = t("pages").select((F.col("page_id") % 22).alias("task_id")).distinct().withColumns({"min_sources": F.col("task_id") % 4, "min_roles": F.col("task_id") % 3})
-    return P.wave_coverage(audit(t), todo)
+    return W.wave_coverage(audit(t), wave_tasks(t)).withColumn("gaps", F.array_join("gaps", ","))
+
+
+@query(
+    "p16_wave_decision",
+    f"""SELECT *, CASE WHEN critical_gaps = 0 THEN 'begin_m3_claim_extraction' ELSE 'continue_m2_4_targeted_waves' END AS next_action, CASE WHEN critical_gaps = 0 THEN 'critical_raw_candidate_coverage_met' ELSE 'critical_raw_candidate_coverage_gaps_remain' END AS reason
+FROM (SELECT count(*) AS documents, count(*) FILTER (status = 'raw_candidate_relevant_not_evidence') AS relevant, count(*) FILTER (status = 'category_relevance_mismatch') AS mismatches, count(*) FILTER (status = 'source_quality_rejected') AS rejected, count(*) FILTER (status = 'route_missing') AS unrouted, count(*) FILTER (bin) AS binaries, count(*) FILTER (over) AS overrides FROM {_AUDIT} a) d,
+(SELECT count(*) FILTER (len(gaps) = 0) AS met, count(*) FILTER (len(gaps) > 0) AS gaps, count(*) FILTER (len(gaps) = 0 AND priority = 'critical') AS critical_met, count(*) FILTER (len(gaps) > 0 AND priority = 'critical') AS critical_gaps FROM {_WAVE} w) c""",
+)
+def p16_decision(t):
+    own = cut(audit(t).select("url", "role", "task_id", "binary", "override", "status"), "audit")
+    todo = wave_tasks(t)
+    return W.wave_decision(own, W.wave_coverage(own, todo), todo)
 
 
 @query("p17_next_roles", "SELECT role FROM (SELECT n_name AS role, min(o_orderkey) AS first_ord FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name) q WHERE role NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0) ORDER BY first_ord, role LIMIT 8")
