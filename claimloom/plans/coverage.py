@@ -283,42 +283,6 @@ def usage_totals(waves: DataFrame, columns: list[str], *, plan: str) -> DataFram
     return waves.groupBy(plan).agg(*(F.sum(F.col(c).cast("decimal(18,6)")).alias(c) for c in columns))
 
 
-def module_claims(claims: DataFrame, evidence: DataFrame, axes: DataFrame, policy: DataFrame, *, claim: str) -> DataFrame:
-    """(claim, status, failures): a claim is confirmed if its role fits the module, its items are known, and all its evidence is complete.
-
-    ``claims``: (claim, module, claim_role, items, evidence_ids); ``evidence``: (evidence_id, complete); ``axes``: (item); ``policy``: (module, claim_role).
-    """
-    role = claims.join(hinted(policy), ["module", "claim_role"], "left_anti").select(claim, F.lit("claim_role_not_allowed").alias("f"))
-    item = claims.select(claim, F.explode("items").alias("item")).join(hinted(axes), "item", "left_anti").select(claim, F.lit("unknown_axis_item").alias("f"))
-    rows = claims.select(claim, F.explode_outer("evidence_ids").alias("evidence_id")).join(evidence.hint("merge"), "evidence_id", "left")
-    g = rows.groupBy(claim).agg(F.count("evidence_id").alias("n"), F.bool_and(F.coalesce("complete", F.lit(False))).alias("done"))
-    bound = g.select(claim, F.explode(_reasons([(F.col("n") == 0, "evidence_missing"), ((F.col("n") > 0) & ~F.col("done"), "evidence_incomplete")])).alias("f"))
-    failures = role.unionByName(item).unionByName(bound).groupBy(claim).agg(F.array_sort(F.collect_set("f")).alias("failures"))
-    j = claims.select(claim).join(failures.hint("merge"), claim, "left").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
-    return j.withColumn("status", F.when(F.size("failures") == 0, "confirmed").otherwise("blocked"))
-
-
-def module_coverage(claims: DataFrame, rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """(module, row_id, covered, of, gap): items of a row that confirmed claims of its module name, and that are sampled where samples are required.
-
-    ``claims``: (module, item); ``rows``: (module, row_id, axis_items, needs_samples); ``samples``: (item)."""
-    asked = rows.select("module", "row_id", "needs_samples", F.explode(F.array_distinct("axis_items")).alias("item"))
-    named = asked.join(claims.select("module", "item").distinct().hint("merge"), ["module", "item"], "left_semi")
-    known = samples.select("item").distinct().withColumn("_sampled", F.lit(True))
-    hit = named.join(known.hint("merge"), "item", "left").where(~F.col("needs_samples") | F.col("_sampled"))
-    counted = hit.groupBy("module", "row_id").agg(F.count("*").cast("int").alias("covered"))
-    j = rows.join(counted.hint("merge"), ["module", "row_id"], "left").withColumns({"covered": F.coalesce("covered", F.lit(0)), "of": F.size("axis_items")})
-    return j.select("module", "row_id", "covered", "of", F.when(F.col("covered") < F.col("of"), F.concat(F.col("covered").cast("string"), F.lit("/"), F.col("of").cast("string"))).alias("gap"))
-
-
-def module_status(modules: DataFrame, claims: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(module, status): missing_evidence without confirmed claims, complete if no row has a gap, else insufficient_coverage."""
-    ok = claims.where("status = 'confirmed'").groupBy("module").agg(F.count("*").alias("confirmed"))
-    gaps = coverage.groupBy("module").agg(F.count("gap").alias("gaps"))
-    j = modules.join(ok, "module", "left").join(gaps, "module", "left")
-    return j.select("module", F.when(F.coalesce("confirmed", F.lit(0)) == 0, "missing_evidence").when(F.coalesce("gaps", F.lit(0)) == 0, "complete").otherwise("insufficient_coverage").alias("status"))
-
-
 def report_coverage(rows: DataFrame, *, plan: str) -> DataFrame:
     """(plan, total, passed, gap, critical, critical_passed) from (plan, status, priority)."""
     ok, critical = F.col("status") == "pass", F.col("priority") == "critical"

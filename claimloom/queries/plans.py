@@ -272,49 +272,6 @@ def p19(t):
     return u.select("l_returnflag", *(F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_quantity")))
 
 
-def supplier_claims(t):
-    """A supplier's claims: its region's module, its parts' types as items, its orders as evidence."""
-    li = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("claim")).agg(F.collect_set("p_type").alias("items"), F.collect_set("l_orderkey").alias("evidence_ids"))
-    c = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("claim"), F.col("n_regionkey").alias("module"), (F.col("s_suppkey") % 4).alias("claim_role"))
-    return c.join(li, "claim", "left").withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "evidence_ids": F.coalesce("evidence_ids", F.array().cast("array<bigint>"))})
-
-
-def judged(t):
-    evidence = t("orders").select(F.col("o_orderkey").alias("evidence_id"), (F.col("o_orderkey") % 450 > 0).alias("complete"))
-    policy = t("nation").select(F.col("n_regionkey").alias("module"), (F.col("n_nationkey") % 3).alias("claim_role")).distinct()
-    return P.module_claims(supplier_claims(t), evidence, t("part").where("p_type <> 'PROMO'").select(F.col("p_type").alias("item")).distinct(), policy, claim="claim")
-
-
-_CLAIMS = """(SELECT s_suppkey AS claim, n_regionkey AS module, s_suppkey % 4 AS claim_role, coalesce(items, []) AS items, coalesce(ev, []) AS ev FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, list(DISTINCT p_type) AS items, list(DISTINCT l_orderkey) AS ev FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey) l ON l.l_suppkey = s_suppkey)"""
-_JUDGED = f"""(SELECT claim, module, items, list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = module AND n_nationkey % 3 = claim_role) THEN 'claim_role_not_allowed' END, CASE WHEN len(ev) > 0 AND len(list_filter(ev, lambda x: x % 450 = 0)) > 0 THEN 'evidence_incomplete' END, CASE WHEN len(ev) = 0 THEN 'evidence_missing' END, CASE WHEN list_contains(items, 'PROMO') THEN 'unknown_axis_item' END], lambda x: x IS NOT NULL) AS failures FROM {_CLAIMS} c)"""
-
-
-@query("p20_module_claims", f"SELECT claim, array_to_string(failures, ',') AS failures, CASE WHEN len(failures) = 0 THEN 'confirmed' ELSE 'blocked' END AS status FROM {_JUDGED} j")
-def p20(t):
-    return judged(t).withColumn("failures", F.array_join("failures", ","))
-
-
-def covered(t):
-    ok = judged(t).where("status = 'confirmed'").join(supplier_claims(t), "claim").select("module", F.explode("items").alias("item")).distinct()
-    rows = coverage_rows(t).join(axis_items(t).groupBy("axis").agg(F.collect_set("item").alias("axis_items")), "axis").withColumn("needs_samples", F.col("row_id") % 2 == 0)
-    return P.module_coverage(ok, rows, t("part").where("p_size = 3").select(F.col("p_type").alias("item")).distinct())
-
-
-_COVERED = f"""(SELECT module, row_id, len(hit) AS covered, len(axis_items) AS of, CASE WHEN len(hit) < len(axis_items) THEN len(hit) || '/' || len(axis_items) END AS gap FROM (SELECT r.module, row_id, axis_items, list_filter(axis_items, lambda x: list_contains(coalesce(claimed, []), x) AND (row_id % 2 = 1 OR list_contains(sampled, x))) AS hit
-FROM (SELECT n_nationkey AS row_id, n_regionkey AS module, axis_items FROM nation JOIN (SELECT p_size * 2 AS axis, list(DISTINCT p_type) AS axis_items FROM part WHERE p_size < 4 GROUP BY p_size) i ON i.axis = n_nationkey % 7) r LEFT JOIN (SELECT module, list(DISTINCT item) AS claimed FROM (SELECT module, unnest(items) AS item FROM {_JUDGED} j WHERE len(failures) = 0) q GROUP BY module) c ON c.module = r.module CROSS JOIN (SELECT list(DISTINCT p_type) AS sampled FROM part WHERE p_size = 3) s) x)"""
-
-
-@query("p21_module_coverage", f'SELECT module, row_id, covered, "of", gap FROM {_COVERED.replace(" AS of", chr(32) + "AS " + chr(34) + "of" + chr(34))} v')
-def p21(t):
-    return covered(t)
-
-
-@query("p22_module_status", f'SELECT r_regionkey AS module, CASE WHEN coalesce(n, 0) = 0 THEN \'missing_evidence\' WHEN coalesce(gaps, 0) = 0 THEN \'complete\' ELSE \'insufficient_coverage\' END AS status FROM region LEFT JOIN (SELECT module, count(*) AS n FROM {_JUDGED} j WHERE len(failures) = 0 GROUP BY module) a ON a.module = r_regionkey LEFT JOIN (SELECT module, count(gap) AS gaps FROM {_COVERED.replace(" AS of", " AS " + chr(34) + "of" + chr(34))} v GROUP BY module) b ON b.module = r_regionkey')
-def p22(t):
-    claims = judged(t).join(supplier_claims(t).select("claim", "module"), "claim")
-    return P.module_status(t("region").select(F.col("r_regionkey").alias("module")), claims, covered(t))
-
-
 @query("p23_report_coverage", f"SELECT plan, count(*) AS total, count(*) FILTER (len(gaps) = 0) AS passed, count(*) FILTER (len(gaps) > 0) AS gap, count(*) FILTER (module IN (0, 2)) AS critical, count(*) FILTER (module IN (0, 2) AND len(gaps) = 0) AS critical_passed FROM {_TASKS} x GROUP BY plan")
 def p23(t):
     rows = tasks(t).select("plan", F.when(F.size("gaps") == 0, "pass").otherwise("gap").alias("status"), F.when(F.col("module").isin(0, 2), "critical").otherwise("other").alias("priority"))
