@@ -46,6 +46,8 @@ def _quoted(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     texts = documents.select("doc", F.col("text").alias("_t"))
     held = cut(texts.join(hinted(q), "doc").where(normalize_text(F.col("_t")).contains(F.col("q"))).select("evidence_id", F.lit(True).alias("held")).distinct(), "held")
     lost = cut(q.join(held.hint("merge"), "evidence_id", "left_anti").select("evidence_id", "q"), "lost")
+    if lost.isEmpty():
+        return held.withColumn("elsewhere", F.lit(False))
     found = E.match_quotes(lost, texts, quote_id="evidence_id", doc_id="doc", quote_col="q", doc_col="_t").select("evidence_id").distinct().withColumn("elsewhere", F.lit(True))
     return held.join(found.hint("merge"), "evidence_id", "full").na.fill(False, ["held", "elsewhere"])
 
@@ -98,21 +100,19 @@ def module_claims(
     own = cut(claims.select("claim", F.coalesce("claim_id", F.lit("")).alias("claim_id"), "module", F.coalesce("statement", F.lit("")).alias("statement"), "claim_role", *(F.coalesce(c, _empty(dict(claims.dtypes)[c])).alias(c) for c in ("evidence_ids", "items", "samples"))), "claims")
     failure = lambda df, phase, pos, codes: df.select("claim", F.lit(phase).alias("phase"), pos.alias("pos"), F.posexplode(codes).alias("step", "f"))
 
-    may = hinted(module_roles.select("module", "claim_role").distinct().withColumn("_ok", F.lit(True)))
-    basic = own.join(may, ["module", "claim_role"], "left")
-    basic = failure(basic, 0, F.lit(0), _codes([
+    # a row for each module of the plan
+    plan = rows.groupBy("module").agg(F.collect_set("axis").alias("_axes"), F.array_distinct(F.flatten(F.collect_list("axis_items"))).alias("_items"))
+    plan = hinted(cut(plan.join(module_roles.groupBy("module").agg(F.collect_set("claim_role").alias("_roles")).hint("merge"), "module", "full"), "plan"))
+    has_in = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
+    unknown = F.transform(F.filter("items", lambda x: ~has_in("_items", x)), lambda x: F.concat(F.lit("unknown_axis_item:"), F.coalesce(x.cast("string"), F.lit(""))))
+    basic = failure(own.join(plan, "module", "left"), 0, F.lit(0), F.concat(_codes([
         (_trimmed(F.col("claim_id")) == "", "claim_id_required"), (_trimmed(F.col("statement")) == "", "claim_statement_required"),
-        (F.col("_ok").isNull(), F.concat(F.lit("claim_role_not_allowed_for_module:"), F.coalesce("claim_role", F.lit("")))), (F.size("evidence_ids") == 0, "claim_evidence_required"),
-    ]))
-
-    known = hinted(rows.select("module", F.explode("axis_items").alias("item")).distinct())
-    items = own.select("claim", "module", F.posexplode("items").alias("pos", "item")).join(known, ["module", "item"], "left_anti")
-    items = failure(items, 1, F.col("pos"), F.array(F.concat(F.lit("unknown_axis_item:"), F.coalesce(F.col("item").cast("string"), F.lit("")))))
+        (~has_in("_roles", F.col("claim_role")), F.concat(F.lit("claim_role_not_allowed_for_module:"), F.coalesce("claim_role", F.lit("")))), (F.size("evidence_ids") == 0, "claim_evidence_required"),
+    ]), unknown))
 
     has = assignments.groupBy("sample").agg(F.collect_set(F.struct("axis", "item")).alias("_has"))
     chosen = hinted(cut(samples.select("sample", "relationship", F.lit(True).alias("_known")).dropDuplicates(["sample"]).join(has.hint("merge"), "sample", "left"), "samples"))
-    axes = hinted(rows.groupBy("module").agg(F.collect_set("axis").alias("_axes")))
-    s = own.select("claim", "module", "items", F.posexplode("samples").alias("pos", "sample")).join(chosen, "sample", "left").join(axes, "module", "left")
+    s = own.select("claim", "module", "items", F.posexplode("samples").alias("pos", "sample")).join(chosen, "sample", "left").join(plan.select("module", "_axes"), "module", "left")
     fits = reduce(lambda a, b: a | b, ((F.col("module") == m) & F.col("relationship").isin(*r) for m, r in relationships.items() if r), F.lit(False))
     covers = F.exists("_has", lambda x: F.array_contains("_axes", x["axis"]) & F.array_contains("items", x["item"]))
     code = lambda name: F.concat(F.lit(name + ":"), F.coalesce(F.col("sample").cast("string"), F.lit("")))
@@ -150,7 +150,7 @@ def module_claims(
         ((module == "business_model_and_supply_chain") & text.rlike(PROFIT) & ~F.array_contains("source_roles", "financial_report"), "profitability_requires_financial_report"),
     ]))
 
-    every = reduce(DataFrame.unionByName, [basic, items, s, missing, bound, guarded])
+    every = reduce(DataFrame.unionByName, [basic, s, missing, bound, guarded])
     once = every.groupBy("claim", "f").agg(F.min(F.struct("phase", "pos", "step")).alias("at"))
     listed = once.groupBy("claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda x: x["f"]).alias("failures"))
     out = good.drop("statement").join(listed.hint("merge"), "claim", "left").withColumns({"failures": F.coalesce("failures", _empty()), "sources": F.coalesce("sources", _empty(dict(good.dtypes)["sources"]))})
