@@ -21,7 +21,7 @@ SKIPPED_HOST_PARTS = [
     "jd.com", "taobao.", "tmall.", "1688.", "pinduoduo.", "yangkeduo.", "alibaba.", "aliexpress.", "sohu.", "sina.", "163.com", "qq.com", "weibo.", "zhihu.", "baidu.",
     "bilibili.", "douyin.", "toutiao.", "ifeng.",
 ]
-FILE_ENDING = r"(?i)\.(avif|bmp|css|gif|ico|jpeg|jpg|js|mp3|mp4|pdf|png|svg|webp|zip)($|\?)"
+FILE_ENDING = r"(?i)\.(avif|bmp|css|gif|ico|jpeg|jpg|js|mp3|mp4|pdf|png|svg|webp|zip)(?:$|\?)"
 MAPPED_PATH = r"(?i)/(?:account|cart|checkout|login|register|privacy|terms|legal|policies|search|language|locale)(?:/|[._-]|$)"
 KINDS = ["homepage", "robots", "sitemap", "product", "collection", "blog", "rss"]
 ROOT_PATH = r"(?i)^/?(cn|zh|zh-cn|en|en-us|en-gb|ja|jp|de|fr|h5)?/*$"

@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as T
 from claimloom.sources.scratch import cut, hinted
 
-# What is markup or noise, as regular expressions that need no look-around or back-reference.
+# What is markup or noise.
 MARKUP_TAGS = ["script", "style", "noscript", "template", "svg"]
 NAVIGATION_TAGS = ["nav", "header", "aside", "form", "dialog"]
 CONSENT_WORDS = "cookie|privacy|consent|gdpr|legal"
 BLOCK_TAGS = "article|blockquote|br|dd|div|dl|dt|figcaption|figure|h[1-6]|hr|li|main|ol|p|section|table|tbody|td|tfoot|th|thead|tr|ul"
 LEGAL_LINE = r"(?i)(privacy policy|cookie settings|terms of service|do not sell|隐私政策|隐私协议|cookie|法律声明)"
 COPYRIGHT_LINE = r"(?i)(©|all rights reserved|ICP备)"
-SKIP_LINE = r"(?i)^skip to (content|main)"
+SKIP_LINE = r"(?i)^skip to (?:content|main)"
 SOCIAL_NAMES = ["facebook", "instagram", "youtube", "linkedin"]
 LEGAL_MOST, SOCIAL_MOST, COPYRIGHT_MOST = 240, 180, 240
 KNOWN_BLOCKS = [
-    (r"(?m)(^|\s)--?>(\s|$)", "\n"),
-    (r"(?is)This page has been blocked by an extension.*?(ERR[_\\]BLOCKED[_\\]BY[_\\]CLIENT|Reload)(\s|$)", " "),
-    (r"(?i)(One-time Discount\s+)?Get up to \d+% off \+ Free Shipping[^\n]*(\n|$)", " "),
+    (r"(?m)(?:^|\s)--?>(?=\s|$)", "\n"),
+    (r"(?i)方太隐私声明[\s\S]*?请勾选方太隐私协议", " "),
+    (r"(?i)尊敬的用户[：:][\s\S]{0,300}?《[^》]*个人信息保护政策》[\s\S]{0,1200}?(?:确定|同意)(?=\s*(?:首页|产品|服务|我的|$))", " "),
+    (r"(?i)(?:www\.[\w.-]+\s*#\s*)?www\.[\w.-]+\s+is blocked[\s\S]*$", " "),
+    (r"(?i)This page has been blocked by an extension[\s\S]*?(?:ERR[_\\]BLOCKED[_\\]BY[_\\]CLIENT|Reload)(?:\s|$)", " "),
+    (r"(?i)(?:One-time Discount\s+)?Get up to \d+% off \+ Free Shipping[^\n]*(?:\n|$)", " "),
+    (r"(?i)产品搜索\s+首页\s+资生堂日本\s+官方产品介绍网站[\s\S]*?©\s*Shiseido[\s\S]*$", " "),
     (r"(?i)\bShop NowShop Now\b", "Shop Now"),
 ]
 RESIDUAL = {

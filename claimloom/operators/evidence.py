@@ -13,16 +13,16 @@ from claimloom.sources.scratch import cut, hinted
 
 # Fixed values.
 HIGH_RISK = [
-    r"(?i)\b\d+(\.\d+)?\s*(k|m|万|亿)?\s*(users|customers|orders|sales|销量|用户|订单)\b", r"(?i)\btop\s*\d+\b", r"(?i)#\s*\d+\s*(rated|ranked)?", r"(?i)\b(no\.?|number)\s*1\b",
-    r"排名\s*(第)?[一二三四五六七八九十\d]+", r"市场份额", r"(?i)market share", r"转化率", r"(?i)conversion rate", r"销售额", r"(?i)sales revenue|\brevenue\b",
+    r"(?i)\b\d+(\.\d+)?\s*(k|m|万|亿)?\s*(users|customers|orders|sales|销量|用户|订单)\b", r"(?i)\btop\s*\d+\b", r"(?i)#\s*\d+\s*(rated|ranked)?", r"(?i)\b(?:no\.?|number)\s*1\b",
+    r"排名\s*(?:第)?[一二三四五六七八九十\d]+", r"市场份额", r"(?i)market share", r"转化率", r"(?i)conversion rate", r"销售额", r"(?i)sales revenue|\brevenue\b",
 ]
 MARKERS = [
     r"top\s*\d+", r"#\s*\d+\s*(?:rated|ranked)?", r"(?:no\.?|number)\s*1", r"排名\s*(?:第)?[一二三四五六七八九十\d]+", r"market share", r"市场份额", r"conversion rate", r"转化率",
     r"sales revenue|\brevenue\b", r"销售额", r"users|customers|orders|sales|销量|用户|订单",
 ]
 GENERIC_TERMS = ["brand", "product", "market", "website", "official", "品牌", "产品", "市场", "官网", "线上"]
-DEMAND = r"(?i)(demand|need|pain point|gap|opportunit|underdeveloped|not popular|lack of|用户需求|消费者需求|痛点|缺口|机会|增长|尚未普及|认知门槛|市场教育)"
-DIRECT_DEMAND = r"(?i)(customer|consumer|user|review|feedback|survey|question|complaint|frequently asked|消费者|用户|买家|评论|反馈|调研|问答|常见问题|投诉|困扰|需求)"
+DEMAND = r"(?i)(?:demand|need|pain point|gap|opportunit|underdeveloped|not popular|lack of|用户需求|消费者需求|痛点|缺口|机会|增长|尚未普及|认知门槛|市场教育)"
+DIRECT_DEMAND = r"(?i)(?:customer|consumer|user|review|feedback|survey|question|complaint|frequently asked|消费者|用户|买家|评论|反馈|调研|问答|常见问题|投诉|困扰|需求)"
 NUMBER = r"\d+(?:\.\d+)?%?"
 TERM = r"[a-z][a-z0-9-]{3,}|\p{IsHan}{2,}"
 

@@ -259,10 +259,48 @@ def axis_coverage(axes: DataFrame, keys: DataFrame) -> DataFrame:
     return j.groupBy("axis").agg(F.count("hit").alias("covered"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("item")))).alias("uncovered"))
 
 
-def coverage_gate(counts: DataFrame, requirements: DataFrame) -> DataFrame:
-    """(requirement, found, least, status): counts (requirement, found) against minima (requirement, least)."""
-    j = requirements.join(counts, "requirement", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return j.withColumn("status", F.when(F.col("found") >= F.col("least"), "pass").otherwise("gap"))
+# Relationships of samples and axes in the order in which gaps are told, and the gates' statuses.
+RELATIONSHIPS = ["direct_competitor", "supply_chain_actor", "channel_actor", "content_actor", "business_model_analogy"]
+GAP_AXES = ["taxonomy", "value_chain", "price_tier", "channel", "consumer_need", "business_model"]
+GATED_AXES = ["price_tier", "channel", "business_model"]
+BLOCKED = "blocked_insufficient_coverage"
+GATE_PASSED = "抽样覆盖门已通过，但所有样本仍需在 module_research 采集 evidence。"
+GATE_BLOCKED = "代表性覆盖不足，禁止进入 module_research 和综合判断。"
+
+
+def coverage_gate(samples: DataFrame, assignments: DataFrame, axes: DataFrame, minimums: DataFrame, *, least_each: int) -> DataFrame:
+    """(requirement, found, least, status) of the selected samples.
+
+    ``samples``: (sample, relationship); ``assignments``: (sample, axis, item), populations as axis ``population``; ``axes``: (axis, item),
+    the plan's items; ``minimums``: (requirement, least). Requirement ``taxonomy`` counts the taxonomy's items that
+    ``least_each`` samples have, and asks for all; an axis counts its known items that a sample has, ``population`` all that samples
+    name, a relationship its samples. What has no minimum is asked for 0.
+    """
+    mine = assignments.join(samples.select("sample").distinct().hint("merge"), "sample", "left_semi").distinct()
+    each = mine.groupBy("axis", "item").agg(F.count("*").alias("n"))
+    known = axes.distinct().join(each.hint("merge"), ["axis", "item"], "left").na.fill(0, ["n"])
+    enough = F.col("n") >= F.when(F.col("axis") == "taxonomy", least_each).otherwise(1)
+    per = known.where(F.col("axis").isin("taxonomy", *GATED_AXES)).groupBy(F.col("axis").alias("requirement")).agg(F.count_if(enough).alias("found"), F.count("*").alias("of"))
+    people = each.where("axis = 'population'").select(F.lit("population").alias("requirement"), F.lit(1).alias("one")).groupBy("requirement").agg(F.count("*").alias("found"), F.count("*").alias("of"))
+    kinds = samples.dropDuplicates(["sample"]).groupBy(F.col("relationship").alias("requirement")).agg(F.count("*").alias("found"), F.count("*").alias("of"))
+    asked = samples.sparkSession.createDataFrame([(n, r) for n, r in enumerate(["taxonomy", *GATED_AXES, "population", *RELATIONSHIPS])], "place int, requirement string")
+    j = asked.join(per.unionByName(people).unionByName(kinds).hint("merge"), "requirement", "left").join(minimums, "requirement", "left").na.fill(0, ["found", "of", "least"])
+    least = F.when(F.col("requirement") == "taxonomy", F.col("of")).otherwise(F.col("least").cast("long"))
+    return j.select("place", "requirement", "found", least.alias("least")).withColumn("status", F.when(F.col("found") >= F.col("least"), "pass").otherwise(BLOCKED))
+
+
+def gate_gaps(gate: DataFrame, samples: DataFrame, assignments: DataFrame, axes: DataFrame) -> DataFrame:
+    """(phase, place, item, gap): one line if all of ``gate`` passes; else a line that says so, the plan's items that no sample has, and relationships below their minimum."""
+    verdict = gate.agg(F.bool_and(F.col("status") == "pass").alias("_ok"))
+    head = verdict.select(F.lit(0).alias("phase"), F.lit(0).alias("place"), F.lit("").alias("item"), F.when(F.col("_ok"), GATE_PASSED).otherwise(GATE_BLOCKED).alias("gap"), "_ok")
+    mine = assignments.join(samples.select("sample").distinct().hint("merge"), "sample", "left_semi").select("axis", "item").distinct()
+    left = axes.distinct().where(F.col("axis").isin(*GAP_AXES)).join(mine.hint("merge"), ["axis", "item"], "left_anti")
+    at = F.array_position(F.array(*map(F.lit, GAP_AXES)), F.col("axis")).cast("int")
+    left = left.select(F.lit(1).alias("phase"), at.alias("place"), F.col("item").cast("string").alias("item"), F.concat(F.lit("uncovered_axis_item:"), F.col("item").cast("string")).alias("gap"))
+    short = gate.where(F.col("requirement").isin(*RELATIONSHIPS) & (F.col("status") != "pass"))
+    short = short.select(F.lit(2).alias("phase"), "place", F.lit("").alias("item"), F.concat(F.lit("relationship_minimum:"), "requirement", F.lit(":"), F.col("found").cast("string"), F.lit("/"), F.col("least").cast("string")).alias("gap"))
+    rest = left.unionByName(short).join(F.broadcast(verdict), ~F.col("_ok"))  # one row
+    return head.unionByName(rest).drop("_ok")
 
 
 def next_roles(tasks: DataFrame, collected: DataFrame, *, most: int = 8) -> DataFrame:

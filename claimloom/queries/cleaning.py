@@ -35,6 +35,16 @@ SQL_REASON = f"""CASE WHEN regexp_matches(line, {sql_text(C.SKIP_LINE)}) THEN 'n
  WHEN (length(line) <= {C.SOCIAL_MOST} AND {' + '.join(f"CAST(contains(lower(line), '{n}') AS INTEGER)" for n in C.SOCIAL_NAMES)} >= 3) OR (length(line) <= {C.COPYRIGHT_MOST} AND regexp_matches(line, {sql_text(C.COPYRIGHT_LINE)})) THEN 'footer' END"""
 
 
+# The same blocks without look-ahead: white space is written twice, so that an arrow can take the blank which the next one needs.
+_ONCE, _ARROW = "\x01", "\x02"
+SQL_BLOCKS = [
+    (r"(\s)", rf"\1{_ONCE}\1"), (r"(?m)(?:^|\s)--?>(\s|$)", rf"{_ARROW}\1"), (rf"\s{_ONCE}{_ARROW}", _ARROW), (rf"{_ARROW}(\s?){_ONCE}", rf"{_ARROW}\1"), (rf"(\s){_ONCE}\s", r"\1"), (_ARROW, "\n"),
+    C.KNOWN_BLOCKS[1],
+    (r"(?i)尊敬的用户[：:][\s\S]{0,300}?《[^》]*个人信息保护政策》[\s\S]{0,600}?[\s\S]{0,600}?(?:确定|同意)(\s*(?:首页|产品|服务|我的|$))", r" \1"),
+    *C.KNOWN_BLOCKS[3:],
+]
+
+
 def sql_line_table(columns: str, column: str, table: str) -> str:
     return f"(SELECT {columns}, pos - 1 AS pos, ls[pos] AS line FROM (SELECT {columns}, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT {columns}, {sql_lines(column)} AS ls FROM {table}) a) b)"
 
@@ -61,15 +71,22 @@ def c4(t):
     return t("documents").select("doc_id", F.md5(F.array_join(c, "\n")).alias("digest"), F.size(c).cast("long").alias("n_lines"))
 
 
+# known blocks are planted in some pages
+NOISE = "Eins --> --> zwei\n--> drei -> vier\n方太隐私声明 a\nb 请勾选方太隐私协议 fünf\n尊敬的用户：您好《某个人信息保护政策》请阅读 同意 首页 sechs\nThis page has been blocked by an extension x ERR_BLOCKED_BY_CLIENT sieben Shop NowShop Now\nOne-time Discount Get up to 20% off + Free Shipping now\nacht\n"
+TAILS = ["\nwww.a-b.example # www.a.example is blocked for you", "\n产品搜索 首页 资生堂日本 官方产品介绍网站 a\nb © Shiseido all"]
+_NOISY = f"(SELECT page_id, CASE WHEN page_id % 9 = 0 THEN {sql_text(NOISE)} ELSE '' END || {sql_steps('html', C.HTML_STEPS)} || CASE page_id % 9 WHEN 1 THEN {sql_text(TAILS[0])} WHEN 2 THEN {sql_text(TAILS[1])} ELSE '' END AS h FROM pages)"
+
+
 @query(
     "c5_drop_noise_lines",
-    f"""WITH l AS (SELECT *, {SQL_REASON} AS reason FROM {sql_line_table('page_id', sql_steps('h', C.KNOWN_BLOCKS), f"(SELECT page_id, {sql_steps('html', C.HTML_STEPS)} AS h FROM pages)")} x)
+    f"""WITH l AS (SELECT *, {SQL_REASON} AS reason FROM {sql_line_table('page_id', sql_steps('h', SQL_BLOCKS), _NOISY)} x)
 SELECT p.page_id, coalesce(md5(string_agg(CASE WHEN reason IS NULL THEN line END, chr(10) ORDER BY pos)), md5('')) AS digest, count(reason) AS removed
 FROM pages p LEFT JOIN l ON l.page_id = p.page_id GROUP BY p.page_id""",
 )
 def c5(t):
-    source = t("pages").select("page_id", T.replace_all(F.col("html"), C._java(C.HTML_STEPS)).alias("text"))
-    return C.drop_noise_lines(source, id_col="page_id").select("page_id", F.md5("text").alias("digest"), F.size("removed").cast("long").alias("removed"))
+    n = F.col("page_id") % 9
+    text = F.concat(F.when(n == 0, NOISE).otherwise(""), T.replace_all(F.col("html"), C._java(C.HTML_STEPS)), F.when(n == 1, TAILS[0]).when(n == 2, TAILS[1]).otherwise(""))
+    return C.drop_noise_lines(t("pages").select("page_id", text.alias("text")), id_col="page_id").select("page_id", F.md5("text").alias("digest"), F.size("removed").cast("long").alias("removed"))
 
 
 @query(

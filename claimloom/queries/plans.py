@@ -9,6 +9,7 @@ from claimloom.functions.text import SPACE
 from claimloom.plans import coverage as P
 from claimloom.plans import waves as W
 from claimloom.queries import query
+from claimloom.queries.cleaning import sql_text
 from claimloom.queries.urls import SQL_CAND, sql_canonical, sql_kind, sql_public, with_url
 from claimloom.sources.scratch import cut, hinted
 
@@ -185,12 +186,42 @@ def p13(t):
     return P.axis_coverage(axes, keys).withColumn("uncovered", F.array_join("uncovered", ","))
 
 
-@query("p14_coverage_gate", f"WITH k AS (SELECT 'type:' || item AS requirement, count(*) AS found FROM (SELECT sample, unnest(taxonomy) AS item FROM {_SAMPLES} x) q GROUP BY ALL UNION ALL SELECT 'relationship:' || relationship, count(*) FROM {_SAMPLES} x GROUP BY ALL), r AS (SELECT DISTINCT 'type:' || p_type AS requirement, 20 AS least FROM part UNION ALL SELECT 'relationship:' || relationship, 30 FROM {_SAMPLES} x GROUP BY ALL) SELECT r.requirement, coalesce(found, 0) AS found, least, CASE WHEN coalesce(found, 0) >= least THEN 'pass' ELSE 'gap' END AS status FROM r LEFT JOIN k ON k.requirement = r.requirement")
+def gate_inputs(t):
+    k = F.col("s_suppkey")
+    own = t("supplier").where("s_suppkey % 5 <> 4").select(k.alias("sample"), F.element_at(F.array(*map(F.lit, P.RELATIONSHIPS)), (k % 4 + 1).cast("int")).alias("relationship"))
+    li = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), i.alias("item")) for a, i in (("taxonomy", F.col("p_type")), ("price_tier", F.concat(F.lit("t"), F.col("p_size") % 6)), ("channel", F.col("p_brand")), ("population", F.col("l_returnflag")))))).alias("x")
+    assigned = li.select(F.col("l_suppkey").alias("sample"), pairs).select("sample", "x.*").distinct()
+    item = lambda axis, c: t("part").select(F.lit(axis).alias("axis"), c.alias("item")).distinct()
+    axes = item("taxonomy", F.col("p_type")).unionByName(item("price_tier", F.concat(F.lit("t"), F.col("p_size") % 7))).unionByName(item("channel", F.col("p_brand"))).unionByName(item("value_chain", F.concat(F.lit("v"), F.col("p_size") % 3)))
+    least = t("region").limit(1).select(F.explode(F.create_map(*(F.lit(x) for kv in LEAST.items() for x in kv))).alias("requirement", "least"))
+    return own, assigned, axes, least
+
+
+LEAST = {"price_tier": 6, "channel": 3, "business_model": 1, "population": 3, "direct_competitor": 2, "supply_chain_actor": 1, "channel_actor": 5000, "business_model_analogy": 1}
+_OWN = f"own AS (SELECT s_suppkey AS sample, list_extract({P.RELATIONSHIPS}, CAST(s_suppkey % 4 + 1 AS INTEGER)) AS relationship FROM supplier WHERE s_suppkey % 5 <> 4)"
+_GATE = f"""{_OWN}, a AS (SELECT DISTINCT l_suppkey AS sample, unnest(['taxonomy', 'price_tier', 'channel', 'population']) AS axis, unnest([p_type, 't' || (p_size % 6), p_brand, l_returnflag]) AS item FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey IN (SELECT sample FROM own)),
+axes AS (SELECT DISTINCT unnest(['taxonomy', 'price_tier', 'channel', 'value_chain']) AS axis, unnest([p_type, 't' || (p_size % 7), p_brand, 'v' || (p_size % 3)]) AS item FROM part),
+n AS (SELECT axes.axis, axes.item, count(a.sample) AS n FROM axes LEFT JOIN a ON a.axis = axes.axis AND a.item = axes.item GROUP BY ALL),
+least AS (SELECT unnest({list(LEAST)}) AS requirement, unnest({list(LEAST.values())}) AS least),
+gate AS (SELECT *, CASE WHEN found >= least THEN 'pass' ELSE 'blocked_insufficient_coverage' END AS status FROM (SELECT place, r.requirement, CASE WHEN place = 0 THEN (SELECT count(*) FROM n WHERE axis = 'taxonomy' AND n >= 20) WHEN place < 4 THEN (SELECT count(*) FROM n WHERE axis = r.requirement AND n > 0) WHEN place = 4 THEN (SELECT count(DISTINCT item) FROM a WHERE axis = 'population') ELSE (SELECT count(*) FROM own WHERE relationship = r.requirement) END AS found,
+ CASE WHEN place = 0 THEN (SELECT count(*) FROM n WHERE axis = 'taxonomy') ELSE coalesce(least, 0) END AS least FROM (SELECT unnest({[*range(10)]}) AS place, unnest({['taxonomy', *P.GATED_AXES, 'population', *P.RELATIONSHIPS]}) AS requirement) r LEFT JOIN least l ON l.requirement = r.requirement) q)"""
+
+
+@query("p14_coverage_gate", f"WITH {_GATE} SELECT requirement, found, least, status FROM gate")
 def p14(t):
-    s = samples(t)
-    counts = s.select(F.explode("taxonomy").alias("i")).groupBy(F.concat(F.lit("type:"), "i").alias("requirement")).agg(F.count("*").alias("found")).unionByName(s.groupBy(F.concat(F.lit("relationship:"), "relationship").alias("requirement")).agg(F.count("*").alias("found")))
-    needs = t("part").select(F.concat(F.lit("type:"), "p_type").alias("requirement")).distinct().withColumn("least", F.lit(20)).unionByName(s.select(F.concat(F.lit("relationship:"), "relationship").alias("requirement")).distinct().withColumn("least", F.lit(30)))
-    return P.coverage_gate(counts, needs)
+    own, assigned, axes, least = gate_inputs(t)
+    return P.coverage_gate(own, assigned, axes, least, least_each=20).drop("place")
+
+
+@query(
+    "p14_gate_gaps",
+    f"""WITH {_GATE} SELECT 0 AS phase, CASE WHEN bool_and(status = 'pass') THEN {sql_text(P.GATE_PASSED)} ELSE {sql_text(P.GATE_BLOCKED)} END AS gap FROM gate UNION ALL SELECT 1, 'uncovered_axis_item:' || item FROM n WHERE n = 0 AND EXISTS (SELECT 1 FROM gate WHERE status <> 'pass')
+UNION ALL SELECT 2, 'relationship_minimum:' || requirement || ':' || found || '/' || least FROM gate WHERE place > 4 AND status <> 'pass'""",
+)
+def p14_gaps(t):
+    own, assigned, axes, least = gate_inputs(t)
+    return P.gate_gaps(cut(P.coverage_gate(own, assigned, axes, least, least_each=20), "gate"), own, assigned, axes).select("phase", "gap")
 
 
 TERMS, CONFLICTS = ["tion", "k e i t", "Ment"], ["ung", "eau", "es/9"]
