@@ -51,3 +51,28 @@ def test_gate_gaps_in_order(spark):
 def test_gate_of_nothing(spark):
     rows, gaps = gate(spark, [], [], [], [])
     assert len(rows) == 10 and all(r == (0, 0, "pass") for r in rows.values()) and gaps == [P.GATE_PASSED]
+
+
+def test_store_audit_and_summary(spark):
+    from claimloom.operators import snapshots as V
+
+    first = V.version_chain(V.content_address(spark.createDataFrame([(n, f"https://a.com/{n % 2}", f"text {n}") for n in range(4)], "captured_at int, url string, content string")))
+    store = first.withColumns({"place": F.col("captured_at"), "run": F.lit("r"), "requests": F.lit(1), "credits": F.lit(1), "cost": F.lit(0.5)})
+    assert V.verify_store(store).count() == 0
+    copy = store.where("place = 2").withColumn("snapshot_id", F.lit("zz"))
+    got = {(r.snapshot_id, r.violation) for r in V.verify_store(store.unionByName(copy)).collect()}
+    assert got == {("zz", "id"), ("zz", "content_duplicate")}
+    twice = {r.violation for r in V.verify_store(store.unionByName(store.where("place = 2"))).collect()}
+    assert twice == {"duplicate", "content_duplicate"}
+
+    events = store.select("place", "snapshot_id", "url", "requests", F.when(F.col("supersedes").isNull(), "stored_new_document").otherwise("stored_new_version").alias("action"))
+    check = lambda e, s=store: {(r.place, r.violation) for r in V.verify_audit(s, e, same=["url"], usage=["requests"]).collect()}
+    assert check(events) == set()
+    assert check(events.where("place <> 1")) == {(1, "count")} and check(events, store.where("place <> 1")) == {(1, "count")}
+    for column, value in {"snapshot_id": F.lit("x"), "url": F.lit(None).cast("string"), "requests": F.lit(-1), "action": F.lit("other")}.items():
+        assert check(events.withColumn(column, F.when(F.col("place") == 3, value).otherwise(F.col(column)))) == {(3, "audit")}
+
+    fresh = V.store_summary(store, run="run")
+    assert V.verify_summary(fresh, fresh, run="run").count() == 0
+    assert V.verify_summary(fresh.withColumn("versions", F.col("versions") + 1), fresh, run="run").count() == 1
+    assert V.verify_summary(fresh.limit(0), fresh, run="run").count() == 1
