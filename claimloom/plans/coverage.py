@@ -362,6 +362,20 @@ def fill_targets(rows: DataFrame, *, cap: int = 8) -> DataFrame:
     return tasks.unionByName(kept).groupBy("run").applyInPandas(choose, "run string, place int, candidate long, task long")
 
 
+def fresh_candidates(candidates: DataFrame, known: DataFrame, *, run: str = "run", url_col: str = "url", order: str = "ord") -> DataFrame:
+    """``candidates`` of each run without those whose canonical URL another one before has, or a document of the run before (``known``: run, url).
+
+    A URL without a canonical form counts as itself among candidates; it is known if the run before has any such URL.
+    Equal places are told apart by URL. Rows of a URL are combined before the shuffle, so a URL may have any number of them.
+    """
+    canonical = U.canonical(F.col(url_col))
+    columns = candidates.columns
+    first = candidates.withColumn("_key", F.coalesce(canonical, F.col(url_col))).groupBy(run, "_key").agg(F.min_by(F.struct(*columns), F.struct(order, url_col)).alias("_c"))
+    one = first.select("_c.*").withColumn("_key", F.coalesce(canonical, F.lit("")))
+    seen = known.select(run, F.coalesce(U.canonical(F.col("url")), F.lit("")).alias("_key")).distinct()
+    return one.join(seen.hint("merge"), [run, "_key"], "left_anti").select(*columns)
+
+
 def balance_tasks(rows: DataFrame, *, cap: int = 24) -> DataFrame:
     """(run, candidate, task) from (run, ord, candidate, task, priority, load): each candidate goes to its least loaded compatible task
     (then priority, id), candidates in order, at most ``cap`` a run. ``load`` is what the task has from before. A run is one group, of its

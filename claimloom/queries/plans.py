@@ -317,6 +317,16 @@ def p24(t):
     return P.fill_targets(c.unionByName(todo))
 
 
+_FRESH = f"(SELECT page_id, run, c FROM (SELECT page_id, page_id % 3 AS run, {sql_canonical('url')} AS c, row_number() OVER (PARTITION BY page_id % 3, coalesce({sql_canonical('url')}, url) ORDER BY page_id) AS k FROM pages) x WHERE k = 1)"
+
+
+@query("p25_fresh_candidates", f"SELECT page_id, run FROM {_FRESH} f WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 5 = 0 AND p.page_id % 2 = f.run AND coalesce({sql_canonical('p.url')}, '') = coalesce(f.c, ''))")
+def p25_fresh(t):
+    c = t("pages").select("page_id", (F.col("page_id") % 3).alias("run"), F.col("page_id").alias("ord"), "url")
+    # a fifth of the pages is what two of the runs have from before
+    return P.fresh_candidates(c, t("pages").where("page_id % 5 = 0").select((F.col("page_id") % 2).alias("run"), "url")).select("page_id", "run")
+
+
 @query("p25_balance_tasks")
 def p25(t):
     c = assessed(t).where("status = 'eligible'").select(F.col("plan").cast("string").alias("run"), F.col("ord").cast("long"), F.col("candidate").cast("long"), (F.col("role") % 5).alias("module"))

@@ -76,3 +76,12 @@ def test_store_audit_and_summary(spark):
     assert V.verify_summary(fresh, fresh, run="run").count() == 0
     assert V.verify_summary(fresh.withColumn("versions", F.col("versions") + 1), fresh, run="run").count() == 1
     assert V.verify_summary(fresh.limit(0), fresh, run="run").count() == 1
+
+
+def test_fresh_candidates(spark):
+    rows = [("r", 1, "https://a.com/x"), ("r", 2, "https://A.com/x#top"), ("r", 3, "https://a.com/y"), ("r", 4, "no url"), ("r", 5, "no url"), ("q", 1, "https://a.com/y"), ("q", 2, None), ("q", 3, None)]
+    c = spark.createDataFrame(rows, "run string, ord int, url string")
+    fresh = lambda known: sorted((r.run, r.ord) for r in P.fresh_candidates(c, spark.createDataFrame(known, "run string, url string")).collect())
+    assert fresh([]) == [("q", 1), ("q", 2), ("r", 1), ("r", 3), ("r", 4)]
+    assert fresh([("r", "https://a.com/y#z"), ("q", "https://a.com/z")]) == [("q", 1), ("q", 2), ("r", 1), ("r", 4)]
+    assert fresh([("r", "also none")]) == [("q", 1), ("q", 2), ("r", 1), ("r", 3)]
