@@ -329,7 +329,9 @@ def p25_fresh(t):
 
 @query("p25_balance_tasks")
 def p25(t):
-    c = assessed(t).where("status = 'eligible'").select(F.col("plan").cast("string").alias("run"), F.col("ord").cast("long"), F.col("candidate").cast("long"), (F.col("role") % 5).alias("module"))
+    c = assessed(t).where("status = 'eligible'").select(F.col("plan").cast("string").alias("run"), F.col("ord").cast("long"), F.col("candidate").cast("long"), (F.col("role") % 5).alias("module"), "url")
+    # URLs of every twelfth candidate are what the run before has
+    c = P.fresh_candidates(c, c.where("candidate % 12 = 0").select("run", "url")).drop("url")
     load = t("orders").groupBy((F.col("o_custkey") % 25).alias("task")).agg((F.count("*") % 4).cast("long").alias("load"))
     todo = t("nation").select(F.col("n_nationkey").cast("long").alias("task"), F.col("n_regionkey").alias("module"), F.when(F.col("n_nationkey") % 3 == 0, "critical").otherwise("high").alias("priority")).join(load, "task")
     return P.balance_tasks(c.join(hinted(todo), "module").select("run", "ord", "candidate", "task", "priority", "load"))
