@@ -14,6 +14,27 @@ KINDS = ["market_fact", "product_fact", "user_fact", "channel_fact", "content_fa
 STATUSES = ["eligible", "blocked"]
 CERTAINTY = r"(?i)(\bguaranteed\b|\bcertainly\b|\bundoubtedly\b|\bno doubt\b|必然|毫无疑问|一定会)"
 MAX_LINE, MAX_DEPTH, MAX_BLANK = 220, 3, 2
+MODULES = ["market_landscape", "business_model_and_supply_chain", "ecommerce_competitor_research", "consumer_demand", "content_and_traffic", "regulation_and_standards"]
+#: Chapters in order: id, title, modules whose claims they take.
+CHAPTERS = [
+    ("scope", "研究范围、定义和证据边界", []),
+    ("taxonomy", "子市场与分类体系", ["market_landscape"]),
+    ("value-chain", "产业链和商业模式", ["business_model_and_supply_chain"]),
+    ("market", "市场规模、增速和渠道结构", ["market_landscape"]),
+    ("competition", "竞争格局与品牌集群", ["ecommerce_competitor_research"]),
+    ("product-price", "产品、功效和价格带", ["ecommerce_competitor_research"]),
+    ("consumer", "消费者人群、需求和痛点", ["consumer_demand"]),
+    ("content-traffic", "搜索关键词、内容与流量生态", ["content_and_traffic"]),
+    ("regulation-trends", "监管、技术、成分和趋势", ["regulation_and_standards", "content_and_traffic"]),
+    ("opportunities", "可执行机会假设", []),
+    ("counterexamples-gaps", "反例、证据缺口和待验证问题", []),
+    ("knowledge-map", "知识地图与持续监控计划", []),
+]
+CONTEXT_ONLY = ["scope", "counterexamples-gaps", "knowledge-map"]
+
+
+def _number(chapter: str) -> int:
+    return 1 + [i for i, _, _ in CHAPTERS].index(chapter)
 
 
 def direct_ledger(claims: DataFrame, coverage: DataFrame, modules: DataFrame) -> DataFrame:
@@ -72,14 +93,52 @@ def knowledge_nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree")).withColumn("type", F.substring_index("node", ":", 1))
 
 
-def chapters(ledger: DataFrame, layout: DataFrame) -> DataFrame:
-    """(chapter, claims, status): chapters take the claims of their modules; a chapter without claims is empty, with only blocked ones blocked.
+def _chapters_of(modules):
+    """The chapters that take claims of any of these modules, each once."""
+    taking = {m: [k for k, (_, _, own) in enumerate(CHAPTERS, 1) if m in own] for m in MODULES}
+    of = F.create_map(*(x for m, ks in taking.items() for x in (F.lit(m), F.array(*map(F.lit, ks)))))
+    return F.array_distinct(F.flatten(F.transform(modules, lambda m: F.coalesce(F.try_element_at(of, m), F.array().cast("array<int>")))))
 
-    ``layout``: (chapter, module) is a small dimension; every chapter is there.
+
+def chapter_items(entries: DataFrame, modules: DataFrame, rows: DataFrame, *, plan: str = "plan") -> DataFrame:
+    """(plan, chapter, kind, item), distinct: the claims, coverage rows and gaps of each of the twelve chapters, as rows.
+
+    A chapter takes the claims of its modules, and rows and gaps of the modules themselves. The chapter of opportunities takes
+    the claims that are opportunities, that of counterexamples those that are blocked, have a gap or are contradicted;
+    scope and knowledge map have none. A taken claim brings its gaps. A claim may have many modules, and be in several chapters.
+    ``entries``: (plan, claim, modules, status, opportunity, gaps, counter), counter being a number of contradicting evidence;
+    ``modules``: (plan, module, status, gaps); ``rows``: (plan, module, row_id). Null lists are empty, null flags false;
+    null claims, rows and gaps are no items. Nothing is gathered by chapter, so a chapter may have any number of items.
+    """
+    texts = F.array().cast("array<string>")
+    e = entries.withColumns({"gaps": F.coalesce("gaps", texts), "modules": F.coalesce("modules", texts)})
+    doubtful = F.coalesce(F.col("status") == "blocked", F.lit(False)) | (F.size("gaps") > 0) | F.coalesce(F.col("counter") > 0, F.lit(False))
+    taken = F.array_compact(F.concat(_chapters_of(F.col("modules")), F.array(F.when(F.coalesce("opportunity", F.lit(False)), _number("opportunities")), F.when(doubtful, _number("counterexamples-gaps")))))
+    named = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("item"))
+    gaps = F.transform(F.coalesce("gaps", texts), lambda g: named("gap", g))
+    e = e.select(plan, F.concat(F.array(named("claim", F.col("claim"))), gaps).alias("items"), taken.alias("chapters"))
+    m = modules.select(plan, gaps.alias("items"), _chapters_of(F.array("module")).alias("chapters"))
+    r = rows.select(plan, F.array(named("coverage_row", F.col("row_id"))).alias("items"), _chapters_of(F.array("module")).alias("chapters"))
+    taking = e.unionByName(m).unionByName(r).withColumn("chapter", F.explode("chapters"))
+    return taking.select(plan, "chapter", F.inline("items")).where("item is not null").distinct()
+
+
+def chapters(entries: DataFrame, modules: DataFrame, rows: DataFrame, *, plan: str = "plan") -> DataFrame:
+    """(plan, chapter, id, title, status, claims, coverage_rows, gaps): twelve rows a plan, with numbers of ``chapter_items``.
+
+    Scope, counterexamples and knowledge map are context_only; opportunities are complete if one that isn't blocked exists; any
+    other chapter is complete if the plan has all of its modules and all are complete. Plans are those of any input.
     """
-    j = layout.join(ledger.select("module", "claim", "status"), "module", "left")
-    g = j.groupBy("chapter").agg(F.array_sort(F.collect_set("claim")).alias("claims"), F.count_if(F.col("status") == "eligible").alias("ok"))
-    return g.select("chapter", "claims", F.when(F.size("claims") == 0, "empty").when(F.col("ok") == 0, "blocked").otherwise("ready").alias("status"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("chapter"), F.lit(i).alias("id"), F.lit(t).alias("title"), F.array(*map(F.lit, own)).cast("array<string>").alias("own")) for k, (i, t, own) in enumerate(CHAPTERS, 1))))
+    complete = modules.groupBy(plan).agg(F.collect_set(F.when((F.col("status") == "complete") & F.col("module").isin(MODULES), F.col("module"))).alias("done"))
+    open_ = F.coalesce(F.col("opportunity") & ~F.coalesce(F.col("status") == "blocked", F.lit(False)), F.lit(False))
+    chances = entries.groupBy(plan).agg(F.coalesce(F.max(open_), F.lit(False)).alias("chance"))
+    counts = chapter_items(entries, modules, rows, plan=plan).groupBy(plan, "chapter").agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("claim", "claims"), ("coverage_row", "coverage_rows"), ("gap", "gaps"))))
+    plans = complete.select(plan).unionByName(chances.select(plan)).unionByName(rows.select(plan)).distinct()
+    j = plans.join(complete.hint("merge"), plan, "left").join(chances.hint("merge"), plan, "left").withColumn("_c", each).select(plan, "done", "chance", "_c.*").join(counts.hint("merge"), [plan, "chapter"], "left")
+    full = F.forall("own", lambda m: F.coalesce(F.array_contains("done", m), F.lit(False)))
+    status = F.when(F.col("id").isin(CONTEXT_ONLY), "context_only").when(F.when(F.col("id") == "opportunities", F.coalesce("chance", F.lit(False))).otherwise(full), "complete").otherwise("blocked")
+    return j.select(plan, "chapter", "id", "title", status.alias("status"), *(F.coalesce(n, F.lit(0)).alias(n) for n in ("claims", "coverage_rows", "gaps")))
 
 
 def report_lines(chapter_claims: DataFrame, *, run: str) -> DataFrame:

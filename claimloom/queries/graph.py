@@ -94,9 +94,52 @@ def layout(t):
 _LAYOUT = "(SELECT DISTINCT n_nationkey % 12 AS chapter, n_regionkey + CASE WHEN n_nationkey % 12 = 11 THEN 100 ELSE 0 END AS module FROM nation)"
 
 
-@query("g5_chapters", f"SELECT chapter, count(DISTINCT claim) AS claims, CASE WHEN count(claim) = 0 THEN 'empty' WHEN count(*) FILTER (status = 'eligible') = 0 THEN 'blocked' ELSE 'ready' END AS status FROM {_LAYOUT} y LEFT JOIN {_LEDGER} l ON l.module = y.module GROUP BY chapter")
+def entries(t):
+    """Orders as claims of one or two modules; what was returned of an order contradicts it, each line of high tax is a gap."""
+    key, n = F.col("o_orderkey"), F.col("o_custkey")
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("counter"), F.array_compact(F.collect_set(F.when(F.col("l_tax") > 0.07, F.concat(F.lit("line-"), "l_linenumber")))).alias("gaps"))
+    module = lambda k: F.element_at(F.array(*map(F.lit, G.MODULES)), (k + 1).cast("int"))
+    o = t("orders").select(F.col("o_orderpriority").alias("plan"), key.alias("claim"), F.array_distinct(F.array(module(n % 6), module(key % 5))).alias("modules"), F.when(F.col("o_orderstatus") == "P", "blocked").otherwise("eligible").alias("status"), (key % 11 == 0).alias("opportunity"))
+    return o.join(lines.hint("merge"), o.claim == lines.l_orderkey, "left").drop("l_orderkey")
+
+
+def module_rows(t):
+    """Each plan's modules by year, as coverage rows; the sixth module of the first plan is missing."""
+    o = t("orders").select(F.col("o_orderpriority").alias("plan"), (F.col("o_custkey") % 6).alias("k"), F.year("o_orderdate").alias("year")).distinct()
+    o = o.where("not (k = 5 and plan like '1%')")
+    return o.select("plan", "k", F.element_at(F.array(*map(F.lit, G.MODULES)), (F.col("k") + 1).cast("int")).alias("module"), F.concat_ws("-", "k", "year").alias("row_id"))
+
+
+def module_states(t):
+    bad = (F.substring("plan", 1, 1).cast("int") + F.col("k")) % 5 == 0
+    return module_rows(t).groupBy("plan", "module", "k").agg(F.count("*").alias("n")).select("plan", "module", F.when(bad, "blocked").otherwise("complete").alias("status"), F.when(bad, F.array(F.lit("module_gap"), F.concat(F.lit("rows-"), F.col("n")))).alias("gaps"))
+
+
+_CHAPTER_NAMES = "(VALUES " + ", ".join(f"({k}, '{i}', '{name}')" for k, (i, name, _) in enumerate(G.CHAPTERS, 1)) + ") c(chapter, id, title)"
+_CHAPTER_MODULES = "(VALUES (2, 0), (3, 1), (4, 0), (5, 2), (6, 2), (7, 3), (8, 4), (9, 5), (9, 4)) x(chapter, k)"
+_ENTRIES = """(SELECT o_orderpriority AS plan, o_orderkey AS claim, o_custkey % 6 AS k1, o_orderkey % 5 AS k2, o_orderstatus = 'P' AS blocked, o_orderkey % 11 = 0 AS chance, coalesce(counter, 0) AS counter, coalesce(gaps, []) AS gaps
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS counter, list(DISTINCT 'line-' || l_linenumber) FILTER (l_tax > 0.07) AS gaps FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey)"""
+_MODULE_ROWS = "(SELECT DISTINCT o_orderpriority AS plan, o_custkey % 6 AS k, year(o_orderdate) AS y FROM orders WHERE NOT (o_custkey % 6 = 5 AND o_orderpriority LIKE '1%'))"
+_STATES = f"(SELECT plan, k, (CAST(left(plan, 1) AS INTEGER) + k) % 5 <> 0 AS done, count(*) AS n FROM {_MODULE_ROWS} r GROUP BY plan, k)"
+_CHAPTER_ITEMS = f"""(WITH e AS (SELECT * FROM {_ENTRIES} e), taken AS (SELECT plan, claim, gaps, chapter FROM e JOIN {_CHAPTER_MODULES} ON k = k1 OR k = k2 UNION ALL SELECT plan, claim, gaps, 10 FROM e WHERE chance UNION ALL SELECT plan, claim, gaps, 11 FROM e WHERE blocked OR len(gaps) > 0 OR counter > 0)
+SELECT plan, chapter, 'claim' AS kind, CAST(claim AS VARCHAR) AS item FROM taken UNION SELECT plan, chapter, 'gap', unnest(gaps) FROM taken UNION SELECT plan, chapter, 'coverage_row', r.k || '-' || y FROM {_MODULE_ROWS} r JOIN {_CHAPTER_MODULES} ON x.k = r.k
+UNION SELECT plan, chapter, 'gap', unnest(['module_gap', 'rows-' || n]) FROM {_STATES} s JOIN {_CHAPTER_MODULES} ON x.k = s.k WHERE NOT done)"""
+
+
+@query("g5_chapter_items", f"SELECT * FROM {_CHAPTER_ITEMS} i")
+def g5_items(t):
+    return G.chapter_items(entries(t), module_states(t), module_rows(t))
+
+
+@query(
+    "g5_chapters",
+    f"""WITH i AS (SELECT plan, chapter, count(*) FILTER (kind = 'claim') AS claims, count(*) FILTER (kind = 'coverage_row') AS coverage_rows, count(*) FILTER (kind = 'gap') AS gaps FROM {_CHAPTER_ITEMS} i GROUP BY ALL)
+SELECT p.plan, c.chapter, c.id, c.title, coalesce(claims, 0) AS claims, coalesce(coverage_rows, 0) AS coverage_rows, coalesce(gaps, 0) AS gaps, CASE WHEN c.chapter IN (1, 11, 12) THEN 'context_only' WHEN c.chapter = 10 THEN CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = p.plan AND o_orderkey % 11 = 0 AND o_orderstatus <> 'P') THEN 'complete' ELSE 'blocked' END
+ WHEN (SELECT count(*) FROM {_CHAPTER_MODULES} WHERE x.chapter = c.chapter) = (SELECT count(*) FROM {_CHAPTER_MODULES} JOIN {_STATES} s ON s.k = x.k AND s.done WHERE x.chapter = c.chapter AND s.plan = p.plan) THEN 'complete' ELSE 'blocked' END AS status
+FROM (SELECT DISTINCT o_orderpriority AS plan FROM orders) p, {_CHAPTER_NAMES} LEFT JOIN i ON i.plan = p.plan AND i.chapter = c.chapter""",
+)
 def g5(t):
-    return G.chapters(ledger(t), layout(t)).withColumn("claims", F.size("claims").cast("long"))
+    return G.chapters(entries(t), module_states(t), module_rows(t))
 
 
 @query("g6_report_lines", f"SELECT l.status AS run, chapter, claim, '[' || chapter || '] ' || array_to_string(gaps, ',') || ' (' || claim || ')' AS line FROM {_LAYOUT} y JOIN {_LEDGER} l ON l.module = y.module")
