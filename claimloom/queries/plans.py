@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import urls as U
 from claimloom.functions.text import SPACE
 from claimloom.plans import coverage as P
+from claimloom.plans import targets as N
 from claimloom.plans import waves as W
 from claimloom.queries import query
 from claimloom.queries.cleaning import sql_text
@@ -317,6 +318,18 @@ def p24(t):
     return P.fill_targets(c.unionByName(todo))
 
 
+@query("p24_targeted_wave")
+def p24_wave(t):
+    """The audit of p15 is the wave before; nations are tasks, pages are candidates."""
+    n, k = F.col("page_id"), F.col("n_nationkey")
+    roles = [*N.MARKET_ROLES, "regulator", "standards_body", "trusted_retail_channel"]
+    role = lambda c: F.element_at(F.array(*map(F.lit, roles)), (c % len(roles) + 1).cast("int"))
+    tasks = t("nation").select((k % 3).cast("long").alias("run"), k.cast("long").alias("task"), k.alias("ord"), F.when(F.col("n_regionkey") < 3, "critical").otherwise("high").alias("priority"), F.array(role(k), role(k + 3)).alias("roles"), (k % 5 + 1).alias("min_sources"), (k % 3).alias("min_roles"))
+    candidates = t("pages").select((n % 3).alias("run"), n.alias("candidate"), n.alias("ord"), "url", role(n % 17).alias("role"))
+    before = audit(t).select((F.col("task_id") % 3).alias("run"), F.col("task_id").alias("task"), "url", "role", "status")
+    return N.targeted_wave(tasks, candidates, before)
+
+
 _FRESH = f"(SELECT page_id, run, c FROM (SELECT page_id, page_id % 3 AS run, {sql_canonical('url')} AS c, row_number() OVER (PARTITION BY page_id % 3, coalesce({sql_canonical('url')}, url) ORDER BY page_id) AS k FROM pages) x WHERE k = 1)"
 
 
