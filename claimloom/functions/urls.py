@@ -40,10 +40,14 @@ def part(c: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
+def full_host(c: Column) -> Column:
+    """Lower case, without user and port; empty for what is no URL."""
+    return F.regexp_replace(F.regexp_replace(F.lower(part(F.trim(c), AUTHORITY)), r"^.*@", ""), r":\d+$", "")
+
+
 def hostname(c: Column) -> Column:
     """Lower case, without user, port and a leading www.; empty for what is no URL."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(F.trim(c), AUTHORITY)), r"^.*@", ""), r":\d+$", "")
-    return F.regexp_replace(host, r"^www\.", "")
+    return F.regexp_replace(full_host(c), r"^www\.", "")
 
 
 def path(c: Column) -> Column:

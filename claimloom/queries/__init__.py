@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("sources", "cleaning", "urls", "grading", "evidence", "review", "entities", "snapshots", "plans", "modules", "graph", "runs", "benchmark", "retrieval", "pages", "streaming"):
+for _module in ("sources", "cleaning", "urls", "grading", "evidence", "review", "entities", "databases", "snapshots", "plans", "modules", "graph", "runs", "benchmark", "retrieval", "pages", "streaming"):
     try:
         importlib.import_module(f"{__name__}.{_module}")
     except ModuleNotFoundError as e:
