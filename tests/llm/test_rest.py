@@ -61,6 +61,34 @@ def test_vectors(spark):
     assert [tuple(x) for x in more if x.vec_id is None] == [(None, 0, None, True)] * 4
 
 
+def test_vector_blocks(spark):
+    """Chains of links over many blocks and tiles; an id with two vectors; only vectors with a possible link are dealt whole."""
+    r = np.random.default_rng(5)
+    angles = np.cumsum(r.uniform(0.05, 0.19, 120))
+    rows = [(k, [math.cos(a), math.sin(a), 0.0, 0.0], 1) for k, a in enumerate(angles[:90])] + [(500 + k, [0.0, 0.0, math.cos(a), math.sin(a)], 1) for k, a in enumerate(angles[90:])]
+    rows = [rows[k] for k in r.permutation(len(rows))]
+    schema = "vec_id long, embedding array<double>, label int"
+    want = plain_links(rows, 0.98)
+    for tile in (4, 64):
+        got = embeddings.near_vectors(spark.createDataFrame(rows, schema), tile=tile).collect()
+        assert sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in got) == want
+    twice = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [0.0, 1.001], 1), (9, [0.0, 1.002], 1)]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_vectors(spark.createDataFrame(twice, schema)).collect())
+    assert got == [(7, 0, 7), (7, 2, 7), (8, 2, 7), (9, 2, 7)]
+
+
+def test_joined_places():
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(r.integers(1, 60))
+        i, j = r.integers(0, n, (2, int(r.integers(0, 60))))
+        plain = list(range(n))
+        for a, b in zip(i.tolist(), j.tolist()):
+            plain = [plain[b] if x == plain[a] else x for x in plain]
+        got = embeddings.joined_places(n, i, j)
+        assert all((got[a] == got[b]) == (plain[a] == plain[b]) for a in range(n) for b in range(n))
+
+
 def test_hot_keys(spark, monkeypatch):
     """Stars, copies and payloads that hold most rows take the broadcast path, and give the same rows."""
     from claimloom.llm import common
