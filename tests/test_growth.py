@@ -16,3 +16,22 @@ def test_evidence_of_derived_claims_is_counted_without_lists(spark):
     named, have = derived.select("claim", "support"), direct.select(F.col("claim").alias("s"), "evidence")
     plain = {tuple(r) for r in G.shared_evidence(have, named).collect()}
     assert plain and all({tuple(r) for r in G.shared_evidence(have, named, wide=w).collect()} == plain for w in (1, 3))
+
+
+def test_text_search_shuffles_no_pair_of_query_and_document(spark, monkeypatch):
+    from claimloom.operators import retrieval as R
+    from claimloom.operators.postings import Index
+    from claimloom.sources.scratch import scratch_path
+
+    monkeypatch.setattr(R, "CELLS", 600)  # tiles of some documents
+    texts = [(f"d{i}", " ".join(f"w{(i * j + j * j) % 17}" for j in range(i % 9)) + (" é,Wörter" if i % 4 == 0 else "")) for i in range(80)] + [(f"x{i}", "w1 w2 wörter") for i in range(30)] + [("n", None), ("e", "")]
+    docs = spark.createDataFrame(texts, "doc string, text string").repartition(5)
+    asked = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 19}" for j in range(i % 6)) + " WÖRTER" * (i % 2)) for i in range(25)] + [(99, None), (98, "none")], "q long, text string")
+    once = R.text_search(docs, asked, k=7, doc_id="doc", query_id="q")
+    index = Index(spark, scratch_path(spark, "index"), doc_type="string").add(docs, doc_id="doc").search(asked, k=7, query_id="q")
+    want = {tuple(r) for r in index.select("q", "doc", "score", "place").collect()}
+    assert {tuple(r) for r in once.select("q", "doc", "score", "place").collect()} == want and len(want) > 100
+    blocks = R.text_search(docs, asked, k=7, doc_id="doc", query_id="q", most=6)
+    assert {tuple(r) for r in blocks.select("q", "doc", "score", "place").collect()} == want
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
