@@ -35,3 +35,34 @@ def test_text_search_shuffles_no_pair_of_query_and_document(spark, monkeypatch):
     assert {tuple(r) for r in blocks.select("q", "doc", "score", "place").collect()} == want
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_normalised_text_is_worked_out_once_for_all_markers(spark):
+    from claimloom.functions.text import SPACE, normalize_text
+    from claimloom.operators import evidence as E
+
+    spaces = [" ", "\t", "\n", "\x0b", "\f", "\r", *(chr(i) for i in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))]
+    texts = [a + "Ab" + a + b + "c" + b + a + b for a in spaces for b in spaces] + ["", None, "Ä“x”—y", " ", "\x85 z", "\U0001f600 　"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim(F.regexp_replace(F.lower("t"), SPACE + "+", " "))
+    assert df.where(~normalize_text(F.col("t")).eqNullSafe(plain)).count() == 0
+    plan = df.select(E.must_quote(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t") <= 3  # once in each branch and in the choice of it
+    assert df.select(F.lit("Top 10, #1 of 3% SALES").alias("t")).select(E.must_quote(F.col("t"))).first()[0] == ["10", "1", "3%", "top 10", "#1 ", "sales"]
+
+
+def test_runs_of_words_and_characters(spark):
+    from claimloom.operators.containment import runs_of
+
+    texts = {1: "a b c d e", 2: "b c d x é日本 b c d", 3: "", 4: "日本 b", 5: None, 6: "c d"}
+    hays = spark.createDataFrame(list(texts.items()), "d long, hay string").coalesce(1)
+    for how in ({"words": 3}, {"words": 1}, {"chars": [2]}, {"chars": [1, 3]}):
+        split = lambda x: [x[i : i + n] for n in how.get("chars", []) for i in range(len(x) - n + 1)] if "chars" in how else [" ".join(x.split(" ")[i : i + how["words"]]) for i in range(len(x.split(" ")) - how["words"] + 1)]  # noqa: B023, E731
+        want = {(d, r) for d, x in texts.items() if x for r in split(x)}
+        got = runs_of(hays, **how).collect()
+        assert len(got) == len(set(got)) == len(want)
+        runs = {r for _, r in want}
+        assert len({r.run for r in got}) == len(runs)
+        some = runs_of(spark.createDataFrame([(9, "b c d" if "words" in how and how["words"] == 3 else "b")], "d long, hay string"), **(how if "words" in how else {"chars": [1]})).select("run")
+        kept = {tuple(r) for r in got} & {(d, r) for d in texts for r in {x[0] for x in some.collect()}}
+        assert {tuple(r) for r in runs_of(hays, wanted=some, **how).collect()} == kept == {tuple(r) for r in runs_of(hays, wanted=some, most=0, **how).collect()}
