@@ -61,7 +61,7 @@ def bullets(c: Column) -> Column:
 def snippets(c: Column) -> Column:
     """Up to eight reviews of the section of top reviews, which ends at a heading or after 40,000 characters: a title and
     the sentences of its block where reviews have headings, else single lines."""
-    section = F.split(F.regexp_extract(c, TOP_REVIEWS, 1), r"\n#{2,3}\s+")[0]
+    found = F.split(F.regexp_extract(c, TOP_REVIEWS, 1), r"\n#{2,3}\s+")[0]
     says = lambda x: ~x.rlike(REJECTED) & x.rlike(r"[.!?。！？]") & ~x.rlike(r"^!\[|^\|") & ~x.rlike(r"(?i)https?://")
     lines = lambda x: F.transform(F.split(x, r"\n{2,}|\r?\n"), clean_line)
 
@@ -72,17 +72,18 @@ def snippets(c: Column) -> Column:
         body = lambda t: F.trim(F.substring(F.array_join(F.array_distinct(F.filter(lines(block), lambda x: (F.length(x) >= 30) & (x != t) & says(x))), " "), 1, 1_000))
         return bound(title, lambda t: bound(body(t), lambda b: F.when(b != "", F.concat(t, F.lit(": "), b))))
 
-    blocks = F.filter(F.split(section, r"(?m)(?=^#####\s+.)"), lambda x: x.rlike(r"^#####\s+."))
-    plain = F.filter(lines(section), lambda x: F.length(x).between(45, 700) & says(x))
-    return F.slice(F.array_distinct(F.when(F.size(blocks) > 0, F.array_compact(F.transform(blocks, review))).otherwise(plain)), 1, 8)
+    blocks = lambda section: F.filter(F.split(section, r"(?m)(?=^#####\s+.)"), lambda x: x.rlike(r"^#####\s+."))
+    plain = lambda section: F.filter(lines(section), lambda x: F.length(x).between(45, 700) & says(x))
+    chosen = bound(found, lambda section: bound(blocks(section), lambda b: F.when(F.size(b) > 0, F.array_compact(F.transform(b, review))).otherwise(plain(section))))
+    return F.slice(F.array_distinct(chosen), 1, 8)
 
 
-def page_fields(pages: DataFrame, *, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
-    """(id, product, title, brand, price, rating, reviews, bullets, snippets, blocked, coverage): one projection; coverage is the share of seven fields that are there."""
+def page_fields(pages: DataFrame, *, id_col: str = "page_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to ``keep``, product, title, brand, price, rating, reviews, bullets, snippets, blocked, coverage): one projection; coverage is the share of seven fields that are there."""
     c = F.col(text_col)
     main = F.when(F.instr(c, ABOUT) > 1, F.substring_index(c, ABOUT, 1)).otherwise(F.substring(c, 1, 8_000))
     fields = pages.select(
-        id_col, F.upper(F.regexp_extract(c, PRODUCT_ID, 1)).alias("product"), product_title(c).alias("title"), first_match(c, BRAND).alias("brand"), first_match(main, PRICE).alias("price"),
+        id_col, *keep, F.upper(F.regexp_extract(c, PRODUCT_ID, 1)).alias("product"), product_title(c).alias("title"), first_match(c, BRAND).alias("brand"), first_match(main, PRICE).alias("price"),
         first_match(c, RATING).alias("rating"), first_match(c, REVIEWS).alias("reviews"), bullets(c).alias("bullets"), snippets(c).alias("snippets"), c.rlike(BLOCKED).alias("blocked"),
     )
     filled = sum(((F.col(k) != "").cast("int") for k in ("product", "title", "brand", "price", "rating", "reviews")), (F.size("bullets") > 0).cast("int"))

@@ -71,7 +71,8 @@ def a2(t):
 
 
 def fitted(t):
-    return A.page_fields(page_texts(t)).join(page_texts(t).select("page_id", "p_type", F.when(F.col("p_size") % 4 > 0, "direct").otherwise("adjacent").alias("fit")), "page_id")
+    pages = page_texts(t).withColumn("fit", F.when(F.col("p_size") % 4 > 0, "direct").otherwise("adjacent"))
+    return A.page_fields(pages, keep=("p_type", "fit"))
 
 
 @query(

@@ -66,3 +66,10 @@ def test_runs_of_words_and_characters(spark):
         some = runs_of(spark.createDataFrame([(9, "b c d" if "words" in how and how["words"] == 3 else "b")], "d long, hay string"), **(how if "words" in how else {"chars": [1]})).select("run")
         kept = {tuple(r) for r in got} & {(d, r) for d in texts for r in {x[0] for x in some.collect()}}
         assert {tuple(r) for r in runs_of(hays, wanted=some, **how).collect()} == kept == {tuple(r) for r in runs_of(hays, wanted=some, most=0, **how).collect()}
+
+
+def test_pages_are_read_once_to_select_them(spark, sf):
+    from claimloom.queries import pages
+
+    plan = pages.fitted(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
