@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +97,8 @@ def weekly_reports(projects: DataFrame, products: DataFrame, contents: DataFrame
     return j.select("run", F.lit("weekly-intel-deepseek-1").alias("id"), F.lit(week).alias("week_of"), F.concat_ws(" ", "category", F.lit(WEEKLY_TITLE)).alias("title"), F.lit(WEEKLY_SUMMARY).alias("summary"), of("0", "1").alias("new_signals"), of("2", "3").alias("watch_list"), of("4").alias("evidence_ids"))
 
 
-def build_databases(projects: DataFrame, competitors: DataFrame, products: DataFrame, pains: DataFrame, contents: DataFrame, opportunities: DataFrame, evidence: DataFrame, documents: DataFrame, *, week: str) -> dict[str, DataFrame]:
-    """The database tables of all runs by name, from their entities.
+def build_databases(projects: DataFrame, competitors: DataFrame, products: DataFrame, pains: DataFrame, contents: DataFrame, opportunities: DataFrame, evidence: DataFrame, documents: DataFrame, *, week: str, only: list[str] | None = None) -> dict[str, DataFrame]:
+    """The database tables of all runs by name, from their entities; with ``only`` those named, and no work is done for others.
 
     Entities have (run, ord, id, evidence_ids) and columns of their own: ``competitors`` name, channel, positioning, sections, commerce;
     ``products`` competitor, category, signal, tags; ``pains`` theme, need, frequency; ``contents`` platform, topic, content_type, why;
@@ -109,25 +109,27 @@ def build_databases(projects: DataFrame, competitors: DataFrame, products: DataF
     """
     listed = lambda df: df.withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast(dict(df.dtypes)["evidence_ids"])))
     competitors, products, pains, contents, opportunities = map(listed, (competitors, products, pains, contents, opportunities))
-    own = cut(references(competitors, evidence), "refs")
-    about = cut(references(contents, evidence), "refs")
+    # written once, when a table asks for them
+    own = cache(lambda: cut(references(competitors, evidence), "refs"))
+    about = cache(lambda: cut(references(contents, evidence), "refs"))
     named = lambda prefix: F.concat(F.lit(prefix), F.col("id").cast("string")).alias("id")
-    websites = cut(website_structure(competitors, own, documents), "websites")
-    words, word_evidence = keyword_tables(cut(keyword_rows(products, pains, contents), "keywords"))
+    websites = cache(lambda: cut(website_structure(competitors, own(), documents), "websites"))
+    keywords = cache(lambda: keyword_tables(cut(keyword_rows(products, pains, contents), "keywords")))
     market = projects.select("run", "market", "category")
-    product = numbered(products, run="run", order=["ord", "id"]).join(market.select("run", F.col("category").alias("_category")).hint("merge"), "run")
-    return {
-        "competitor_database": with_sources(competitors, own).join(market.select("run", "market").hint("merge"), "run").select("run", named("competitor-db-"), F.col("id").alias("competitor"), "name", "market", "channel", "positioning", "source_ids", "evidence_ids"),
+    product = lambda: numbered(products, run="run", order=["ord", "id"]).join(market.select("run", F.col("category").alias("_category")).hint("merge"), "run")
+    tables = {
+        "competitor_database": lambda: with_sources(competitors, own()).join(market.select("run", "market").hint("merge"), "run").select("run", named("competitor-db-"), F.col("id").alias("competitor"), "name", "market", "channel", "positioning", "source_ids", "evidence_ids"),
         "website_structure_database": websites,
-        "website_topics": website_topics(websites, own, contents, about),
-        "product_database": product.select("run", named("product-db-"), "competitor", F.concat_ws(" ", "_category", F.lit(SIGNAL), "number").alias("name"), "category", F.lit(NO_PRICE).alias("price_signal"), "tags", "evidence_ids"),
-        "keyword_database": words,
-        "keyword_evidence": word_evidence,
-        "pain_point_database": with_sources(pains, references(pains, evidence)).select("run", named("pain-point-db-"), "theme", "need", "frequency", "source_ids", "evidence_ids"),
-        "content_database": contents.select("run", named("content-db-"), "platform", "topic", "content_type", "why", "evidence_ids"),
-        "opportunity_database": opportunities.select("run", named("opportunity-db-"), F.col("id").alias("opportunity"), "title", "summary", "total", "review", "evidence_ids"),
-        "weekly_intelligence_reports": weekly_reports(projects, products, contents, competitors, opportunities, evidence, week=week),
+        "website_topics": lambda: website_topics(websites(), own(), contents, about()),
+        "product_database": lambda: product().select("run", named("product-db-"), "competitor", F.concat_ws(" ", "_category", F.lit(SIGNAL), "number").alias("name"), "category", F.lit(NO_PRICE).alias("price_signal"), "tags", "evidence_ids"),
+        "keyword_database": lambda: keywords()[0],
+        "keyword_evidence": lambda: keywords()[1],
+        "pain_point_database": lambda: with_sources(pains, references(pains, evidence)).select("run", named("pain-point-db-"), "theme", "need", "frequency", "source_ids", "evidence_ids"),
+        "content_database": lambda: contents.select("run", named("content-db-"), "platform", "topic", "content_type", "why", "evidence_ids"),
+        "opportunity_database": lambda: opportunities.select("run", named("opportunity-db-"), F.col("id").alias("opportunity"), "title", "summary", "total", "review", "evidence_ids"),
+        "weekly_intelligence_reports": lambda: weekly_reports(projects, products, contents, competitors, opportunities, evidence, week=week),
     }
+    return {name: tables[name]() for name in (tables if only is None else only)}
 
 
 def replace_databases(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:

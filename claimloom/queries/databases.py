@@ -11,7 +11,7 @@ from claimloom.queries import query
 WEEK = "2026-06-01"
 
 
-def databases(t):
+def databases(t, only=None):
     """Five runs. Some evidence doesn't exist, and every sixth page is bound to no document."""
     c = F.col
     ids = lambda key, each, more: F.transform(F.sequence(F.lit(0).cast("long"), more), lambda j: key % 5 + 5 * (F.floor(key / each) + 9 * j))
@@ -28,7 +28,7 @@ def databases(t):
         of(t("part"), p, 40, one, title=c("p_type"), summary=c("p_name"), total=c("p_size"), review=F.lit("needs_review")),
         pages.select((page % 5).alias("run"), page.alias("evidence"), page.alias("ord"), F.concat(F.lit("s"), F.floor(page / 5) % 40).alias("source"), F.when(page % 6 > 0, page).alias("document"), (page > 20).alias("new")),
         pages.select((page % 5).alias("run"), page.alias("document"), "url"),
-        week=WEEK,
+        week=WEEK, only=only,
     )
 
 
@@ -46,32 +46,32 @@ UNION ALL SELECT o_orderkey % 5, o_orderpriority || ' ' || (o_custkey % 30), 'pa
 
 @query("m6_website_structure", f"SELECT s.run, 'website-structure-db-' || s.id AS id, s.id AS competitor, url, source_ids FROM {_SITES} s JOIN {_SOURCES.format(_COMPETITORS)} o ON o.run = s.run AND o.id = s.id")
 def websites(t):
-    return databases(t)["website_structure_database"].select("run", "id", "competitor", "url", F.array_join("source_ids", ",").alias("source_ids"))
+    return databases(t, ["website_structure_database"])["website_structure_database"].select("run", "id", "competitor", "url", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query("m6_website_topics", f"SELECT DISTINCT s.run, s.id AS competitor, b.id AS content, b.id AS ord, 'Topic ' || (b.id % 400) AS topic FROM {_SITES} s JOIN {_COMPETITORS} a ON a.run = s.run AND a.id = s.id JOIN {_CONTENTS} b ON b.run = a.run AND b.source = a.source")
 def topics(t):
-    return databases(t)["website_topics"]
+    return databases(t, ["website_topics"])["website_topics"]
 
 
 @query("m8_competitors", f"SELECT s_suppkey % 5 AS run, 'competitor-db-' || s_suppkey AS id, s_name AS name, lower(r_name) AS market, coalesce(source_ids, '') AS source_ids FROM supplier JOIN region ON r_regionkey = s_suppkey % 5 LEFT JOIN {_SOURCES.format(_COMPETITORS)} o ON o.run = s_suppkey % 5 AND o.id = s_suppkey")
 def competitors(t):
-    return databases(t)["competitor_database"].select("run", "id", "name", "market", F.array_join("source_ids", ",").alias("source_ids"))
+    return databases(t, ["competitor_database"])["competitor_database"].select("run", "id", "name", "market", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query("m8_products", f"SELECT p_partkey % 5 AS run, 'product-db-' || p_partkey AS id, p_partkey % 100 AS competitor, r_name || ' {D.SIGNAL} ' || row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) AS name, p_type AS category, '{D.NO_PRICE}' AS price_signal FROM part JOIN region ON r_regionkey = p_partkey % 5")
 def products(t):
-    return databases(t)["product_database"].drop("tags", "evidence_ids")
+    return databases(t, ["product_database"])["product_database"].drop("tags", "evidence_ids")
 
 
 @query("m8_keywords", f"SELECT run, 'keyword-db-deepseek-' || row_number() OVER (PARTITION BY run ORDER BY place, id, tag) AS id, key, keyword, intent, '{D.KEYWORD_SOURCE}' AS source FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY place, id, tag) AS k FROM {_KEYWORDS} k) q WHERE k = 1")
 def keywords(t):
-    return databases(t)["keyword_database"]
+    return databases(t, ["keyword_database"])["keyword_database"]
 
 
 @query("m8_keyword_evidence", f"SELECT DISTINCT run, key, e AS evidence FROM {_KEYWORDS} k")
 def keyword_evidence(t):
-    return databases(t)["keyword_evidence"]
+    return databases(t, ["keyword_evidence"])["keyword_evidence"]
 
 
 def _listed(table: str, key: str, label: str, n: int) -> str:
@@ -81,4 +81,4 @@ def _listed(table: str, key: str, label: str, n: int) -> str:
 @query("m8_weekly_reports", f"""SELECT CAST(r_regionkey AS BIGINT) AS run, r_name || ' {D.WEEKLY_TITLE}' AS title, '{WEEK}' AS week_of, array_to_string(list_concat({_listed('part', 'p_partkey', 'p_name', 3)}, {_listed('customer', 'c_custkey', "'Topic ' || (c_custkey % 400)", 2)}), '|') AS new_signals,
 array_to_string(list_concat({_listed('supplier', 's_suppkey', 's_name', 3)}, {_listed('part', 'p_partkey', 'p_type', 3)}), '|') AS watch_list, array_to_string({_listed('(SELECT * FROM pages WHERE page_id > 20) p', 'page_id', 'page_id', 5)}, '|') AS evidence_ids FROM region""")
 def weekly(t):
-    return databases(t)["weekly_intelligence_reports"].select("run", "title", "week_of", *(F.array_join(c, "|").alias(c) for c in ("new_signals", "watch_list", "evidence_ids")))
+    return databases(t, ["weekly_intelligence_reports"])["weekly_intelligence_reports"].select("run", "title", "week_of", *(F.array_join(c, "|").alias(c) for c in ("new_signals", "watch_list", "evidence_ids")))

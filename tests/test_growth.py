@@ -73,3 +73,14 @@ def test_pages_are_read_once_to_select_them(spark, sf):
 
     plan = pages.fitted(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Relation [") == 1
+
+
+def test_only_the_tables_asked_for_are_made(spark, sf, monkeypatch):
+    from claimloom.operators import databases as D
+    from claimloom.queries import databases
+
+    made, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df, name="cut": made.append(name) or cut(df, name))
+    load = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    assert list(databases.databases(load, ["website_topics"])) == ["website_topics"]
+    assert sorted(made) == ["refs", "refs", "websites"]
