@@ -156,12 +156,29 @@ def backfill_plan(local: DataFrame, existing: DataFrame, *, key: str, version: s
     return j.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+#: Rows that a task holds where rows are dealt out by keys that are nearly all different.
+PART_ROWS = 500_000
+
+
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
 def check_constraints(df: DataFrame, *, key: list[str], required: list[str] = (), checks: dict[str, Column] | None = None, parent: tuple[DataFrame, str, str] | None = None) -> DataFrame:
-    """(key..., violation): nulls in required columns, failed checks, repeated keys, and rows without their parent (table, column, its column)."""
+    """(key..., violation): nulls in required columns, failed checks, repeated keys, and rows without their parent (table, column, its column).
+
+    Keys are nearly all different, so they are not grouped where they are read, in a map as large as a file's part: rows are counted and then dealt
+    out by key to tasks of about PART_ROWS each. A task holds its parents, each once, and streams their rows, so a parent may have many.
+    """
     own = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in required), *(F.when(~c, F.lit(f"check:{n}")) for n, c in (checks or {}).items())))
-    out = [df.select(*key, F.explode(own).alias("violation")), df.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.lit("primary_key").alias("violation"))]
+    rows = df.count()
+    keys = df.select(*key).repartition(_tasks(rows), *key)
+    out = [df.select(*key, F.explode(own).alias("violation")), keys.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.lit("primary_key").alias("violation"))]
     if parent:
         table, column, theirs = parent
-        orphans = df.where(F.col(column).isNotNull()).join(table.select(F.col(theirs).alias(column)).distinct(), column, "left_anti")
+        children, known = df.where(F.col(column).isNotNull()).select(*dict.fromkeys([*key, column])), table.select(F.col(theirs).alias(column))
+        tasks = _tasks(rows + known.count())
+        known = known.repartition(tasks, column).distinct()
+        orphans = children.repartition(tasks, column).join(known.hint("shuffle_hash"), column, "left_anti")
         out.append(orphans.select(*key, F.lit(f"foreign_key:{column}").alias("violation")))
     return reduce(DataFrame.unionByName, out)

@@ -1,5 +1,7 @@
 """Steps whose work must grow with the input: the same rows as the plain form, without its copies."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from claimloom.plans import graph as G
@@ -84,3 +86,20 @@ def test_only_the_tables_asked_for_are_made(spark, sf, monkeypatch):
     load = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     assert list(databases.databases(load, ["website_topics"])) == ["website_topics"]
     assert sorted(made) == ["refs", "refs", "websites"]
+
+
+def test_constraints_group_no_keys_where_rows_are_read(spark, monkeypatch):
+    from claimloom.sources import tables as S
+
+    monkeypatch.setattr(S, "PART_ROWS", 40, raising=False)
+    rows = [(i % 90 if i % 11 else None, i % 7 or None, i % 5 or None) for i in range(300)] + [(1, 1, 1)] * 200 + [(7, i, i) for i in range(150)]
+    parents = [(k,) for k in range(0, 95, 2)] * 3 + [(None,)] * 50
+    df, theirs = spark.createDataFrame(rows, "k long, line int, p int"), spark.createDataFrame(parents, "id long")
+    got = S.check_constraints(df, key=["k", "line"], required=["p"], checks={"p": F.col("p") < 4}, parent=(theirs, "k", "id"))
+    want = [(k, n, "not_null:p") for k, n, p in rows if p is None] + [(k, n, "check:p") for k, n, p in rows if p is not None and p >= 4]
+    want += [(*key, "primary_key") for key in {r[:2] for r in rows} if sum(r[:2] == key for r in rows) > 1]
+    want += [(k, n, "foreign_key:k") for k, n, p in rows if k is not None and (k,) not in parents]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # rows are dealt as they are, to tasks that follow their number; before, to 4 after a map of all keys of a file's part
+    assert re.search(rf"hashpartitioning\(k#\d+L, line#\d+, {-(-len(rows) // 40)}\), REPARTITION_BY_NUM", plan)
