@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 WINDOW, HELD, HELD_PHRASES, HELD_WORDS = 1 << 20, 1 << 21, 1 << 20, 1 << 19
 #: Bits of a filter of frequent fingerprints: so many for each, and so many at most (16 MB), whatever the corpus.
 BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Phrases that all tasks are told (some 30 MB), and the share of the rows, those of the smallest ids, from which they are read.
+MOST_TOLD, TOLD_SHARE = 1 << 20, 1 / 8
 
 
 @cache
@@ -152,19 +154,32 @@ class Frequent:
         return ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & (bits[high >> np.uint64(6)] >> (high & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _chosen(batch: Batch, words: Words, k: int, known: list[Frequent], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of ``k`` words that may be frequent, and their fingerprints: they are themselves in the filter of their length or,
-    where that isn't known yet, both shorter ones by a word are in theirs."""
+def _candidates(batch: Batch, words: Words, k: int, known: list[Frequent], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of ``k`` words that may be frequent, since both shorter ones by a word are in the filter of theirs, and their fingerprints."""
     at = words.within(k)
-    if k > 1 and len(known) < k:
+    if k > 1:
         every = np.arange(len(words.hash) - k + 2)
         fine = known[k - 2].has(batch.fingerprints(words, every, k - 1, bits))
         at = at[fine[at] & fine[at + 1]]
-    fp = batch.fingerprints(words, at, k, bits)
-    if len(known) >= k:
-        fine = known[k - 1].has(fp)
-        at, fp = at[fine], fp[fine]
-    return at, fp
+    return at, batch.fingerprints(words, at, k, bits)
+
+
+def _chosen(batch: Batch, words: Words, known: list[Frequent], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the candidates that are in its filter, their fingerprints, and of all n-grams whether they are in it. These are
+    just the n-grams that were counted, of all fingerprints that were found to be frequent."""
+    fine = np.zeros(0, bool)
+    for k, filter_ in enumerate(known, 1):
+        at = words.within(k)
+        if k > 1:
+            at = at[fine[at] & fine[at + 1]]
+        if k < len(known):
+            fps = batch.fingerprints(words, np.arange(max(0, len(words.hash) - k + 1)), k, bits)
+            fine = filter_.has(fps)
+            fp, own = fps[at], fine[at]
+        else:
+            fp = batch.fingerprints(words, at, k, bits)
+            own = filter_.has(fp)
+        yield at[own], fp[own], fine
 
 
 def _counted(source: DataFrame, k: int, known: list[Frequent], least: int, bits: int) -> DataFrame:
@@ -182,7 +197,7 @@ def _counted(source: DataFrame, k: int, known: list[Frequent], least: int, bits:
         for b in slices(batches):
             batch = Batch(b)
             for words in windows(batch.data, k - 1):
-                held.append(np.unique(_chosen(batch, words, k, known, bits)[1], return_counts=True))
+                held.append(np.unique(_candidates(batch, words, k, known, bits)[1], return_counts=True))
                 size += len(held[-1][0])
                 if size >= HELD:
                     yield packed()
@@ -213,6 +228,34 @@ def numbered(data: bytes, words: Words, at: np.ndarray, number: dict[bytes, int]
     return result
 
 
+ROW = ["lang", "k", "phrase", "n", "first_id", "first_at", "fp"]
+
+
+class Told:
+    """Frequent phrases that all tasks know, one for a fingerprint: by length sorted fingerprints, words by number and languages."""
+
+    def __init__(self, phrases: pa.Table, most: int):
+        cells = [pc.split_pattern(phrases.filter(pc.equal(phrases["k"], k)).column("phrase").cast(pa.binary()), b" ").combine_chunks().flatten() for k in range(1, most + 1)]
+        numbers = pa.concat_arrays(cells).dictionary_encode()
+        langs = phrases["lang"].combine_chunks().cast(pa.binary()).dictionary_encode()
+        self.words, self.langs = numbers.dictionary.to_pylist(), langs.dictionary.to_pylist()
+        number, lang, length = numbers.indices.to_numpy(), langs.indices.to_numpy(), phrases["k"].to_numpy()
+        ends = np.cumsum([0, *(len(c) for c in cells)])
+        self.of = []
+        for k in range(1, most + 1):
+            fp = phrases["fp"].to_numpy()[length == k].view(np.uint64)
+            order = np.argsort(fp)
+            self.of.append((fp[order], number[ends[k - 1] : ends[k]].reshape(-1, k)[order], lang[length == k][order]))
+
+    def place(self, k: int, fp: np.ndarray) -> np.ndarray:
+        """Which phrase has the fingerprint; -1 where none has."""
+        fps = self.of[k - 1][0]
+        if not len(fps):
+            return np.full(len(fp), -1)
+        place = np.minimum(np.searchsorted(fps, fp), len(fps) - 1)
+        return np.where(fps[place] == fp, place, -1)
+
+
 class Found:
     """Phrases of ``k`` words that a task has found: fingerprints, words by number, languages, counts and first places."""
 
@@ -251,23 +294,33 @@ class Found:
         return self.size
 
     def rows(self, texts: pa.Array, langs: list[bytes]) -> pa.RecordBatch:
-        """What was found, as (lang, k, phrase, n, first_id, first_at)."""
+        """What was found, as (lang, k, phrase, n, first_id, first_at, fp)."""
         self.shrink()
         of, words = self.parts[0]
         phrase = pc.binary_join_element_wise(*(texts.take(pa.array(words[:, j])) for j in range(self.k)), b" ")
         lang = pa.array(langs, pa.binary()).take(pa.array(of["lang"])).cast(pa.string())
         place = [pa.array(of[name], pa.int64(), mask=of["none"]) for name in ("row", "at")]
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(words), self.k, np.int32)), phrase.cast(pa.string()), pa.array(of["n"]), *place], ["lang", "k", "phrase", "n", "first_id", "first_at"])
+        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(words), self.k, np.int32)), phrase.cast(pa.string()), pa.array(of["n"]), *place, pa.array(of["fp"].view(np.int64))], ROW)
 
 
-def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> DataFrame:
-    """(lang, k, phrase, n, first): phrases that may be frequent as texts, counted by text, with the place (id, byte) where each
-    first occurs; and (lang, 0, "") with the number of all words."""
+def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int, told: Broadcast | None = None) -> DataFrame:
+    """(lang, k, phrase, fp, n, first): phrases that may be frequent as texts, counted by text, with the place (id, byte) where each
+    first occurs; and (lang, 0, "") with the number of all words.
+
+    Occurrences of ``told`` phrases are held against them and not sent. Where others have the fingerprint of one, their number is sent too,
+    as (-k, fp): so much less than the fingerprint's count is the phrase's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = told.value if told is not None else None
         number: dict[bytes, int] = {}
         langs: dict[bytes, int] = {}
+        if tell is not None:
+            number.update(zip(tell.words, range(len(tell.words))))
+            langs.update(zip(tell.langs, range(len(tell.langs))))
+            others = [np.zeros(len(fps), np.int64) for fps, _, _ in tell.of]
+        base = len(number)
         totals: Counter = Counter()
         found = [Found(k) for k in range(1, most + 1)]
 
@@ -277,6 +330,12 @@ def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> Da
                 if f.parts:
                     yield f.rows(texts, list(langs))
             number.clear()
+            if tell is not None:
+                number.update(zip(tell.words, range(base)))
+
+        def counts(lang: pa.Array, k: np.ndarray, n: np.ndarray, fp: pa.Array) -> pa.RecordBatch:
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([lang, pa.array(k, pa.int32()), pa.array([""] * len(n), pa.string()), pa.array(n, pa.int64()), none, none, fp], ROW)
 
         for b in slices(batches):
             b = b.take(pc.sort_indices(b.column("id")))  # nulls last
@@ -285,28 +344,53 @@ def _texts(source: DataFrame, most: int, known: list[Frequent], bits: int) -> Da
             ids = pc.fill_null(b.column("id"), 0).to_numpy()
             task_lang = np.array([langs.setdefault(x, len(langs)) for x in batch.langs], np.int32)[batch.of_text]
             for words in windows(batch.data, most - 1):
-                every = np.arange(len(words.hash))
-                word = numbered(batch.data, words, every[known[0].has(batch.fingerprints(words, every, 1, bits))], number)
                 text = batch.text_at(words.start)
                 totals.update(dict(zip(*(x.tolist() for x in np.unique(task_lang[text[words.carried :]], return_counts=True)))))
-                for f in found:
-                    at, fp = _chosen(batch, words, f.k, known, bits)
+                word = None
+                for f, (at, fp, fine) in zip(found, _chosen(batch, words, known, bits)):
+                    if word is None:  # most == 1 has no filter of all words
+                        word = numbered(batch.data, words, np.flatnonzero(fine) if most > 1 else at, number)
                     cells = word[at[:, None] + np.arange(f.k)]
+                    if tell is not None:
+                        place = tell.place(f.k, fp)
+                        hit = np.flatnonzero(place >= 0)
+                        _, theirs, lang = tell.of[f.k - 1]
+                        same = (cells[hit] == theirs[place[hit]]).all(axis=1) & (task_lang[text[at[hit]]] == lang[place[hit]])
+                        np.add.at(others[f.k - 1], place[hit[~same]], 1)
+                        left = np.ones(len(at), bool)
+                        left[hit[same]] = False
+                        at, fp, cells = at[left], fp[left], cells[left]
                     likely = (cells >= 0).all(axis=1)
                     at, fp, cells = at[likely], fp[likely], cells[likely]
                     of = text[at]
                     f.add(cells, fp=fp, lang=task_lang[of], n=np.ones(len(at), np.int64), none=none[of], row=ids[of], at=words.start[at] - batch.begins[of])
-                if len(number) >= HELD_WORDS or sum(f.size for f in found) >= HELD_PHRASES and sum(f.shrink() for f in found) >= HELD_PHRASES * 3 // 4:
+                if len(number) - base >= HELD_WORDS or sum(f.size for f in found) >= HELD_PHRASES and sum(f.shrink() for f in found) >= HELD_PHRASES * 3 // 4:
                     yield from packed()
         yield from packed()
         if totals:
             names = list(langs)
-            arrays = [pa.array([names[g] for g in totals], pa.binary()).cast(pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(totals), pa.int64()), pa.nulls(len(totals), pa.int64())], ["lang", "k", "phrase", "n", "first_id", "first_at"])
+            yield counts(pa.array([names[g] for g in totals], pa.binary()).cast(pa.string()), np.zeros(len(totals)), np.array(list(totals.values())), pa.nulls(len(totals), pa.int64()))
+        for k, n in enumerate(others if tell is not None else [], 1):
+            met = np.flatnonzero(n)
+            if len(met):
+                yield counts(pa.array([""] * len(met), pa.string()), np.full(len(met), -k), n[met], pa.array(tell.of[k - 1][0][met].view(np.int64)))
 
-    found = source.mapInArrow(run, "lang string, k int, phrase string, n long, first_id long, first_at long")
+    found = source.mapInArrow(run, "lang string, k int, phrase string, n long, first_id long, first_at long, fp long")
     place = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "first_at"))).alias("first")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), place)
+    return found.groupBy("lang", "k", "phrase", "fp").agg(F.sum("n").alias("n"), place)
+
+
+def _told(source: DataFrame, most: int, grams: list[DataFrame], known: list[Frequent], bits: int) -> DataFrame | None:
+    """(lang, k, phrase, fp, total, first): one phrase for each frequent fingerprint, the MOST_TOLD most frequent ones, of those that the rows
+    of the smallest ids have, with the count of the fingerprint. As all rows of smaller ids are among these, so is the first place."""
+    last = source.agg(F.percentile_approx("id", F.lit(TOLD_SHARE), F.lit(10_000))).first()[0]
+    if last is None:
+        return None
+    seen = _texts(source.where(F.col("id") <= last), most, known, bits).where("k > 0")
+    one = seen.groupBy("k", "fp").agg(F.max_by(F.struct("lang", "phrase", "first"), F.struct("n", "lang", "phrase")).alias("one"))
+    counts = [g.select(F.lit(k).alias("k"), "fp", F.col("n").alias("total")) for k, g in enumerate(grams, 1)]
+    whole = cut(one.join(reduce(DataFrame.unionAll, counts).hint("merge"), ["k", "fp"]).select("one.lang", "k", "one.phrase", "fp", "total", "one.first"), "told")
+    return cut(whole.orderBy(F.desc("total"), "k", "fp").limit(MOST_TOLD), "told") if whole.count() > MOST_TOLD else whole
 
 
 def frequent_phrases(docs: DataFrame, *, most_words: int = 4, least: int = 30, fingerprint_bits: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", no_lang: str = "und") -> DataFrame:
@@ -320,14 +404,25 @@ def frequent_phrases(docs: DataFrame, *, most_words: int = 4, least: int = 30, f
     Length by length, prefix polynomials give every n-gram a fingerprint in numpy, tasks add up equal ones, and the shuffle counts fingerprints only.
     n-grams that hold an infrequent shorter one are left out by a filter of bounded size. A last pass reads the phrases behind
     frequent fingerprints from the texts, holds every occurrence against the first one of its window, and counts by text, so
-    that phrases of equal fingerprint come apart.
+    that phrases of equal fingerprint come apart. It runs over the rows of the smallest ids first; all tasks are told the phrases found there
+    (MOST_TOLD at most, through the driver) and then send only others, and how many others had the fingerprint of a told one.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit(no_lang)).cast("string").alias("lang"))
     known: list[Frequent] = []
+    grams: list[DataFrame] = []
     for k in range(1, most_words + 1):
-        known.append(Frequent(spark, _counted(source.select("text", "lang"), k, known, least, fingerprint_bits)))
-    return _texts(source, most_words, known, fingerprint_bits).where((F.col("n") >= least) | (F.col("k") == 0))
+        grams.append(_counted(source.select("text", "lang"), k, known, least, fingerprint_bits))
+        known.append(Frequent(spark, grams[-1]))
+    kept = _told(source, most_words, grams, known, fingerprint_bits)
+    if kept is None:
+        return _texts(source, most_words, known, fingerprint_bits).where((F.col("n") >= least) | (F.col("k") == 0)).drop("fp")
+    told = spark.sparkContext.broadcast(Told(kept.select("lang", "k", "phrase", "fp").toArrow(), most_words))
+    found = cut(_texts(source, most_words, known, fingerprint_bits, told), "texts")
+    others = found.where("k < 0").select((-F.col("k")).alias("k"), "fp", F.col("n").alias("others"))
+    names = ["lang", "k", "phrase", "n", "first"]
+    exact = kept.join(others.hint("merge"), ["k", "fp"], "left").withColumn("n", F.col("total") - F.coalesce("others", F.lit(0)))
+    return found.where("k >= 0").select(names).unionAll(exact.select(names)).where((F.col("n") >= least) | (F.col("k") == 0))
 
 
 def _part(start, length):

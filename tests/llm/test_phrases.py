@@ -120,3 +120,19 @@ def test_words_of_equal_hash_come_apart():
     ids = phrases.numbered(data, words, np.arange(5), number)
     names = list(number)
     assert [names[i] for i in ids[:5]] == data.split()[:5] and (ids[5:] == -1).all()
+
+
+def test_phrases_that_all_tasks_know_are_not_sent(spark, monkeypatch):
+    made, cut = {}, phrases.cut
+
+    def kept(df, name):
+        made[name] = cut(df, name)
+        return made[name]
+
+    monkeypatch.setattr(phrases, "cut", kept)
+    rows = [(n, "left or right in every text", "en") for n in range(80)] + [(None, "no id, left or right", "en")] * 9 + [(200, "a late phrase", None)] * 12
+    assert run(spark, rows) == plain(rows)
+    sent = {r["phrase"] for r in made["texts"].where("k > 0").collect()}
+    assert "a late phrase" in sent and not {p for p in sent if "left" in p or "every" in p}
+    rows = [(None, text, lang) for _, text, lang in rows]
+    assert run(spark, rows) == plain(rows)
