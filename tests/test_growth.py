@@ -103,3 +103,45 @@ def test_constraints_group_no_keys_where_rows_are_read(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     # rows are dealt as they are, to tasks that follow their number; before, to 4 after a map of all keys of a file's part
     assert re.search(rf"hashpartitioning\(k#\d+L, line#\d+, {-(-len(rows) // 40)}\), REPARTITION_BY_NUM", plan)
+
+
+def _quotes_and_texts():
+    words = [w + str(i % 7) for i, w in enumerate("größe alpha 数据市场 beta gamma delta épsilon zeta eta theta iota kappa lambda mu nu xi".split() * 3)]
+    texts = [(i, " ".join(words[i % 11 : i % 11 + 12 + i % 5]) + " end" * (i % 4)) for i in range(60)]
+    texts += [(100 + i, "same copy of a text that\tholds  many common words and more of them") for i in range(40)]
+    texts += [(200, ""), (201, None), (202, "x" * 1_200_000 + " the last quote lies far behind a very long word here"), (203, "数据"), (204, "The Last Quote Lies far behind a very long word")]
+    quotes = [(i, " ".join(words[i : i + n])[i % 3 :]) for i in range(14) for n in (2, 5, 8, 11)]
+    quotes += [(50, "copy of a text that holds many comm"), (51, "copy of a text that holds many comm"), (52, "quote lies far behind a very long word"), (53, "数据市场"), (54, "num"), (55, ""), (56, None), (57, "beta4"), (57, "eta3"), (58, "no such quote is in any of the texts")]
+    return quotes, texts
+
+
+def test_few_quotes_are_found_as_many_are(spark, monkeypatch):
+    from claimloom.operators import containment
+    from claimloom.operators import evidence as E
+
+    quotes, texts = _quotes_and_texts()
+    plain = lambda x: " ".join((x or "").lower().split())
+    want = sorted({(q, d) for q, a in quotes for d, b in texts if len(plain(a)) >= 4 and plain(a) in plain(b)})
+    q, d = spark.createDataFrame(quotes, "q int, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    found = lambda: sorted(map(tuple, E.match_quotes(q, d, quote_id="q", doc_id="doc_id").collect()))
+    few = found()
+    monkeypatch.setattr(containment, "FEW", -1)
+    assert few == found() == want and len({x for x, _ in want}) > 15 and (51, 139) in want and (52, 202) in want
+
+
+def test_texts_are_read_once_for_few_quotes(spark):
+    from claimloom.operators import evidence as E
+    from claimloom.operators.containment import containing
+
+    quotes, texts = _quotes_and_texts()
+    q = spark.createDataFrame(quotes, "q int, text string").where("length(text) > 0")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    d = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    assert E.match_quotes(q, d, quote_id="q", doc_id="doc_id").count() > 100 and read.value == len(texts)
+    assert containing(q.selectExpr("q", "text as needle"), d.selectExpr("doc_id as d", "text as hay")).count() > 100 and read.value == 2 * len(texts)

@@ -29,6 +29,12 @@ def test_containing(spark, gram):
     assert set(rows) == want and len(rows) == len(want) > 300
 
 
+def test_containing_many(spark, monkeypatch):
+    monkeypatch.setattr(containment, "FEW", -1)
+    test_containing(spark, 4)
+    test_nothing_to_look_for(spark)
+
+
 def test_nothing_to_look_for(spark):
     hays = spark.createDataFrame([(1, "abc")], "d long, hay string")
     assert containment.containing(spark.createDataFrame([], "q long, needle string"), hays).collect() == []
