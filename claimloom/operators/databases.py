@@ -18,6 +18,10 @@ WEEKLY_TITLE = "公开资料结构化周报种子"
 WEEKLY_SUMMARY = "基于 public_web raw documents 的 OpenAI-compatible provider 结构化抽取结果。"
 KEYWORD_SOURCE = "openai_compatible_structured_extraction"
 NEW_SIGNALS, NEW_TOPICS, WATCHED, OPENINGS, WEEKLY_EVIDENCE = 3, 2, 3, 3, 5
+#: Websites and signals of a source that meet at once, and about how many rows of the result a task makes.
+SITES, SIGNALS, TASK_ROWS = 1024, 8192, 1 << 24
+#: Sources of an entity up to which each carries those before it, and shared sources up to which their counts are broadcast.
+LISTED, FEW_SOURCES = 32, 100_000
 MARGIN = r"^[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$"
 
 
@@ -60,14 +64,51 @@ def website_structure(competitors: DataFrame, refs: DataFrame, documents: DataFr
     return j.select("run", F.concat(F.lit("website-structure-db-"), "id").alias("id"), F.col("id").alias("competitor"), "url", "sections", "commerce", "source_ids")
 
 
+def source_sets(refs: DataFrame) -> DataFrame:
+    """(run, id, long, sources): an entity's sources, each once and with those before it, which only entities of up to LISTED sources carry.
+
+    What stands before the first is null, not an empty list. A row is as long as the entity's own list of evidence, or LISTED times LISTED, at most.
+    """
+    own = refs.where("source is not null").groupBy("run", "id").agg(F.array_sort(F.collect_set("source")).alias("_own")).withColumn("long", F.size("_own") > LISTED)
+    each = F.transform("_own", lambda x, i: F.struct(x.alias("source"), F.when((i > 0) & ~F.col("long"), F.slice("_own", 1, i)).alias("before")))
+    return own.select("run", "id", "long", each.alias("sources"))
+
+
 def website_topics(websites: DataFrame, competitor_refs: DataFrame, contents: DataFrame, content_refs: DataFrame) -> DataFrame:
-    """(run, competitor, content, ord, topic): the content signals of a website, being those that share a source with it.
+    """(run, content, competitor, ord, topic): the content signals of a website, being those that share a source with it.
 
-    Rows and not lists, since a source may have any number of signals; in order they are a website's topics.
+    Rows and not lists, since a source may have any number of signals; in order they are a website's topics. They grow with the product of
+    both, so they are not shuffled: the websites and signals of a source meet in blocks of about SITES and SIGNALS, dealt to as many tasks
+    as the rows ask for, and of several shared sources only the first makes the row. Where a website or a signal has more than LISTED
+    sources, all shared ones make it, and the rows of these are shuffled to be made one.
     """
-    sites = competitor_refs.select("run", F.col("id").alias("competitor"), "source").join(websites.select("run", "competitor").hint("merge"), ["run", "competitor"], "left_semi").where("source is not null").distinct()
-    pairs = sites.join(content_refs.select("run", F.col("id").alias("content"), "source").distinct().hint("merge"), ["run", "source"]).select("run", "competitor", "content").distinct()
-    return pairs.join(contents.select("run", F.col("id").alias("content"), "ord", "topic").hint("merge"), ["run", "content"])
+    mine = competitor_refs.join(websites.select("run", F.col("competitor").alias("id")).hint("merge"), ["run", "id"], "left_semi")
+    site_sets, signal_sets = source_sets(mine), source_sets(content_refs)
+    sites = site_sets.select("run", F.col("id").alias("competitor"), F.col("long").alias("_long"), F.inline("sources").alias("source", "_before"))
+    signals = contents.select("run", "id", "ord", "topic").join(signal_sets.hint("merge"), ["run", "id"])
+    signals = signals.select("run", F.col("id").alias("content"), "ord", "topic", "long", F.inline("sources"))
+    key = ["run", "source"]
+    of_source = lambda sets, n, long: sets.select("run", "long", F.inline("sources")).groupBy(*key).agg(F.count("*").alias(n), F.max("long").alias(long))
+    shared = of_source(site_sets, "_sites", "_long").join(of_source(signal_sets, "_signals", "_long_signals").hint("merge"), key)
+    counted = shared.agg(F.count("*"), F.coalesce(F.sum(F.col("_sites") * F.col("_signals")), F.lit(0)), F.coalesce(F.max(F.col("_long") | F.col("_long_signals")), F.lit(False))).first()
+    tasks = max(int(websites.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted[1] // TASK_ROWS))
+    blocks = shared.select(*key, F.ceil(F.col("_sites") / SITES).cast("int").alias("_blocks"), F.ceil(F.col("_signals") / SIGNALS).cast("int").alias("_slices"))
+    blocks = F.broadcast(blocks) if counted[0] <= FEW_SOURCES else blocks.hint("merge")
+    one = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sites = sites.join(blocks, key).withColumn("_block", one("competitor", "_blocks")).withColumn("_slice", every("_slices")).drop("_blocks", "_slices")
+    signals = signals.join(blocks, key).withColumn("_slice", one("content", "_slices")).withColumn("_block", every("_blocks")).drop("_blocks", "_slices")
+    unit = [*key, "_block", "_slice"]
+
+    def met(signals: DataFrame, sites: DataFrame) -> DataFrame:
+        # null, where nothing stands before the source on one side: it is the first that they share
+        first = F.coalesce(~F.arrays_overlap("before", "_before"), F.lit(True))
+        return signals.repartition(tasks, *unit).join(sites.repartition(tasks, *unit).hint("merge"), unit).where(first).select("run", "content", "competitor", "ord", "topic")
+
+    if not counted[2]:
+        return met(signals, sites)
+    gathered = met(signals.where("long"), sites).unionAll(met(signals.where("not long"), sites.where("_long"))).distinct()
+    return met(signals.where("not long"), sites.where("not _long")).unionAll(gathered)
 
 
 def keyword_rows(products: DataFrame, pains: DataFrame, contents: DataFrame) -> DataFrame:

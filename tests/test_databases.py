@@ -1,7 +1,9 @@
 """Database tables of runs: what binds a website, which topics it gets, keywords, numbers, weekly reports and replacement."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import databases as D
@@ -39,6 +41,41 @@ def test_websites_and_topics(spark):
     assert {x.competitor: x.source_ids for x in out["competitor_database"].collect()}["none"] == []
 
 
+def _many_signals():
+    """Websites and signals in two runs: one source that many share, some with all sources, ids of both the same."""
+    r = random.Random(5)
+    evidence = [(run, f"e{k}", k, None if k == 30 else "hot" if k % 3 == 0 else f"s{k % 8}", f"d{k}" if k % 7 else None, True) for run in "rq" for k in range(31)]
+    documents = [(run, f"d{k}", f"https://a.example.com/{k}") for run in "rq" for k in range(31)]
+    some = lambda k: [f"e{k}" for k in range(31)] if k % 9 == 0 else [f"e{r.randrange(34)}" for _ in range(k % 6)]
+    competitors = [(run, k, f"x{k}", some(k)) for run in "rq" for k in range(25)]
+    contents = [(run, k, f"x{k}", some(k), "p", f"Topic {k % 4}") for run in "rq" for k in range(40)]
+    source = {(run, e): s for run, e, _, s, _, _ in evidence}
+    bound = {(run, e) for run, e, _, _, d, _ in evidence if d}
+    of = lambda x: {source.get((x[0], e)) for e in x[3]} - {None}
+    want = sorted((a[0], b[2], a[2], b[1], b[5]) for a in competitors for b in contents if a[0] == b[0] and of(a) & of(b) and any((a[0], e) in bound for e in a[3]))
+    return evidence, documents, competitors, contents, want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"SITES": 3, "SIGNALS": 4, "TASK_ROWS": 50}, {"LISTED": 2, "FEW_SOURCES": 0}, {"LISTED": 0, "SITES": 1}])
+def test_a_signal_meets_a_website_once_however_many_sources_they_share(spark, monkeypatch, sizes):
+    for name, n in sizes.items():
+        monkeypatch.setattr(D, name, n)
+    evidence, documents, competitors, contents, want = _many_signals()
+    got = made(spark, evidence, documents, competitors=competitors, contents=contents)["website_topics"]
+    assert got.columns == ["run", "content", "competitor", "ord", "topic"] and sorted(map(tuple, got.collect())) == want and len(want) > 500
+
+
+def test_no_pair_of_website_and_signal_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(D, "TASK_ROWS", 100, raising=False)
+    evidence, documents, competitors, contents, want = _many_signals()
+    plan = made(spark, evidence, documents, competitors=competitors, contents=contents)["website_topics"]._jdf.queryExecution().executedPlan().toString()
+    above, _, join = plan.partition("SortMergeJoin")
+    # the pairs are the join of sources, and what is above it only chooses columns; tasks follow its rows and not the bytes of its sides
+    assert "source" in join.split("\n")[0] and not re.search("Exchange|Aggregate|Sort|Join", above)
+    tasks = int(re.search(r"source#\d+, _block#\d+, _slice#\d+, (\d+)\), REPARTITION_BY_NUM", join)[1])
+    assert tasks >= len(want) / 100 and "REPARTITION_BY_NUM" not in above
+
+
 def test_keywords_products_and_week(spark):
     products = [("r", k, f"p{k}", [f"e{k}"], "c", "cat", f"signal {k}", [" Tag ", f"t{k}"]) for k in range(12)]
     out = made(
